@@ -17,7 +17,7 @@ WHITESPACE = (
 # the whole next token is digits (inner spaces are tolerated here and rejected
 # by the cast). Matches do not overlap and run left to right, which is exactly
 # the pairing rule of the order line.
-_ITEM = r"([^,]+)(?:,([0-9][0-9 ]*)(?=,|\z))?"
+_ITEM = r"[^,]+(?:,[0-9][0-9 ]*(?=,|\z))?"
 
 
 def strip(c):
@@ -44,29 +44,47 @@ def secret_hash(login, secret, salt):
     return F.sha2(F.concat_ws(":", F.lit(salt), strip(login), strip(secret)), 256)
 
 
-def parse_order_text(text):
-    """Order line -> ARRAY<STRUCT<art STRING, qty INT>>.
+def order_entries(text):
+    """Order line -> its items as texts, each ``article`` or ``article,digits``.
 
     Newlines, semicolons and commas separate tokens; blank tokens vanish. A
-    token of digits after an article is its quantity, otherwise the quantity is
-    1. A quantity that is no INT gives NULL, so callers can reject it. Linear
-    in the length of the text.
+    token of digits after an article is its quantity. Linear in the length of
+    the text.
     """
     tokens = F.filter(
         F.transform(F.split(F.translate(text, "\n;", ",,"), ","), strip), lambda t: t != ""
     )
-    line = F.array_join(tokens, ",")
-    articles = F.regexp_extract_all(line, F.lit(_ITEM), F.lit(1))
-    quantities = F.regexp_extract_all(line, F.lit(_ITEM), F.lit(2))
-    items = F.zip_with(
-        articles,
-        quantities,
-        lambda art, qty: F.struct(
-            art.alias("art"),
-            F.when(qty == "", F.lit(1)).otherwise(qty.try_cast("int")).alias("qty"),
-        ),
+    entries = F.regexp_extract_all(F.array_join(tokens, ","), F.lit(_ITEM), F.lit(0))
+    return F.coalesce(entries, F.expr("cast(array() as array<string>)"))
+
+
+def entry_article(entry):
+    return F.substring_index(entry, ",", 1)
+
+
+def entry_quantity(entry):
+    """1 when left out; NULL when the digits are no INT, so callers can reject it."""
+    left_out = F.instr(entry, ",") == 0
+    return F.when(left_out, F.lit(1)).otherwise(F.substring_index(entry, ",", -1).try_cast("int"))
+
+
+def parse_order_text(text):
+    """Order line -> ARRAY<STRUCT<art STRING, qty INT>>."""
+    return F.transform(
+        order_entries(text),
+        lambda e: F.struct(entry_article(e).alias("art"), entry_quantity(e).alias("qty")),
+    )
+
+
+def explode_order_text(rows, text, *keep):
+    """One row per item: the kept columns, pos, art, qty.
+
+    Entries are taken apart after the explode, in generated code.
+    """
+    entries = rows.select(*keep, F.posexplode(order_entries(F.col(text))).alias("pos", "entry"))
+    return entries.select(
+        *keep, "pos", entry_article(F.col("entry")).alias("art"), entry_quantity(F.col("entry")).alias("qty")
     )
-    return F.coalesce(items, F.expr("cast(array() as array<struct<art:string,qty:int>>)"))
 
 
 def bad_quantity(qty):

@@ -31,9 +31,17 @@ def first_problem(*checks):
     return found
 
 
-def split(rows, source, problem, row_no="row_no"):
-    """Separate the rows without a problem from the rejects."""
-    checked = rows.withColumn("_problem", problem)
+def as_is(rows):
+    return rows
+
+
+def split(rows, source, problem, row_no="row_no", stage=as_is):
+    """Separate the rows without a problem from the rejects.
+
+    ``stage`` may write the checked rows somewhere, so that the readers of the
+    two halves do not clean the input once more.
+    """
+    checked = stage(rows.withColumn("_problem", problem))
     return Cleaned(
         checked.where(F.col("_problem").isNull()).drop("_problem"),
         checked.where(F.col("_problem").isNotNull()).select(
@@ -53,7 +61,7 @@ def too_long(*columns):
     return over
 
 
-def clean_users(raw, salt):
+def clean_users(raw, salt, stage=as_is):
     """User sheet: trimmed login, stored role code, hashed secret."""
     login, secret = blank_to_null(F.col("login")), F.coalesce("password", F.lit(""))
     rows = raw.select(
@@ -66,10 +74,10 @@ def clean_users(raw, salt):
     return split(rows, "users", first_problem(
         (F.col("user_login").isNull(), "blank_login", SKIP),
         (too_long("user_role", "user_name", "user_login"), "too_long", ABORT),
-    ))
+    ), stage=stage)
 
 
-def clean_products(raw):
+def clean_products(raw, stage=as_is):
     """Product sheet: numbers cut or rounded as stored, defaults for blank cells."""
     price, discount, stock = money(F.col("price")), whole(F.col("discount")), whole(F.col("stock"))
     texts = {
@@ -101,7 +109,7 @@ def clean_products(raw):
         (F.col("product_art").isNull(), "blank_article", SKIP),
         *product_checks(),
         (too_long(*texts), "too_long", ABORT),
-    ))
+    ), stage=stage)
     return Cleaned(cleaned.rows.drop("_price", "_discount", "_stock"), cleaned.rejects)
 
 
@@ -114,7 +122,7 @@ def product_checks():
     )
 
 
-def clean_orders(raw):
+def clean_orders(raw, stage=as_is):
     """Order sheet headers; item cells are carried along for ``import_items``."""
     code = whole(F.col("code"))
     client = default_if_blank(F.col("client"), fixed.NO_VALUE)
@@ -135,5 +143,5 @@ def clean_orders(raw):
         (F.col("order_date").isNull(), "bad_order_date", SKIP),
         (F.col("_code"), "bad_pickup_code", ABORT),
         (too_long("user_name", "status_name"), "too_long", ABORT),
-    ))
+    ), stage=stage)
     return Cleaned(cleaned.rows.drop("_code"), cleaned.rejects)

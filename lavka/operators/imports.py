@@ -1,4 +1,7 @@
-"""Bulk import steps: cleaned landing rows -> new table rows and rejects."""
+"""Bulk import steps: landing rows -> new table rows and rejects.
+
+Each step cleans its input once and keeps the checked rows in the shared folder.
+"""
 
 from typing import NamedTuple
 
@@ -37,16 +40,16 @@ class OrderImport(NamedTuple):
 
 
 def import_users(raw, users, salt):
-    cleaned = clean_users(raw, salt)
+    cleaned = clean_users(raw, salt, cut)
     return UserImport(new_users(cleaned.rows, users), cleaned.rejects)
 
 
 def import_products(raw, products, suppliers, categories):
     """Products are always appended; missing suppliers and categories are created."""
-    cleaned = clean_products(raw)
+    cleaned = clean_products(raw, cut)
     supplier_keys = get_or_create(suppliers, "supp_id", "supp_name", cleaned.rows, "supp_name")
     category_keys = get_or_create(categories, "categ_id", "categ_name", cleaned.rows, "categ_name")
-    # Numbered before the joins, so that counting the blocks reads the file only.
+    # Numbered before the joins, so that counting the blocks reads one column.
     rows = number_rows(cleaned.rows, "row_no", "product_id", last_key(products, "product_id"))
     keyed = attach_key(attach_key(rows, "supp_name", supplier_keys), "categ_name", category_keys)
     return ProductImport(
@@ -105,11 +108,11 @@ def import_items(headers, products, order_items):
 
 def import_orders(raw, addresses, orders, order_items, products, points, statuses):
     """Order headers and items; missing pickup points and statuses are created."""
-    cleaned = clean_orders(raw)
+    cleaned = clean_orders(raw, cut)
     located = resolve_pickups(cleaned.rows, addresses)
     point_keys = get_or_create(points, "pp_id", "pp_name", located, "pickup_address")
     status_keys = get_or_create(statuses, "status_id", "status_name", cleaned.rows, "status_name")
-    # Numbered before the joins, so that counting the blocks reads the file only.
+    # Numbered before the joins, so that counting the blocks reads one column.
     headers = number_rows(cleaned.rows, "row_no", "order_id", last_key(orders, "order_id"))
     keyed = attach_key(
         attach_key(resolve_pickups(headers, addresses), "pickup_address", point_keys),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lavka import schemas
 from lavka.functions.numbers import typed_code
-from lavka.functions.text import bad_quantity, blank_to_null, parse_order_text, strip
+from lavka.functions.text import bad_quantity, blank_to_null, entry_article, entry_quantity, order_entries, strip
 from lavka.operators.cleaning import ABORT, first_problem, split, too_long
 from lavka.operators.dims import exact_keys
 from lavka.operators.numbering import last_key, number_rows
@@ -44,7 +44,7 @@ def _refused(rows, row_no, reason):
 
 
 def _checked(forms, products, statuses, points, row_no, *keep):
-    """Valid forms as order headers plus their parsed ``lines``, and the rejects."""
+    """Valid forms as order headers plus the entries of their ``lines``, and the rejects."""
     code = typed_code(F.col("receiver_code"))
     digits = F.coalesce(strip(F.col("receiver_code")).rlike("^[+-]?[0-9]+$"), F.lit(False))
     rows = forms.select(
@@ -56,20 +56,20 @@ def _checked(forms, products, statuses, points, row_no, *keep):
         blank_to_null(F.col("user_name")).alias("user_name"),
         code.alias("order_pp_code"),
         blank_to_null(F.col("status_name")).alias("status_name"),
-        parse_order_text(F.col("product_article")).alias("lines"),
+        order_entries(F.col("product_article")).alias("lines"),
         (digits & code.isNull()).alias("_code"),
     )
     local = split(rows, "orders", first_problem(
         (F.size("lines") == 0, "no_items", ABORT),
-        (F.exists("lines", lambda i: bad_quantity(i["qty"])), "bad_quantity", ABORT),
+        (F.exists("lines", lambda e: bad_quantity(entry_quantity(e))), "bad_quantity", ABORT),
         (F.col("_code"), "bad_pickup_code", ABORT),
         (too_long("user_name"), "too_long", ABORT),
-    ), row_no)
+    ), row_no, stage=cut)
     rows = local.rows.drop("_code")
 
     unknown_article = (
         rows.select(row_no, F.explode("lines").alias("line"))
-        .select(row_no, F.col("line.art").alias("art"))
+        .select(row_no, entry_article(F.col("line")).alias("art"))
         .join(article_keys(products), "art", "left_anti")
         .select(row_no).distinct()
     )
@@ -102,9 +102,14 @@ def _items(headers, products):
     first = F.col("last_item") - F.size("lines") + 1
     return (
         headers.select("order_id", first.alias("first"), F.posexplode("lines").alias("pos", "line"))
-        .select("order_id", (F.col("first") + F.col("pos")).alias("order_item_id"), "line.*")
+        .select(
+            "order_id",
+            (F.col("first") + F.col("pos")).alias("order_item_id"),
+            entry_article(F.col("line")).alias("art"),
+            entry_quantity(F.col("line")).alias("product_quantity"),
+        )
         .join(article_keys(products), "art")
-        .select("order_item_id", "order_id", "product_id", F.col("qty").alias("product_quantity"))
+        .select("order_item_id", "order_id", "product_id", "product_quantity")
     )
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lavka.functions.numbers import is_number, whole
-from lavka.functions.text import bad_quantity, blank_to_null, parse_order_text, strip
+from lavka.functions.text import bad_quantity, blank_to_null, explode_order_text, strip
 from lavka.operators.dims import trimmed_keys
 from lavka.operators.numbering import number_rows
 from lavka.session import cut
@@ -22,11 +22,8 @@ def resolve_items(requests, products, *keep, row_no="row_no", text="order_text")
     exact characters, blanks around them aside. ``keep`` names columns to
     carry along.
     """
-    lines = requests.select(
-        row_no, *keep, F.posexplode(parse_order_text(F.col(text))).alias("pos", "item")
-    )
     return (
-        lines.select(row_no, *keep, "pos", "item.art", "item.qty")
+        explode_order_text(requests, text, row_no, *keep)
         .join(article_keys(products), "art", "left")
         .withColumn(
             "problem",

@@ -144,8 +144,10 @@ ARTICLES = """articles as (
   select trim(product_art) as art, min(product_id) as product_id
   from r_products where product_art is not null group by 1)"""
 
-NET = ("cast(round(coalesce({p}, 0) * (100 - greatest(coalesce({d}, 0), 0)) / 100, 2) "
-       "as decimal(12,2))")
+# Exact decimals throughout: a division would turn them into doubles, which are
+# off at half cents.
+NET = ("cast(round(cast(coalesce({p}, 0) * (100 - greatest(coalesce({d}, 0), 0)) as decimal(18,2)) "
+       "* cast(0.01 as decimal(3,2)), 2) as decimal(12,2))")
 HIGHLIGHT = ("case when {d} > 15 then 'big_discount' when coalesce({s}, 0) = 0 "
              "then 'out_of_stock' else 'plain' end")
 
@@ -530,6 +532,10 @@ select order_id, 0 as part, pos, trim(article) as art, quantity as qty from posi
         views_of("order_forms"), parsed("lines", "r_order_forms", "row_no", "product_article"),
         "select row_no, pos, art, qty from lines",
     ),
+    "order_line_arrays": sql(
+        views_of("order_forms"), parsed("lines", "r_order_forms", "row_no", "product_article"), """
+select f.row_no, cast(count(l.pos) as int) as items, cast(coalesce(sum(l.qty), 0) as bigint) as pieces
+from r_order_forms f left join lines l on l.row_no = f.row_no group by 1"""),
     "catalog_list": sql(CATALOG, "select * from catalog"),
     "catalog_search": sql(CATALOG, "select * from catalog where " + FOUND.format("RED w_dget")),
     "catalog_by_supplier": sql(CATALOG, "select * from catalog where supplier_name = 'Supplier#000000001'"),

@@ -9,7 +9,7 @@ from lavka import fixed
 from lavka.functions.cards import card_columns, highlight, net_price
 from lavka.functions.numbers import iso_date
 from lavka.functions.roles import is_admin, is_manager_or_admin, role_code, role_title
-from lavka.functions.text import parse_order_text
+from lavka.functions.text import explode_order_text, parse_order_text
 from lavka.operators import (
     audit, catalog, changes, cleaning, dims, imports, names, ordering, orders, products, resolve, users,
 )
@@ -19,7 +19,7 @@ from lavka.session import shared_dir
 from lavka.sources import files, tables
 from lavka.streaming import intake, registration
 
-ORDER_TABLES = ("orders", "order_items", "products", "statuses", "pickup_points")
+ORDER_TABLES = ("orders", "order_items", "product_articles", "statuses", "pickup_points")
 CATALOG_TABLES = ("products", "categories", "suppliers")
 
 SEARCH_TEXT = " RED w_dget"
@@ -61,21 +61,23 @@ def order_lookup(spark, sf):
 
 
 def order_text_format(spark, sf):
-    return orders.editable_texts(*views(spark, sf, "order_items", "products"))
+    return orders.editable_texts(*views(spark, sf, "order_items", "product_articles"))
 
 
 def order_text_parse(spark, sf):
-    texts = orders.editable_texts(*views(spark, sf, "order_items", "products"))
-    return texts.select(
-        "order_id", "part", F.posexplode(parse_order_text(F.col("order_text"))).alias("pos", "item")
-    ).select("order_id", "part", "pos", "item.art", "item.qty")
+    texts = orders.editable_texts(*views(spark, sf, "order_items", "product_articles"))
+    return explode_order_text(texts, "order_text", "order_id", "part")
 
 
 def order_lines(spark, sf):
+    return explode_order_text(view(spark, sf, "order_forms"), "product_article", "row_no")
+
+
+def order_line_arrays(spark, sf):
     forms = view(spark, sf, "order_forms")
-    return forms.select(
-        "row_no", F.posexplode(parse_order_text(F.col("product_article"))).alias("pos", "item")
-    ).select("row_no", "pos", "item.art", "item.qty")
+    lines = forms.select("row_no", parse_order_text(F.col("product_article")).alias("items"))
+    return lines.select("row_no", F.size("items").alias("items"), F.expr(
+        "aggregate(items, 0L, (n, i) -> n + coalesce(i.qty, 0))").alias("pieces"))
 
 
 # ---- catalogue --------------------------------------------------------------
@@ -196,7 +198,7 @@ def _import_orders(spark, sf):
     raw, lines = views(spark, sf, "raw_orders", "raw_points")
     return imports.import_orders(
         raw, resolve.kept_addresses(lines),
-        *views(spark, sf, "orders", "numbered_items", "products", "pickup_points", "statuses"),
+        *views(spark, sf, "orders", "numbered_items", "product_articles", "pickup_points", "statuses"),
     )
 
 
@@ -238,7 +240,7 @@ def import_files(spark, sf):
 
 
 def _resolved(spark, sf):
-    forms, table = views(spark, sf, "order_forms", "products")
+    forms, table = views(spark, sf, "order_forms", "product_articles")
     return resolve.resolve_items(forms, table, text="product_article")
 
 
@@ -298,7 +300,7 @@ def products_blocked(spark, sf):
 
 def _place_orders(spark, sf):
     return ordering.place_orders(*views(
-        spark, sf, "order_forms", "orders", "numbered_items", "products", "statuses", "pickup_points"
+        spark, sf, "order_forms", "orders", "numbered_items", "product_articles", "statuses", "pickup_points"
     ))
 
 
@@ -316,7 +318,7 @@ def orders_insert_rejects(spark, sf):
 
 def _replace_orders(spark, sf):
     return ordering.replace_orders(*views(
-        spark, sf, "order_changes", "orders", "numbered_items", "products", "statuses", "pickup_points"
+        spark, sf, "order_changes", "orders", "numbered_items", "product_articles", "statuses", "pickup_points"
     ))
 
 
@@ -386,7 +388,7 @@ def stream_order_intake(spark, sf):
     forms = _land(spark, view(spark, sf, "order_forms"), folder)
     root = f"{folder}/shop"
     intake.order_intake(
-        forms, root, f"{folder}/checkpoint", *views(spark, sf, "products", "statuses", "pickup_points")
+        forms, root, f"{folder}/checkpoint", *views(spark, sf, "product_articles", "statuses", "pickup_points")
     ).awaitTermination()
     stored = tables.read_table(spark, root, "orders").join(
         tables.read_table(spark, root, "order_items"), "order_id", "left"
@@ -409,6 +411,7 @@ QUERIES = {
     "order_text_format": order_text_format,
     "order_text_parse": order_text_parse,
     "order_lines": order_lines,
+    "order_line_arrays": order_line_arrays,
     "catalog_list": _catalog(),
     "catalog_search": _catalog(text=SEARCH_TEXT),
     "catalog_by_supplier": _catalog(supplier=SUPPLIER),

@@ -54,12 +54,17 @@ select c_custkey as user_id,
   <HASH>concat('shop:', c_name, ':pw', cast(c_custkey % 7 as <S>))</HASH> as user_secret
 from {customer}"""
 
+_ARTICLE = """case when p.p_partkey % 7 = 0 then concat('  P', cast(p.p_partkey as <S>), ' ')
+       else concat('P', cast(p.p_partkey as <S>)) end"""
+
+# The columns of products that orders need.
+PRODUCT_ARTICLES = f"select p.p_partkey as product_id, {_ARTICLE} as product_art from {{part}} p"
+
 # Pads some articles, blanks some manufacturers, leaves some keys out;
 # discount 0..30, stock 0..12.
-PRODUCTS = """
+PRODUCTS = f"""
 select p.p_partkey as product_id,
-  case when p.p_partkey % 7 = 0 then concat('  P', cast(p.p_partkey as <S>), ' ')
-       else concat('P', cast(p.p_partkey as <S>)) end as product_art,
+  {_ARTICLE} as product_art,
   p.p_name as product_name,
   'шт.' as product_unit,
   cast(p.p_retailprice as decimal(10,2)) as product_price,
@@ -73,8 +78,8 @@ select p.p_partkey as product_id,
   concat(p.p_name, ' ', lower(p.p_type)) as product_desc,
   case when p.p_partkey % 2 = 1 then null
        else concat(cast(p.p_partkey as <S>), '.jpg') end as product_photo
-from {part} p
-left join (select l_partkey, min(l_suppkey) as s from {lineitem} group by l_partkey) l
+from {{part}} p
+left join (select l_partkey, min(l_suppkey) as s from {{lineitem}} group by l_partkey) l
   on l.l_partkey = p.p_partkey"""
 
 ORDERS = """
@@ -293,6 +298,7 @@ VIEWS = {
     "statuses": STATUSES,
     "users": USERS,
     "products": PRODUCTS,
+    "product_articles": PRODUCT_ARTICLES,
     "orders": ORDERS,
     "order_items": ORDER_ITEMS,
     "numbered_items": NUMBERED_ITEMS,

@@ -1,6 +1,7 @@
 """Session settings and the shared folder for files that outlive a stage."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -46,13 +47,12 @@ def shared_dir(spark):
 
 
 def cut(rows):
-    """Write an intermediate result to the shared folder and go on from there.
+    """Write an intermediate result as a table in the shared folder and go on from there.
 
-    For results with several readers: the work above runs once, and a lost
-    executor takes nothing with it.
+    For results with several readers: the work above runs once, later readers
+    take only the columns they need, and a lost executor takes nothing with it.
     """
     spark = rows.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return rows.checkpoint()
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
