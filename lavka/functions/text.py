@@ -36,7 +36,7 @@ def default_if_blank(c, default):
 def first_non_blank(*columns):
     """First cell that holds text; the text ``nan`` is an empty cell."""
     cells = [blank_to_null(c) for c in columns]
-    return F.coalesce(*[F.when(F.lower(c) != "nan", c) for c in cells])
+    return F.coalesce(*[F.when(~c.rlike("(?i)^nan$"), c) for c in cells])
 
 
 def secret_hash(login, secret, salt):

@@ -27,6 +27,11 @@ def large_keys(rows, key, part_bits=PART_BITS):
     return F.broadcast(large) if found <= BROADCAST_ROWS else large
 
 
+def _gathered(rows, key, packed):
+    """Aggregate once, after the shuffle: packing before it would save no bytes."""
+    return rows.repartition(key).groupBy(key).agg(packed)
+
+
 def pack(rows, key, order, packed, part_bits=PART_BITS, probe=None):
     """One row per key and part, holding the aggregate column ``packed``.
 
@@ -36,7 +41,7 @@ def pack(rows, key, order, packed, part_bits=PART_BITS, probe=None):
     large = large_keys(rows if probe is None else probe, key, part_bits)
     whole = F.lit(0).cast("long").alias("part")
     if large is None:
-        return rows.groupBy(key).agg(packed).select("*", whole)
+        return _gathered(rows, key, packed).select("*", whole)
     parts = (
         rows.join(large, key, "left_semi")
         .repartitionByRange(F.col(key), F.col(order))
@@ -45,5 +50,5 @@ def pack(rows, key, order, packed, part_bits=PART_BITS, probe=None):
         .groupBy(key, "part")
         .agg(packed)
     )
-    ordinary = rows.join(large, key, "left_anti").groupBy(key).agg(packed).select("*", whole)
+    ordinary = _gathered(rows.join(large, key, "left_anti"), key, packed).select("*", whole)
     return ordinary.unionByName(parts)

@@ -33,7 +33,12 @@ def run_import(spark, landing, root, run_id, salt, strict=True, formats="csv"):
     stage reads back what the stage before it has written, so no lineage grows
     across stages and a lost executor repeats one stage at most.
     """
-    state = tables.read_tables(spark, root, F.col("run_id") != run_id)
+    others = F.col("run_id") != run_id
+    state = {
+        name: tables.read_table(spark, root, name, others) for name in schemas.TABLES
+        if name not in ("orders", "order_items")
+    }
+    numbered = {name: tables.last_keys(spark, root, name, others) for name in ("orders", "order_items")}
     options = {"file_format": formats}
     addresses = kept_addresses(files.read_points(spark, landing["points"]))
 
@@ -45,10 +50,10 @@ def run_import(spark, landing, root, run_id, salt, strict=True, formats="csv"):
     _write(root, run_id, users=users.users, products=products.products,
            suppliers=products.suppliers, categories=products.categories)
 
-    written = spark.read.schema(schemas.PRODUCTS).parquet(f"{root}/products/run_id={run_id}")
+    written = tables.read_run(spark, root, "products", run_id)
     orders = import_orders(
         files.read_orders(spark, landing["orders"], **options), addresses,
-        state["orders"], state["order_items"], state["products"].unionByName(written),
+        numbered["orders"], numbered["order_items"], state["products"].unionByName(written),
         state["pickup_points"], state["statuses"],
     )
     _write(root, run_id, orders=orders.orders, order_items=orders.order_items,
@@ -61,17 +66,14 @@ def run_import(spark, landing, root, run_id, salt, strict=True, formats="csv"):
     report = import_report(spark, root, run_id)
     if strict and report.rejects.where(F.col("severity") == ABORT).limit(1).count():
         raise ImportRefused(f"run {run_id} has rows to correct, see {root}/rejects/{run_id}")
-    tables.publish(spark, root, run_id)
+    tables.publish(spark, root, run_id, schemas.TABLES)
     return report
 
 
 def import_report(spark, root, run_id):
     """Counts and rejects of a run, read from what it has written."""
     rejects = spark.read.schema(schemas.REJECTS).parquet(f"{root}/rejects/{run_id}")
-    written = {
-        name: spark.read.schema(schemas.TABLES[name]).parquet(f"{root}/{name}/run_id={run_id}")
-        for name in schemas.TABLES
-    }
+    written = {name: tables.read_run(spark, root, name, run_id) for name in schemas.TABLES}
     empty = orders_without_items(written["orders"], written["order_items"])
     return ImportReport(summary(rejects, empty, **written), rejects)
 

@@ -172,15 +172,16 @@ select o_orderkey + 1 as row_no,
   case when o_orderkey % 10 = 9 then '' when o_orderkey % 10 = 8 then 'New '
        else o_orderstatus end as status,
   case when o_orderkey % 10 = 0 then null when o_orderkey % 10 in (1, 2) then ' '
-       when o_orderkey % 10 = 3 then 'NaN' else {_ORDER_LINE} end as order_line,
-  case when o_orderkey % 10 = 1 then {_ORDER_LINE} else null end as order_article,
-  case when o_orderkey % 10 = 2 then {_ORDER_LINE} else '' end as order_contents,
-  case when o_orderkey % 10 = 3 then {_ORDER_LINE} else null end as order_positions,
+       when o_orderkey % 10 = 3 then 'NaN' else line end as order_line,
+  case when o_orderkey % 10 = 1 then line else null end as order_article,
+  case when o_orderkey % 10 = 2 then line else '' end as order_contents,
+  case when o_orderkey % 10 = 3 then line else null end as order_positions,
   case when o_orderkey % 50 = 10 then null when o_orderkey % 50 = 20 then 'none'
        when o_orderkey % 50 = 30 then '-7' else concat(cast(o_custkey as <S>), '.0') end as product_no,
   case when o_orderkey % 40 = 0 then 'two' when o_orderkey % 40 = 10 then null
        when o_orderkey % 40 = 20 then '0' else '3.7' end as quantity
-from {{orders}} join {{customer}} on c_custkey = o_custkey join {{nation}} on n_nationkey = c_nationkey"""
+from (select *, {_ORDER_LINE} as line from {{orders}}) o
+  join {{customer}} on c_custkey = o_custkey join {{nation}} on n_nationkey = c_nationkey"""
 
 # Blank lines shift the numbers of the addresses after them.
 RAW_POINTS = """

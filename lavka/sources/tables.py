@@ -2,15 +2,22 @@
 
 A run writes its rows under ``run_id=<id>``; readers see them once the run is
 recorded. Writing a run again replaces its folder, so a job that was lost half
-way is simply repeated, and an abandoned run is never visible.
+way is simply repeated, and an abandoned run is never visible. The record of a
+run also holds the largest key it has written to each table, so that giving out
+the next keys reads no table at all.
 """
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lavka import schemas
 from lavka.sources.files import exists
 
 RUNS = "runs"
+RECORD = "run_id string, last map<string,bigint>"
 
 
 def _stored(schema):
@@ -23,34 +30,47 @@ def append_run(rows, root, name, run_id):
     rows.select(*columns).write.mode("overwrite").parquet(f"{root}/{name}/run_id={run_id}")
 
 
-def publish(spark, root, run_id):
-    """Make everything the run has written visible, in one small write."""
-    spark.createDataFrame([(run_id,)], "run_id string").write.mode("overwrite").parquet(
-        f"{root}/{RUNS}/{run_id}"
+def read_run(spark, root, name, run_id):
+    """What one run has written to a table, published or not."""
+    return spark.read.schema(schemas.TABLES[name]).parquet(f"{root}/{name}/run_id={run_id}")
+
+
+def publish(spark, root, run_id, names):
+    """Make what the run has written to the named tables visible, in one small write."""
+    last = [
+        read_run(spark, root, name, run_id).agg(
+            F.lit(name).alias("name"), F.max(schemas.PRIMARY_KEYS[name]).cast("long").alias("key")
+        )
+        for name in names
+    ]
+    record = reduce(DataFrame.unionByName, last).agg(
+        F.lit(run_id).alias("run_id"),
+        F.map_from_entries(F.collect_list(F.struct("name", "key"))).alias("last"),
     )
+    record.coalesce(1).write.mode("overwrite").parquet(f"{root}/{RUNS}/{run_id}")
 
 
-def published_runs(spark, root):
+def published_runs(spark, root, only=None):
+    """The run records; ``only`` is a condition on ``run_id``."""
     if not exists(spark, f"{root}/{RUNS}"):
-        return spark.createDataFrame([], "run_id string")
-    return spark.read.schema("run_id string").parquet(f"{root}/{RUNS}/*")
+        return spark.createDataFrame([], RECORD)
+    runs = spark.read.schema(RECORD).parquet(f"{root}/{RUNS}/*")
+    return runs if only is None else runs.where(only)
 
 
-def read_table(spark, root, name, only=None):
-    """Rows of all published runs; the run list prunes the folders that are read.
+def last_keys(spark, root, name, only=None):
+    """The largest key of each published run, under the name of the table's key."""
+    key = schemas.PRIMARY_KEYS[name]
+    return published_runs(spark, root, only).select(F.col("last")[name].alias(key))
+
 
-    ``only`` is a condition on ``run_id`` that restricts them further.
-    """
+def read_table(spark, root, name, only=None):
+    """Rows of all published runs; ``only`` is a condition on ``run_id``."""
     schema = schemas.TABLES[name]
     if not exists(spark, f"{root}/{name}"):
         return spark.createDataFrame([], schema)
     stored = spark.read.schema(_stored(schema)).parquet(f"{root}/{name}")
-    runs = published_runs(spark, root)
     if only is not None:
-        runs, stored = runs.where(only), stored.where(only)
+        stored = stored.where(only)
+    runs = published_runs(spark, root, only).select("run_id")
     return stored.join(runs, "run_id", "left_semi").select(*schema.fieldNames())
-
-
-def read_tables(spark, root, only=None):
-    return {name: read_table(spark, root, name, only) for name in schemas.TABLES}
-

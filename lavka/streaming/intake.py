@@ -25,20 +25,20 @@ def before_batch(run_id):
 def place_batch(forms, batch_id, root, products, statuses, points):
     """Store the orders of one micro-batch under a run of its own.
 
-    A batch that is run again (after a failure) sees the same tables as the
+    A batch that is run again (after a failure) builds on the same runs as the
     first time, because later batches do not exist yet, gives the same keys and
     overwrites its own folder: the effect is that of running once.
     """
     spark = forms.sparkSession
     run_id = batch_run(batch_id)
     orders, items = (
-        tables.read_table(spark, root, name, before_batch(run_id)) for name in PLACED
+        tables.last_keys(spark, root, name, before_batch(run_id)) for name in PLACED
     )
     placed = place_orders(forms, orders, items, products, statuses, points)
     tables.append_run(placed.headers, root, "orders", run_id)
     tables.append_run(placed.items, root, "order_items", run_id)
     placed.rejects.write.mode("overwrite").parquet(f"{root}/rejects/{run_id}")
-    tables.publish(spark, root, run_id)
+    tables.publish(spark, root, run_id, PLACED)
 
 
 def order_intake(forms, root, checkpoint, products, statuses, points, **trigger):

@@ -18,7 +18,7 @@ def register_batch(raw, batch_id, root, salt):
     users = tables.read_table(spark, root, "users", before_batch(run_id))
     fresh = new_users(clean_users(raw, salt).rows, users)
     tables.append_run(fresh, root, "users", run_id)
-    tables.publish(spark, root, run_id)
+    tables.publish(spark, root, run_id, ["users"])
 
 
 def registration(raw, root, checkpoint, salt, **trigger):
