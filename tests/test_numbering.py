@@ -1,0 +1,42 @@
+import random
+
+from pyspark.sql import functions as F
+
+from lavka.operators import dims
+from lavka.operators.numbering import last_key, number_rows
+
+
+def test_dense_in_order_whatever_the_partitions(spark):
+    wanted = random.Random(3).sample(range(100_000), 2_000)
+    rows = spark.createDataFrame([(n,) for n in wanted], "row_no long")
+    for parts in (1, 7):
+        out = number_rows(rows.repartition(parts), "row_no", "id", F.lit(10), block_bits=8).collect()
+        assert [r.id for r in sorted(out, key=lambda r: r.row_no)] == list(range(11, 2_011))
+
+
+def test_weighted_sums(spark):
+    rows = spark.createDataFrame([(n, n % 4) for n in range(1_000)], "row_no long, size int")
+    out = number_rows(rows, "row_no", "id", F.lit(0), block_bits=5, upto=(F.lit(100), F.col("size")))
+    total = 100
+    for r in sorted(out.collect(), key=lambda r: r.row_no):
+        total += r["size"]
+        assert (r.id, r.upto) == (r.row_no + 1, total)
+
+
+def test_last_key_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "id long")
+    assert spark.range(1).select(last_key(empty, "id")).first()[0] == 0
+
+
+def test_get_or_create(spark, shop):
+    cells = [(3, "Gamma"), (1, " Alfa "), (2, "Beta"), (5, " "), (4, None), (9, "Gamma"), (8, "Delta"), (7, "alfa")]
+    incoming = spark.createDataFrame(cells, "row_no long, supplier string")
+    found = dims.get_or_create(shop["suppliers"], "supp_id", "supp_name", incoming, "supplier")
+    # Case matters; of two equal names the smaller id counts; new ids in order of appearance.
+    assert sorted(map(tuple, found.created.collect())) == [(5, "Gamma"), (6, "alfa"), (7, "Delta")]
+    keyed = dims.attach_key(incoming, "supplier", found).collect()
+    assert {r.row_no: r.supp_id for r in keyed} == {
+        3: 5, 1: 1, 2: 2, 5: None, 4: None, 9: 5, 8: 7, 7: 6}
+    again = dims.get_or_create(
+        shop["suppliers"].unionByName(found.created), "supp_id", "supp_name", incoming, "supplier")
+    assert again.created.count() == 0
