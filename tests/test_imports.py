@@ -2,7 +2,6 @@ import datetime
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
 
 from lavka import fixed, schemas
 from lavka.operators import cleaning, imports, resolve, users
@@ -217,15 +216,30 @@ def test_delimited_table(spark, folder):
         files.read_delimited(spark, path, "id int, price decimal(10,2), day date, note string").collect()
 
 
+SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2KB",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+}
+
+
 def test_one_article_on_a_third_of_the_items(spark):
-    """A hot article and a shuffled join: every item is kept."""
+    """A hot article in a shuffled join: its partition is split, every item is kept."""
     products = spark.range(1, 201).selectExpr("id as product_id", "concat('P', id) as product_art")
-    forms = spark.range(3000).selectExpr(
+    forms = spark.range(0, 6000, 1, 8).selectExpr(
         "id as row_no", "concat('P', case when id % 3 = 0 then 7 else id % 190 + 1 end, ', 2') as order_text")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before = {k: spark.conf.get(k, None) for k in SKEW}
+    for k, v in SKEW.items():
+        spark.conf.set(k, v)
     try:
         resolved = resolve.resolve_items(forms, products)
-        assert resolved.where(F.col("problem").isNull()).count() == 3000
-        assert resolved.where("product_id = 7").count() >= 1000
+        rows = resolved.collect()
+        assert len(rows) == 6000 and not any(r.problem for r in rows)
+        assert sum(r.product_id == 7 for r in rows) >= 2000
+        assert "skew=true" in resolved._jdf.queryExecution().executedPlan().toString()
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
