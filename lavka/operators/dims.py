@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lavka.functions.text import blank_to_null
 from lavka.operators.numbering import last_key, number_rows
+from lavka.operators.sizing import lookup_side
 from lavka.session import cut
 
 
@@ -17,16 +18,18 @@ class Dimension(NamedTuple):
 
 def exact_keys(table, key, name):
     """Name -> smallest key with exactly that name."""
-    return table.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(key).alias(key))
+    keys = table.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(key).alias(key))
+    return lookup_side(keys, name)
 
 
 def trimmed_keys(table, key, name, out):
     """Trimmed name -> smallest key; one row per name, combined before the shuffle."""
-    return (
+    keys = (
         table.where(F.col(name).isNotNull())
         .groupBy(F.trim(name).alias(out))
         .agg(F.min(key).alias(key))
     )
+    return lookup_side(keys, out)
 
 
 def get_or_create(table, key, name, incoming, cell, row_no="row_no"):
@@ -47,7 +50,7 @@ def get_or_create(table, key, name, incoming, cell, row_no="row_no"):
     fresh = number_rows(missing, "first_row", key, last_key(table, key))
     return Dimension(
         created=fresh.select(key, F.col("name").alias(name)),
-        keys=known.unionByName(fresh.select("name", key)),
+        keys=lookup_side(known.unionByName(fresh.select("name", key)), "name"),
     )
 
 

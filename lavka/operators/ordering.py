@@ -18,6 +18,7 @@ from lavka.operators.dims import exact_keys
 from lavka.operators.numbering import last_key, number_rows
 from lavka.operators.products import Deletion
 from lavka.operators.resolve import article_keys
+from lavka.operators.sizing import lookup_side
 from lavka.session import cut
 
 HEADER = [f.name for f in schemas.ORDERS if f.name != "order_id"]
@@ -141,7 +142,8 @@ def replace_orders(changes, orders, items, products, statuses, points):
     fresh = _items(
         _numbered(last.select("order_id", "new.change_no", "new.lines"), "change_no", items), products
     )
-    kept = items.join(last.select("order_id"), "order_id", "left_anti").select(*fresh.columns)
+    changed = lookup_side(last.select("order_id"), "order_id")
+    kept = items.join(changed, "order_id", "left_anti").select(*fresh.columns)
     return Replaced(
         table,
         kept.unionByName(fresh),

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lavka.functions.text import format_order_items, listed_item
 from lavka.operators.packing import PART_BITS, pack
+from lavka.operators.sizing import lookup_side
 
 
 def _with_names(orders, statuses, points):
@@ -104,7 +105,7 @@ def order_by_id(orders, items, products, statuses, points, order_id):
 
 def orders_by_id(orders, items, products, statuses, points, keys):
     """Batch form of the point lookup: documents of all given orders."""
-    wanted = keys.select("order_id").distinct()
+    wanted = lookup_side(keys.select("order_id").distinct(), "order_id")
     return order_documents(
         orders.join(wanted, "order_id", "left_semi"), items.join(wanted, "order_id", "left_semi"),
         products, statuses, points,

@@ -8,12 +8,14 @@ gaps). Reading the parts in order gives the whole sequence.
 
 from pyspark.sql import functions as F
 
-from lavka.operators.sizing import BROADCAST_ROWS
+from lavka.operators.sizing import BROADCAST_ROWS, lookup_side
+from lavka.session import cut
 
 # Power of two, so that parts never straddle two sort partitions.
 PART_BITS = 12
 PART_ROWS = 1 << PART_BITS
 
+
 def large_keys(rows, key, part_bits=PART_BITS):
     """Keys with more rows than one part holds, or None when there are none.
 
@@ -24,7 +26,8 @@ def large_keys(rows, key, part_bits=PART_BITS):
     found = large.limit(BROADCAST_ROWS + 1).count()
     if not found:
         return None
-    return F.broadcast(large) if found <= BROADCAST_ROWS else large
+    large = cut(large)
+    return F.broadcast(large) if found <= BROADCAST_ROWS else lookup_side(large, key)
 
 
 def _gathered(rows, key, packed):

@@ -1,4 +1,4 @@
-"""Broadcasts that are backed by a count."""
+"""Lookup sides of joins: broadcasts backed by a count, and shuffles that may be split."""
 
 from pyspark.sql import functions as F
 
@@ -14,3 +14,14 @@ def broadcast_if_small(rows, limit=BROADCAST_ROWS):
     as large as that table until it has run.
     """
     return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows
+
+
+def lookup_side(keys, *on):
+    """Let the join on ``on`` that follows shuffle the aggregated keys anew.
+
+    A join that reuses the partitioning of an aggregate is left alone by
+    adaptive execution. With a shuffle of its own on both sides it may split
+    the partitions of hot keys on the large side. The keys are spread by
+    another hash, so that Spark does not take them for partitioned already.
+    """
+    return keys.repartition(F.xxhash64(*on))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lavka.functions.roles import capabilities, role_title
 from lavka.functions.text import display_name, secret_hash, strip
 from lavka.operators.numbering import last_key, number_rows
+from lavka.operators.sizing import lookup_side
 from lavka.session import cut
 
 REGISTERED = ["user_role", "user_name", "user_login", "user_secret"]
@@ -42,7 +43,9 @@ def signin_matches(attempts, users, salt):
         strip(F.col("login")).alias("login"),
         secret_hash(F.col("login"), F.col("secret"), salt).alias("user_secret"),
     )
-    return tried.join(accounts, ["login", "user_secret"], "left").select(
+    return tried.join(
+        lookup_side(accounts, "login", "user_secret"), ["login", "user_secret"], "left"
+    ).select(
         "attempt_id",
         "login",
         "user.user_id",

@@ -4,7 +4,7 @@ from decimal import Decimal
 import pytest
 
 from lavka import fixed, schemas
-from lavka.operators import cleaning, imports, resolve, users
+from lavka.operators import cleaning, dims, imports, resolve, users
 from lavka.plans.importing import ImportRefused, run_import
 from lavka.sources import files, tables
 
@@ -226,20 +226,46 @@ SKEW = {
 }
 
 
-def test_one_article_on_a_third_of_the_items(spark):
-    """A hot article in a shuffled join: its partition is split, every item is kept."""
-    products = spark.range(1, 201).selectExpr("id as product_id", "concat('P', id) as product_art")
-    forms = spark.range(0, 6000, 1, 8).selectExpr(
-        "id as row_no", "concat('P', case when id % 3 = 0 then 7 else id % 190 + 1 end, ', 2') as order_text")
+@pytest.fixture
+def tiny_partitions(spark):
+    """Shuffled joins, and partitions that count as skewed at test sizes."""
     before = {k: spark.conf.get(k, None) for k in SKEW}
     for k, v in SKEW.items():
         spark.conf.set(k, v)
-    try:
-        resolved = resolve.resolve_items(forms, products)
-        rows = resolved.collect()
-        assert len(rows) == 6000 and not any(r.problem for r in rows)
-        assert sum(r.product_id == 7 for r in rows) >= 2000
-        assert "skew=true" in resolved._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def split_by_adaptive_execution(rows):
+    return "skew=true" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def hot_lines(spark):
+    return spark.range(0, 6000, 1, 8).selectExpr(
+        "id as row_no", "concat('P', case when id % 3 = 0 then 7 else id % 190 + 1 end, ', 2') as order_text")
+
+
+def test_one_article_on_a_third_of_the_items(spark, tiny_partitions, hot_lines):
+    """A hot article in shuffled joins: its partition is split, every item is kept."""
+    products = spark.range(1, 201).selectExpr("id as product_id", "concat('P', id) as product_art")
+    resolved = resolve.resolve_items(hot_lines, products)
+    rows = resolved.collect()
+    assert len(rows) == 6000 and not any(r.problem for r in rows)
+    assert sum(r.product_id == 7 for r in rows) >= 2000
+    assert split_by_adaptive_execution(resolved)
+
+    arts = hot_lines.selectExpr("row_no", "split_part(order_text, ',', 1) as art")
+    missing = arts.join(resolve.article_keys(products.where("product_id > 7")), "art", "left_anti")
+    assert len(missing.collect()) == sum(r.product_id <= 7 for r in rows)
+    assert split_by_adaptive_execution(missing)
+
+
+def test_one_name_on_a_third_of_the_rows(spark, tiny_partitions, hot_lines):
+    rows = hot_lines.selectExpr("row_no", "split_part(order_text, ',', 1) as supplier")
+    table = spark.range(1, 101).selectExpr("id as supp_id", "concat('P', id) as supp_name")
+    found = dims.get_or_create(table, "supp_id", "supp_name", rows, "supplier")
+    keyed = dims.attach_key(rows, "supplier", found)
+    assert [r.supp_id is None for r in keyed.collect()] == [False] * 6000
+    assert split_by_adaptive_execution(keyed)
