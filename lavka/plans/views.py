@@ -11,7 +11,23 @@ import re
 
 from lavka.operators.sizing import broadcast_if_small
 
-SOURCES = ("customer", "events", "lineitem", "nation", "orders", "part", "supplier")
+# Source tables with their schemas, so that planning reads no file.
+SOURCES = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+        "l_shipdate timestamp_ntz"
+    ),
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+}
 
 ENGINES = {
     "spark": {
@@ -333,7 +349,7 @@ def duckdb_sql(name):
 
 
 def source(spark, sf_dir, table):
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spark.read.schema(SOURCES[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
 def view(spark, sf_dir, name):
