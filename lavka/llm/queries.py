@@ -1,6 +1,6 @@
 """The operators of this folder applied to their whole tables, and SQL where it can say the same."""
 
-from lavka.llm import exact_dedup, mixing, simhash_dedup, url_filter
+from lavka.llm import exact_dedup, imatch, language_id, mixing, simhash_dedup, url_filter
 from lavka.llm.tables import table
 
 URL_RULES = (
@@ -12,6 +12,10 @@ URL_RULES = (
 )
 
 
+def op3_imatch(spark, sf):
+    return imatch.fingerprints_and_edits(table(spark, sf, "documents"))
+
+
 def op4_url_filter(spark, sf):
     pages = table(spark, sf, "pages")
     # The small labelled table: pages that a rule decides.
@@ -19,6 +23,10 @@ def op4_url_filter(spark, sf):
     return url_filter.judge(pages, URL_RULES, model)
 
 
+def op5_language_id(spark, sf):
+    return language_id.identify(table(spark, sf, "documents"))
+
+
 def op7_source_mixing(spark, sf):
     return mixing.taken_words(table(spark, sf, "documents"))
 
@@ -32,7 +40,9 @@ def op9_exact_dedup(spark, sf):
 
 
 QUERIES = {
+    "op3_imatch": op3_imatch,
     "op4_url_filter": op4_url_filter,
+    "op5_language_id": op5_language_id,
     "op7_source_mixing": op7_source_mixing,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_exact_dedup": op9_exact_dedup,
