@@ -1,6 +1,10 @@
 """The operators of this folder applied to their whole tables, and SQL where it can say the same."""
 
-from lavka.llm import exact_dedup, imatch, language_id, mixing, simhash_dedup, url_filter
+import public_tokenizers
+
+from lavka.llm import (
+    exact_dedup, imatch, language_id, mixing, sentencepiece_codec, simhash_dedup, token_counts, url_filter,
+)
 from lavka.llm.tables import table
 
 URL_RULES = (
@@ -12,6 +16,16 @@ URL_RULES = (
 )
 
 
+def tokenizer_file(name):
+    """Bytes of a tokenizer file, read by the driver; operators send them to the executors."""
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
+def op1_sentencepiece(spark, sf):
+    return sentencepiece_codec.round_trips(table(spark, sf, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op3_imatch(spark, sf):
     return imatch.fingerprints_and_edits(table(spark, sf, "documents"))
 
@@ -39,13 +53,20 @@ def op9_exact_dedup(spark, sf):
     return exact_dedup.exact_groups(table(spark, sf, "documents"), keep="max")
 
 
+def op10_token_counts(spark, sf):
+    return token_counts.token_counts(
+        table(spark, sf, "documents"), tokenizer_file("word_bpe_49k.json").decode("utf-8"))
+
+
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op3_imatch": op3_imatch,
     "op4_url_filter": op4_url_filter,
     "op5_language_id": op5_language_id,
     "op7_source_mixing": op7_source_mixing,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE = {
