@@ -160,7 +160,7 @@ def mix(docs, weights=WEIGHTS, share=1.5, most=MAX_EPOCHS, block_words=1024, sha
     pieces = pieces.select(
         "src", "block", "start", "doc_id", "epoch", (begin - F.col("low")).alias("first_word"),
         (F.least(F.col("high"), (F.col("block") + 1) * block_words) - begin).alias("words"),
-    ).join(dealt_blocks(spark, blocks, shard_blocks, seed), ["src", "block"])
+    ).join(dealt_blocks(spark, blocks, shard_blocks, seed).hint("merge"), ["src", "block"])
     return documents, pieces
 
 
