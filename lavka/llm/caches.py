@@ -19,8 +19,11 @@ class GenerationCache(dict):
             # Keys of any length would make the size of the cache unbounded.
             if len(key) > self.longest:
                 return value
+        self.put(key, value)
+        return value
+
+    def put(self, key, value):
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         self[key] = value
-        return value

@@ -3,7 +3,8 @@
 import public_tokenizers
 
 from lavka.llm import (
-    exact_dedup, imatch, language_id, mixing, sentencepiece_codec, simhash_dedup, token_counts, url_filter,
+    exact_dedup, imatch, language_id, mixing, sentencepiece_codec, simhash_dedup, token_counts, token_planes,
+    url_filter,
 )
 from lavka.llm.tables import table
 
@@ -41,6 +42,11 @@ def op5_language_id(spark, sf):
     return language_id.identify(table(spark, sf, "documents"))
 
 
+def op6_token_planes(spark, sf):
+    return token_planes.stored_checks(
+        table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json").decode("utf-8"), end_id=2)
+
+
 def op7_source_mixing(spark, sf):
     return mixing.taken_words(table(spark, sf, "documents"))
 
@@ -63,6 +69,7 @@ QUERIES = {
     "op3_imatch": op3_imatch,
     "op4_url_filter": op4_url_filter,
     "op5_language_id": op5_language_id,
+    "op6_token_planes": op6_token_planes,
     "op7_source_mixing": op7_source_mixing,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_exact_dedup": op9_exact_dedup,

@@ -1,0 +1,92 @@
+import random
+import tempfile
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from lavka.llm import token_planes as P
+from lavka.llm.queries import op6_token_planes
+
+SF = "/root/testdata/sf0.001"
+LETTERS = [*"ab c\n\t ,.!?'\"-_éß²½٣日本😀<>0\x00​\x1c\x85 　", "  ", "the ", "ing", "<|endoftext|>", "   ", "'s", "'LL"]
+
+
+@pytest.fixture(scope="module")
+def spec():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@pytest.mark.parametrize("planes", [P.BYTES, P.BITS])
+def test_planes_round_trip(planes):
+    rng = np.random.default_rng(1)
+    for n, top in ((0, 1), (1, 1), (1, 2 ** 32), (13, 2), (1000, 50_257), (65_536, 300), (9, 2 ** 24)):
+        ids = rng.integers(0, top, n, dtype=np.uint32)
+        assert P.from_planes(P.to_planes(ids, planes), n, planes).tolist() == ids.tolist()
+    assert len(P.to_planes(np.array([50_256], np.uint32), planes)) == (2 if planes == P.BYTES else 16)
+
+
+def test_same_as_the_library(spec, library):
+    encoder, rng = P.Encoder(spec, cache_size=300), random.Random(7)
+    texts = ["", " ", "\n" * 40, "a" * 3000] + ["".join(rng.choice(LETTERS) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
+    for text, expected in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(encoder.encode(text), np.uint32).tolist() == expected.ids, text
+
+
+def expected_rows(rows, library):
+    start, out = 0, []
+    for doc_id, text in rows:
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
+        out.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    return out
+
+
+@pytest.mark.parametrize("block, planes", [(65_536, P.BYTES), (7, P.BITS), (1, P.BYTES)])
+def test_store_with_any_block_size(spark, spec, library, block, planes):
+    rows = [(i, "the cat sat " * (i % 9) + str(i)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = P.stored_checks(docs, spec, 2, block=block, planes=planes).collect()
+    assert sorted(map(tuple, found)) == expected_rows(rows, library)
+
+
+def test_files_and_ids(spark, spec, library):
+    docs = spark.createDataFrame([(2, "b b b"), (1, None), (3, "c " * 500)], "doc_id int, text string")
+    path = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/store"
+    schema = P.write_store(docs, spec, path, 2, block=100)
+    stored = spark.read.parquet(path)
+    blocks = stored.where("kind = 'block'").select("n", "planes", F.size("data").alias("k")).collect()
+    assert max(b.n for b in blocks) == 100 and {b.planes for b in blocks} == {P.BYTES}
+    found = P.read_ids(spark, path, schema).orderBy("doc_id").collect()
+    assert [r.ids for r in found] == [
+        " ".join(map(str, [*library.encode(t, add_special_tokens=False).ids, 2])) for t in ("", "b b b", "c " * 500)]
+    assert [r.start for r in found] == [0, 1, 5]
+
+
+def test_awkward_and_empty(spec, library, awkward, empty):
+    found = sorted(map(tuple, P.stored_checks(awkward, spec, 2, block=1000).collect()), key=lambda r: r[1])
+    rows = {}
+    for r in awkward.collect():
+        rows.setdefault(r.doc_id, []).append(r.text)
+    assert [r[0] for r in found] == sorted((r[0] for r in found), key=lambda i: (i is not None, i))
+    start = 0
+    for doc_id, first, n, crc in found:
+        assert first == start
+        start += n
+        assert (n, crc) in [e[2:] for t in rows[doc_id] for e in expected_rows([(doc_id, t)], library)]
+    assert len(found) == sum(map(len, rows.values()))
+    assert P.stored_checks(empty, spec, 2).collect() == []
+
+
+def test_query_against_the_library(spark, library, tables):
+    rows = tables.execute("select doc_id, text from documents order by doc_id").fetchall()
+    assert sorted(map(tuple, op6_token_planes(spark, SF).collect())) == expected_rows(rows, library)
