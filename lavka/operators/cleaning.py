@@ -13,6 +13,8 @@ from lavka import fixed
 from lavka.functions.numbers import money, parse_date, unreadable, whole
 from lavka.functions.roles import role_code
 from lavka.functions.text import blank_to_null, default_if_blank, first_non_blank, secret_hash
+from lavka.operators.gate import numbered_wrongly
+from lavka.operators.resolve import resolve_pickups
 
 SKIP, ABORT = "skip", "abort"
 
@@ -23,11 +25,15 @@ class Cleaned(NamedTuple):
 
 
 def first_problem(*checks):
-    """First failing check of (condition, reason, severity) as a struct, or NULL."""
-    found = None
+    """First failing check of (condition, reason, severity) as a struct, or NULL.
+
+    A wrong row number (see ``numbered_wrongly``) comes before all of them.
+    """
+    number = F.col("_number")
+    found = F.when(number.isNotNull(), F.struct(number.alias("reason"), F.lit(ABORT).alias("severity")))
     for condition, reason, severity in checks:
         outcome = F.struct(F.lit(reason).alias("reason"), F.lit(severity).alias("severity"))
-        found = F.when(condition, outcome) if found is None else found.when(condition, outcome)
+        found = found.when(condition, outcome)
     return found
 
 
@@ -43,7 +49,7 @@ def split(rows, source, problem, row_no="row_no", stage=as_is):
     """
     checked = stage(rows.withColumn("_problem", problem))
     return Cleaned(
-        checked.where(F.col("_problem").isNull()).drop("_problem"),
+        checked.where(F.col("_problem").isNull()).drop("_problem", "_number"),
         checked.where(F.col("_problem").isNotNull()).select(
             F.lit(source).alias("source"),
             F.col(row_no).alias("row_no"),
@@ -64,8 +70,9 @@ def too_long(*columns):
 def clean_users(raw, salt, stage=as_is):
     """User sheet: trimmed login, stored role code, hashed secret."""
     login, secret = blank_to_null(F.col("login")), F.coalesce("password", F.lit(""))
-    rows = raw.select(
+    rows = numbered_wrongly(raw).select(
         "row_no",
+        "_number",
         role_code(F.col("role")).alias("user_role"),
         blank_to_null(F.col("full_name")).alias("user_name"),
         login.alias("user_login"),
@@ -87,12 +94,13 @@ def clean_products(raw, stage=as_is):
         "supp_name": blank_to_null(F.col("supplier")),
         "product_manufac": blank_to_null(F.col("manufacturer")),
         "categ_name": blank_to_null(F.col("category")),
-        "product_desc": blank_to_null(F.col("description")),
+        "product_desc": F.when(blank_to_null(F.col("description")).isNotNull(), F.col("description")),
         "product_photo": default_if_blank(F.col("photo"), fixed.DEFAULT_PHOTO),
     }
     zero = F.lit(0)
-    rows = raw.select(
+    rows = numbered_wrongly(raw).select(
         "row_no",
+        "_number",
         *[c.alias(name) for name, c in texts.items()],
         F.coalesce(price, zero.cast("decimal(10,2)")).alias("product_price"),
         F.coalesce(discount, zero).alias("product_discount"),
@@ -122,12 +130,16 @@ def product_checks():
     )
 
 
-def clean_orders(raw, stage=as_is):
-    """Order sheet headers; item cells are carried along for ``import_items``."""
+def clean_orders(raw, stage=as_is, addresses=None):
+    """Order sheet headers; item cells are carried along for ``import_items``.
+
+    With ``addresses`` the pickup cell is resolved too, and its address checked.
+    """
     code = whole(F.col("code"))
     client = default_if_blank(F.col("client"), fixed.NO_VALUE)
-    rows = raw.select(
+    rows = numbered_wrongly(raw).select(
         "row_no",
+        "_number",
         parse_date(F.col("order_date")).alias("order_date"),
         parse_date(F.col("delivery_date")).alias("order_pup_date"),
         client.alias("user_name"),
@@ -139,9 +151,13 @@ def clean_orders(raw, stage=as_is):
         "quantity",
         unreadable(F.col("code"), code).alias("_code"),
     )
+    texts = ["user_name", "status_name"]
+    if addresses is not None:
+        rows = resolve_pickups(rows, addresses)
+        texts.append("pickup_address")
     cleaned = split(rows, "orders", first_problem(
         (F.col("order_date").isNull(), "bad_order_date", SKIP),
         (F.col("_code"), "bad_pickup_code", ABORT),
-        (too_long("user_name", "status_name"), "too_long", ABORT),
+        (too_long(*texts), "too_long", ABORT),
     ), stage=stage)
     return Cleaned(cleaned.rows.drop("_code"), cleaned.rejects)

@@ -47,7 +47,9 @@ def get_or_create(table, key, name, incoming, cell, row_no="row_no"):
     )
     # Few rows out of a whole file, read again by every use of the keys.
     missing = cut(wanted.join(known, "name", "left_anti"))
-    fresh = number_rows(missing, "first_row", key, last_key(table, key))
+    # Names that first appear in one row, or in none with a number, go by name.
+    missing = missing.withColumn("first_row", F.coalesce("first_row", F.lit(2 ** 63 - 1)))
+    fresh = number_rows(missing, ["first_row", "name"], key, last_key(table, key))
     return Dimension(
         created=fresh.select(key, F.col("name").alias(name)),
         keys=lookup_side(known.unionByName(fresh.select("name", key)), "name"),

@@ -3,18 +3,19 @@
 Each step cleans its input once and keeps the checked rows in the shared folder.
 """
 
+from functools import cached_property
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lavka.functions.numbers import unreadable, whole
+from lavka.functions.numbers import is_number, unreadable, whole
 from lavka.operators.cleaning import ABORT, SKIP, clean_orders, clean_products, clean_users
 from lavka.operators.dims import attach_key, get_or_create
 from lavka.operators.numbering import last_key, number_rows
-from lavka.operators.ordering import HEADER, ITEM_BLOCK_BITS
+from lavka.operators.ordering import HEADER
 from lavka.operators.products import COLUMNS
-from lavka.operators.resolve import item_rejects, lenient_items, resolve_items, resolve_pickups
+from lavka.operators.resolve import item_rejects, lenient_items, resolve_items
 from lavka.operators.users import new_users
 from lavka.session import cut
 
@@ -31,12 +32,24 @@ class ProductImport(NamedTuple):
     rejects: DataFrame
 
 
-class OrderImport(NamedTuple):
-    orders: DataFrame
-    order_items: DataFrame
-    pickup_points: DataFrame
-    statuses: DataFrame
-    rejects: DataFrame
+class OrderImport:
+    """Headers are numbered at once; items are resolved when they are first asked for."""
+
+    def __init__(self, orders, pickup_points, statuses, header_rejects, items):
+        self.orders, self.pickup_points, self.statuses = orders, pickup_points, statuses
+        self._header_rejects, self._make_items = header_rejects, items
+
+    @cached_property
+    def _items(self):
+        return self._make_items()
+
+    @property
+    def order_items(self):
+        return self._items[0]
+
+    @property
+    def rejects(self):
+        return self._header_rejects.unionByName(self._items[1])
 
 
 def import_users(raw, users, salt):
@@ -49,7 +62,6 @@ def import_products(raw, products, suppliers, categories):
     cleaned = clean_products(raw, cut)
     supplier_keys = get_or_create(suppliers, "supp_id", "supp_name", cleaned.rows, "supp_name")
     category_keys = get_or_create(categories, "categ_id", "categ_name", cleaned.rows, "categ_name")
-    # Numbered before the joins, so that counting the blocks reads one column.
     rows = number_rows(cleaned.rows, "row_no", "product_id", last_key(products, "product_id"))
     keyed = attach_key(attach_key(rows, "supp_name", supplier_keys), "categ_name", category_keys)
     return ProductImport(
@@ -63,18 +75,20 @@ def import_products(raw, products, suppliers, categories):
 def _numbered_items(headers):
     """Items given by product number; only for orders without an item text.
 
-    A missing or unreadable product number means no item; a quantity below 1
-    or a missing one counts as 1; an unreadable quantity is refused.
+    A missing product number, or text that is no number, means no item; a number that
+    is no product key at all is refused. A quantity below 1 or a missing one counts as
+    1; an unreadable quantity is refused.
     """
     number, quantity = whole(F.col("product_no")), whole(F.col("quantity"))
-    return headers.where(F.col("order_text").isNull()).select(
+    return headers.where(F.col("order_text").isNull() & is_number(F.col("product_no"))).select(
         "row_no",
         "order_id",
         F.lit(0).alias("pos"),
         number.cast("long").alias("product_id"),
         F.greatest(F.coalesce(quantity, F.lit(1)), F.lit(1)).alias("product_quantity"),
-        unreadable(F.col("quantity"), quantity).alias("_bad"),
-    ).where(F.col("product_id").isNotNull())
+        F.when(number.isNull(), "bad_product_number")
+        .when(unreadable(F.col("quantity"), quantity), "bad_quantity").alias("_bad"),
+    )
 
 
 def import_items(headers, products, order_items):
@@ -85,17 +99,17 @@ def import_items(headers, products, order_items):
         "row_no", "order_id", "pos", "product_id", F.col("qty").alias("product_quantity")
     )
     by_number = _numbered_items(headers)
-    readable = by_number.where(~F.col("_bad")).drop("_bad")
+    readable = by_number.where(F.col("_bad").isNull()).drop("_bad")
     known = products.select("product_id")
     items = from_text.unionByName(readable.join(known, "product_id", "left_semi"))
     numbered = number_rows(
-        items, ["row_no", "pos"], "order_item_id", last_key(order_items, "order_item_id"), ITEM_BLOCK_BITS
+        items, ["row_no", "pos"], "order_item_id", last_key(order_items, "order_item_id")
     )
     text_rejects = item_rejects(resolved).select(
         F.lit("order_items").alias("source"), "row_no", F.col("problem").alias("reason"),
         F.when(F.col("problem") == "unknown_article", SKIP).otherwise(ABORT).alias("severity"),
     )
-    number_rejects = by_number.where("_bad").select("row_no", F.lit("bad_quantity").alias("reason")).unionByName(
+    number_rejects = by_number.where("_bad is not null").select("row_no", F.col("_bad").alias("reason")).unionByName(
         readable.join(known, "product_id", "left_anti").select(
             "row_no", F.lit("unknown_product").alias("reason")
         )
@@ -108,23 +122,17 @@ def import_items(headers, products, order_items):
 
 def import_orders(raw, addresses, orders, order_items, products, points, statuses):
     """Order headers and items; missing pickup points and statuses are created."""
-    cleaned = clean_orders(raw, cut)
-    located = resolve_pickups(cleaned.rows, addresses)
-    point_keys = get_or_create(points, "pp_id", "pp_name", located, "pickup_address")
-    status_keys = get_or_create(statuses, "status_id", "status_name", cleaned.rows, "status_name")
-    # Numbered before the joins, so that counting the blocks reads one column.
+    cleaned = clean_orders(raw, cut, addresses)
     headers = number_rows(cleaned.rows, "row_no", "order_id", last_key(orders, "order_id"))
-    keyed = attach_key(
-        attach_key(resolve_pickups(headers, addresses), "pickup_address", point_keys),
-        "status_name", status_keys,
-    )
-    items, item_problems = import_items(headers, products, order_items)
+    point_keys = get_or_create(points, "pp_id", "pp_name", headers, "pickup_address")
+    status_keys = get_or_create(statuses, "status_id", "status_name", headers, "status_name")
+    keyed = attach_key(attach_key(headers, "pickup_address", point_keys), "status_name", status_keys)
     return OrderImport(
         keyed.select("row_no", "order_id", *HEADER),
-        items,
         point_keys.created,
         status_keys.created,
-        cleaned.rejects.unionByName(item_problems),
+        cleaned.rejects,
+        lambda: import_items(headers, products, order_items),
     )
 
 

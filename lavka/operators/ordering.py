@@ -15,6 +15,7 @@ from lavka.functions.numbers import typed_code
 from lavka.functions.text import bad_quantity, blank_to_null, entry_article, entry_quantity, order_entries, strip
 from lavka.operators.cleaning import ABORT, first_problem, split, too_long
 from lavka.operators.dims import exact_keys
+from lavka.operators.gate import numbered_wrongly
 from lavka.operators.numbering import last_key, number_rows
 from lavka.operators.products import Deletion
 from lavka.operators.resolve import article_keys
@@ -22,7 +23,6 @@ from lavka.operators.sizing import lookup_side
 from lavka.session import cut
 
 HEADER = [f.name for f in schemas.ORDERS if f.name != "order_id"]
-ITEM_BLOCK_BITS = 12
 
 
 class Placed(NamedTuple):
@@ -45,11 +45,15 @@ def _refused(rows, row_no, reason):
 
 
 def _checked(forms, products, statuses, points, row_no, *keep):
-    """Valid forms as order headers plus the entries of their ``lines``, and the rejects."""
+    """Valid forms as order headers with the count of their ``lines``, their entries, and the rejects.
+
+    Entries are resolved once and stored: row number, pos, product_id, quantity.
+    """
     code = typed_code(F.col("receiver_code"))
     digits = F.coalesce(strip(F.col("receiver_code")).rlike("^[+-]?[0-9]+$"), F.lit(False))
-    rows = forms.select(
+    rows = numbered_wrongly(forms, row_no).select(
         row_no,
+        "_number",
         *keep,
         "order_date",
         F.col("delivery_date").alias("order_pup_date"),
@@ -68,13 +72,17 @@ def _checked(forms, products, statuses, points, row_no, *keep):
     ), row_no, stage=cut)
     rows = local.rows.drop("_code")
 
-    unknown_article = (
-        rows.select(row_no, F.explode("lines").alias("line"))
-        .select(row_no, entry_article(F.col("line")).alias("art"))
-        .join(article_keys(products), "art", "left_anti")
-        .select(row_no).distinct()
+    entries = cut(
+        rows.select(row_no, F.posexplode("lines").alias("pos", "line"))
+        .select(
+            row_no, "pos", entry_article(F.col("line")).alias("art"),
+            entry_quantity(F.col("line")).alias("product_quantity"),
+        )
+        .join(article_keys(products), "art", "left")
+        .select(row_no, "pos", "product_id", "product_quantity")
     )
-    resolved = rows.join(unknown_article, row_no, "left_anti")
+    unknown_article = entries.where(F.col("product_id").isNull()).select(row_no).distinct()
+    resolved = rows.withColumn("lines", F.size("lines")).join(unknown_article, row_no, "left_anti")
     unknown_point = resolved.where(F.col("pp_id").isNotNull()).join(
         points.select("pp_id"), "pp_id", "left_anti"
     ).select(row_no)
@@ -84,41 +92,33 @@ def _checked(forms, products, statuses, points, row_no, *keep):
     rejects = local.rejects.unionByName(
         _refused(unknown_article, row_no, "unknown_article")
     ).unionByName(_refused(unknown_point, row_no, "unknown_pickup_point"))
-    return accepted.select(row_no, *keep, *HEADER, "lines"), rejects
+    return accepted.select(row_no, *keep, *HEADER, "lines"), entries, rejects
 
 
 def _numbered(rows, row_no, items, key=None):
-    """Give every order the number its items start after, in form order.
+    """Give every order the number its items end with, in form order.
 
     All items of an accepted order are stored, so the count of its lines tells
     the numbers of its items; they need no sort of their own.
     """
-    counted = {"last_item": (last_key(items, "order_item_id"), F.size("lines"))}
-    name, base = key or ("_place", F.lit(0))
+    counted = {"last_item": (last_key(items, "order_item_id"), F.col("lines"))}
+    name, base = key or ("_number", F.lit(0))
     return number_rows(rows, row_no, name, base, **counted)
 
 
-def _items(headers, products):
+def _items(headers, entries, row_no):
     """Item rows of numbered orders."""
-    first = F.col("last_item") - F.size("lines") + 1
-    return (
-        headers.select("order_id", first.alias("first"), F.posexplode("lines").alias("pos", "line"))
-        .select(
-            "order_id",
-            (F.col("first") + F.col("pos")).alias("order_item_id"),
-            entry_article(F.col("line")).alias("art"),
-            entry_quantity(F.col("line")).alias("product_quantity"),
-        )
-        .join(article_keys(products), "art")
-        .select("order_item_id", "order_id", "product_id", "product_quantity")
-    )
+    first = headers.select(
+        F.col(row_no).alias("_no"), "order_id", (F.col("last_item") - F.col("lines") + 1).alias("first"))
+    return entries.join(lookup_side(first, "_no"), F.col(row_no) == F.col("_no")).select(
+        (F.col("first") + F.col("pos")).alias("order_item_id"), "order_id", "product_id", "product_quantity")
 
 
 def place_orders(forms, orders, items, products, statuses, points):
     """New order headers and items with the next ids, and the refused forms."""
-    accepted, rejects = _checked(forms, products, statuses, points, "row_no")
+    accepted, entries, rejects = _checked(forms, products, statuses, points, "row_no")
     headers = _numbered(accepted, "row_no", items, ("order_id", last_key(orders, "order_id")))
-    return Placed(headers.select("row_no", "order_id", *HEADER), _items(headers, products), rejects)
+    return Placed(headers.select("row_no", "order_id", *HEADER), _items(headers, entries, "row_no"), rejects)
 
 
 def replace_orders(changes, orders, items, products, statuses, points):
@@ -131,17 +131,16 @@ def replace_orders(changes, orders, items, products, statuses, points):
     known = orders.select("order_id")
     unknown = changes.select("change_no", "order_id").join(known, "order_id", "left_anti")
     of_known = changes.join(known, "order_id", "left_semi")
-    accepted, rejects = _checked(of_known, products, statuses, points, "change_no", "order_id")
-    last = accepted.groupBy("order_id").agg(
-        F.max_by(F.struct("change_no", *HEADER, "lines"), "change_no").alias("new")
-    )
-    table = orders.join(last, "order_id", "left").select(
+    accepted, entries, rejects = _checked(of_known, products, statuses, points, "change_no", "order_id")
+    # Change numbers are unique here, so the largest of an order is one change.
+    winners = accepted.groupBy("order_id").agg(F.max("change_no").alias("change_no")).select("change_no")
+    last = _numbered(accepted.join(winners, "change_no", "left_semi"), "change_no", items)
+    new = last.select("order_id", F.struct(*HEADER).alias("new"))
+    table = orders.join(new, "order_id", "left").select(
         "order_id",
         *[F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in HEADER],
     )
-    fresh = _items(
-        _numbered(last.select("order_id", "new.change_no", "new.lines"), "change_no", items), products
-    )
+    fresh = _items(last, entries, "change_no")
     changed = lookup_side(last.select("order_id"), "order_id")
     kept = items.join(changed, "order_id", "left_anti").select(*fresh.columns)
     return Replaced(

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lavka.functions.text import format_order_items, listed_item
-from lavka.operators.packing import PART_BITS, pack
+from lavka.operators.packing import PART_ROWS, pack
 from lavka.operators.sizing import lookup_side
 
 
@@ -23,7 +23,7 @@ def order_item_lines(items, products):
     )
 
 
-def order_texts(items, products, part_bits=PART_BITS):
+def order_texts(items, products, part_rows=PART_ROWS):
     """Per order: its items as one text, in item order; a missing article is skipped."""
     rows = order_item_lines(items, products).select(
         "order_id",
@@ -31,16 +31,16 @@ def order_texts(items, products, part_bits=PART_BITS):
         listed_item(F.col("article"), F.col("product_quantity")).alias("line"),
     )
     text = F.expr("listagg(line, ', ') within group (order by order_item_id)").alias("article")
-    return pack(rows, "order_id", "order_item_id", text, part_bits, _items_of_orders(items))
+    return pack(rows, "order_id", "order_item_id", text, part_rows, _items_of_orders(items))
 
 
-def order_list(orders, items, products, statuses, points, part_bits=PART_BITS):
+def order_list(orders, items, products, statuses, points, part_rows=PART_ROWS):
     """Orders with their item text, newest first.
 
     Items are packed before they meet the orders, so that join is one to one.
-    ``part`` is 0; an order too large for one cell has rows 1, 2, ... instead.
+    Items 0 to 4095 of an order are in ``part`` 0, the next in part 1, and so on.
     """
-    texts = order_texts(items, products, part_bits)
+    texts = order_texts(items, products, part_rows)
     rows = _with_names(orders.join(texts, "order_id", "left"), statuses, points)
     return rows.select(
         F.col("order_id").alias("id"),
@@ -55,7 +55,7 @@ def order_list(orders, items, products, statuses, points, part_bits=PART_BITS):
     )
 
 
-def order_arrays(items, products, part_bits=PART_BITS):
+def order_arrays(items, products, part_rows=PART_ROWS):
     """Per order: its items as an array in item order."""
     rows = order_item_lines(items, products).withColumn(
         "entry",
@@ -73,13 +73,13 @@ def order_arrays(items, products, part_bits=PART_BITS):
     ).alias("items")
     return pack(
         rows.select("order_id", "order_item_id", "entry"),
-        "order_id", "order_item_id", packed, part_bits, _items_of_orders(items),
+        "order_id", "order_item_id", packed, part_rows, _items_of_orders(items),
     )
 
 
-def order_documents(orders, items, products, statuses, points, part_bits=PART_BITS):
+def order_documents(orders, items, products, statuses, points, part_rows=PART_ROWS):
     """Order headers, each with the array of its items (empty when it has none)."""
-    arrays = order_arrays(items, products, part_bits)
+    arrays = order_arrays(items, products, part_rows)
     rows = _with_names(orders.join(arrays, "order_id", "left"), statuses, points)
     return rows.select(
         F.col("order_id").alias("id"),
@@ -112,7 +112,7 @@ def orders_by_id(orders, items, products, statuses, points, keys):
     )
 
 
-def editable_texts(items, products, part_bits=PART_BITS):
+def editable_texts(items, products, part_rows=PART_ROWS):
     """Per order: its items in the form the order form edits and parses."""
-    arrays = order_arrays(items, products, part_bits)
+    arrays = order_arrays(items, products, part_rows)
     return arrays.select("order_id", "part", format_order_items(F.col("items")).alias("order_text"))

@@ -1,32 +1,33 @@
-"""Ordered rows of a key packed into one cell, with a bound on the cell.
+"""Ordered rows of a key packed into cells of bounded size.
 
-Keys with up to ``PART_ROWS`` rows get one packed row, ``part`` 0. A larger key
-is not gathered anywhere: its rows are range-sorted across tasks and packed in
-consecutive parts of at most ``PART_ROWS`` rows, numbered upwards from 1 (with
-gaps). Reading the parts in order gives the whole sequence.
+Row number n of a key, counted from 0 in the given order, belongs to part
+n div ``part_rows``: that is the one rule for every key, so parts have no gaps and do
+not depend on the partitioning. Keys with at most ``part_rows`` rows have part 0 only
+and are packed by one aggregate. A larger key is not gathered anywhere: its rows
+are sorted in ranges over all tasks, and their numbers come from one count per range.
+Reading the parts in order gives the whole sequence.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lavka.operators.numbering import ranged
 from lavka.operators.sizing import BROADCAST_ROWS, lookup_side
 from lavka.session import cut
 
-# Power of two, so that parts never straddle two sort partitions.
-PART_BITS = 12
-PART_ROWS = 1 << PART_BITS
+PART_ROWS = 4096
 
 
-def large_keys(rows, key, part_bits=PART_BITS):
+def large_keys(rows, key, part_rows=PART_ROWS):
     """Keys with more rows than one part holds, or None when there are none.
 
-    One counting job over the key column decides; it combines before the
-    shuffle, so a hot key costs one counter per task.
+    One counting job over the key column; it combines before the shuffle, so a
+    hot key costs one counter per task.
     """
-    large = rows.groupBy(key).count().where(F.col("count") > (1 << part_bits)).select(key)
+    large = cut(rows.groupBy(key).count().where(F.col("count") > part_rows).select(key))
     found = large.limit(BROADCAST_ROWS + 1).count()
     if not found:
         return None
-    large = cut(large)
     return F.broadcast(large) if found <= BROADCAST_ROWS else lookup_side(large, key)
 
 
@@ -35,23 +36,33 @@ def _gathered(rows, key, packed):
     return rows.repartition(key).groupBy(key).agg(packed)
 
 
-def pack(rows, key, order, packed, part_bits=PART_BITS, probe=None):
+def with_number(rows, key, order):
+    """``rows`` with ``_n``: the row's number among those of its key, from 0."""
+    stored = ranged(rows, key, order)
+    # A key's rows in a range are neighbours; what is before them is one count per key and range.
+    counts = stored.groupBy(key, "_range").agg(F.count("*").alias("_rows"), F.min("_place").alias("_first"))
+    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(
+        key, "_range", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return stored.join(counts, [key, "_range"]).withColumn("_n", F.col("_place") + F.col("_shift")).drop(
+        "_range", "_place", "_shift")
+
+
+def pack(rows, key, order, packed, part_rows=PART_ROWS, probe=None):
     """One row per key and part, holding the aggregate column ``packed``.
 
     ``order`` is a column unique within a key. ``probe`` is a cheaper frame
     with at least as many rows per key as ``rows``, for the size check.
     """
-    large = large_keys(rows if probe is None else probe, key, part_bits)
+    large = large_keys(rows if probe is None else probe, key, part_rows)
     whole = F.lit(0).cast("long").alias("part")
     if large is None:
         return _gathered(rows, key, packed).select("*", whole)
     parts = (
-        rows.join(large, key, "left_semi")
-        .repartitionByRange(F.col(key), F.col(order))
-        .sortWithinPartitions(key, order)
-        .withColumn("part", F.shiftright(F.monotonically_increasing_id(), part_bits) + 1)
+        with_number(rows.join(large, key, "left_semi"), key, order)
+        .withColumn("part", F.floor(F.col("_n") / part_rows))
         .groupBy(key, "part")
         .agg(packed)
     )
     ordinary = _gathered(rows.join(large, key, "left_anti"), key, packed).select("*", whole)
-    return ordinary.unionByName(parts)
+    return ordinary.unionByName(parts.select(*ordinary.columns))

@@ -15,6 +15,7 @@ from lavka.functions.numbers import money, unreadable, whole
 from lavka.functions.text import blank_to_null, strip
 from lavka.operators.cleaning import ABORT, SKIP, Cleaned, first_problem, product_checks, split, too_long
 from lavka.operators.dims import exact_keys
+from lavka.operators.gate import numbered_wrongly
 from lavka.operators.numbering import last_key, number_rows
 
 COLUMNS = [f.name for f in schemas.PRODUCTS if f.name != "product_id"]
@@ -35,8 +36,9 @@ def clean_forms(forms, row_no="row_no", *keep):
     price, discount, stock = (
         money(F.col("price")), whole(F.col("discount")), whole(F.col("stock_quantity"))
     )
-    rows = forms.select(
+    rows = numbered_wrongly(forms, row_no).select(
         row_no,
+        "_number",
         *keep,
         F.coalesce(strip(F.col("article")), F.lit("")).alias("product_art"),
         "product_name",

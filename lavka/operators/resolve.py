@@ -9,6 +9,9 @@ from lavka.operators.numbering import number_rows
 from lavka.session import cut
 
 
+BAD_QUANTITY, UNKNOWN_ARTICLE = "bad_quantity", "unknown_article"
+
+
 def article_keys(products):
     """Trimmed article -> product_id; of several products the smallest id."""
     return trimmed_keys(products, "product_id", "product_art", "art")
@@ -18,17 +21,19 @@ def resolve_items(requests, products, *keep, row_no="row_no", text="order_text")
     """One row per parsed item: row_no, pos, art, qty, product_id, problem.
 
     ``problem`` is NULL, ``bad_quantity`` or ``unknown_article``; the caller
-    decides whether it spoils the item or the whole order. Articles compare by
-    exact characters, blanks around them aside. ``keep`` names columns to
-    carry along.
+    decides whether it spoils the item or the whole order. An unreadable
+    quantity is found first, then an unknown article, then a quantity below 1.
+    Articles compare by exact characters, blanks around them aside. ``keep`` names
+    columns to carry along.
     """
     return (
         explode_order_text(requests, text, row_no, *keep)
         .join(article_keys(products), "art", "left")
         .withColumn(
             "problem",
-            F.when(bad_quantity(F.col("qty")), "bad_quantity")
-            .when(F.col("product_id").isNull(), "unknown_article"),
+            F.when(F.col("qty").isNull(), BAD_QUANTITY)
+            .when(F.col("product_id").isNull(), UNKNOWN_ARTICLE)
+            .when(bad_quantity(F.col("qty")), BAD_QUANTITY),
         )
     )
 
@@ -43,11 +48,14 @@ def item_rejects(resolved):
 
 
 def strict_orders(resolved, row_no="row_no"):
-    """Per order: accepted when every item resolves, else the reason."""
-    return resolved.groupBy(row_no).agg(
-        F.count("*").alias("items"),
-        F.min("problem").alias("problem"),
-    )
+    """Per order: accepted when every item resolves, else the reason, a bad quantity first.
+
+    Reasons are compared as numbers, which a hash aggregate can do.
+    """
+    rank = F.when(F.col("problem") == BAD_QUANTITY, 1).when(F.col("problem") == UNKNOWN_ARTICLE, 2)
+    worst = F.when(F.col("_rank") == 1, BAD_QUANTITY).when(F.col("_rank") == 2, UNKNOWN_ARTICLE)
+    return resolved.groupBy(row_no).agg(F.count("*").alias("items"), F.min(rank).alias("_rank")).select(
+        row_no, "items", worst.alias("problem"))
 
 
 def kept_addresses(lines):
@@ -58,7 +66,7 @@ def kept_addresses(lines):
     address = blank_to_null(F.col("address"))
     kept = lines.select("row_no", address.alias("address")).where(F.lower("address") != "nan")
     return cut(
-        number_rows(kept, "row_no", "ordinal", F.lit(0).cast("long")).select("ordinal", "address")
+        number_rows(kept, ["row_no", "address"], "ordinal", F.lit(0).cast("long")).select("ordinal", "address")
     )
 
 

@@ -11,11 +11,12 @@ from lavka.session import cut
 REGISTERED = ["user_role", "user_name", "user_login", "user_secret"]
 
 
-def new_users(cleaned, users):
+def new_users(cleaned, users, numbered=None):
     """Users to add: the first row of each login that is not taken yet.
 
     The first row is picked by an aggregate that combines before the shuffle;
-    no login is gathered in one place. Ids follow the row order.
+    no login is gathered in one place. Ids follow the row order and go on from the
+    largest in ``numbered`` (default: ``users``).
     """
     first = (
         cleaned.groupBy("user_login")
@@ -24,7 +25,7 @@ def new_users(cleaned, users):
     )
     taken = users.select(F.trim("user_login").alias("user_login")).distinct()
     fresh = cut(first.join(taken, "user_login", "left_anti"))
-    return number_rows(fresh, "row_no", "user_id", last_key(users, "user_id")).select(
+    return number_rows(fresh, "row_no", "user_id", last_key(users if numbered is None else numbered, "user_id")).select(
         "row_no", "user_id", *REGISTERED
     )
 

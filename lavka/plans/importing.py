@@ -24,21 +24,25 @@ class ImportReport(NamedTuple):
     rejects: DataFrame
 
 
-def run_import(spark, landing, root, run_id, salt, strict=True, formats="csv"):
+def run_import(spark, landing, root, run_id, salt, strict=True, formats="csv", escaped_lines=False):
     """Import the landing files into the tables under ``root``.
 
     ``landing`` maps users, products, orders and points to paths; a missing file
-    counts as empty. Every table is written under the run first. With
-    ``strict`` a single ``abort`` reject leaves the run unpublished. Each
-    stage reads back what the stage before it has written, so no lineage grows
-    across stages and a lost executor repeats one stage at most.
+    counts as empty; with ``escaped_lines`` the orders file was written by
+    ``write_landing(escape_lines=True)`` and is read in parallel. Every table is written under a new attempt first. With
+    ``strict`` a single ``abort`` reject leaves the run unpublished; a run that is
+    published already is refused before anything is read. Each stage reads back what
+    the stage before it has written, so no lineage grows across stages and a lost
+    executor repeats one stage at most.
     """
-    others = F.col("run_id") != run_id
+    if tables.is_published(spark, root, run_id):
+        raise tables.RunPublished(run_id)
+    attempt = tables.new_attempt()
     state = {
-        name: tables.read_table(spark, root, name, others) for name in schemas.TABLES
+        name: tables.read_table(spark, root, name) for name in schemas.TABLES
         if name not in ("orders", "order_items")
     }
-    numbered = {name: tables.last_keys(spark, root, name, others) for name in ("orders", "order_items")}
+    numbered = {name: tables.last_keys(spark, root, name) for name in ("orders", "order_items")}
     options = {"file_format": formats}
     addresses = kept_addresses(files.read_points(spark, landing["points"]))
 
@@ -47,37 +51,37 @@ def run_import(spark, landing, root, run_id, salt, strict=True, formats="csv"):
         files.read_products(spark, landing["products"], **options),
         state["products"], state["suppliers"], state["categories"],
     )
-    _write(root, run_id, users=users.users, products=products.products,
+    _write(root, attempt, users=users.users, products=products.products,
            suppliers=products.suppliers, categories=products.categories)
 
-    written = tables.read_run(spark, root, "products", run_id)
+    written = tables.read_attempt(spark, root, "products", attempt)
     orders = import_orders(
-        files.read_orders(spark, landing["orders"], **options), addresses,
+        files.read_orders(spark, landing["orders"], escaped_lines=escaped_lines, **options), addresses,
         numbered["orders"], numbered["order_items"], state["products"].unionByName(written),
         state["pickup_points"], state["statuses"],
     )
-    _write(root, run_id, orders=orders.orders, order_items=orders.order_items,
+    _write(root, attempt, orders=orders.orders, order_items=orders.order_items,
            pickup_points=orders.pickup_points, statuses=orders.statuses)
 
     rejected = reduce(
         DataFrame.unionByName, [users.rejects, products.rejects, orders.rejects]
     )
-    rejected.write.mode("overwrite").parquet(f"{root}/rejects/{run_id}")
-    report = import_report(spark, root, run_id)
+    rejected.write.mode("errorifexists").parquet(f"{root}/rejects/{attempt}")
+    report = import_report(spark, root, attempt)
     if strict and report.rejects.where(F.col("severity") == ABORT).limit(1).count():
-        raise ImportRefused(f"run {run_id} has rows to correct, see {root}/rejects/{run_id}")
-    tables.publish(spark, root, run_id, schemas.TABLES)
+        raise ImportRefused(f"run {run_id} has rows to correct, see {root}/rejects/{attempt}")
+    tables.publish(spark, root, run_id, attempt, schemas.TABLES)
     return report
 
 
-def import_report(spark, root, run_id):
-    """Counts and rejects of a run, read from what it has written."""
-    rejects = spark.read.schema(schemas.REJECTS).parquet(f"{root}/rejects/{run_id}")
-    written = {name: tables.read_run(spark, root, name, run_id) for name in schemas.TABLES}
+def import_report(spark, root, attempt):
+    """Counts and rejects of an attempt, read from what it has written."""
+    rejects = spark.read.schema(schemas.REJECTS).parquet(f"{root}/rejects/{attempt}")
+    written = {name: tables.read_attempt(spark, root, name, attempt) for name in schemas.TABLES}
     empty = orders_without_items(written["orders"], written["order_items"])
     return ImportReport(summary(rejects, empty, **written), rejects)
 
 
-def _write(root, run_id, **frames):
+def _write(root, attempt, **frames):
     for name, rows in frames.items():
-        tables.append_run(rows, root, name, run_id)
+        tables.append_rows(rows, root, name, attempt)

@@ -82,6 +82,11 @@ def has_role(x, roles):
     return f"coalesce(lower(trim({x})) in ({quoted(roles)}), false)"
 
 
+def wrong_number(n):
+    return (f"case when {n} is null then 'no_row_no' "
+            f"when count(*) over (partition by {n}) > 1 then 'repeated_row_no' end")
+
+
 def severity(reason, *skipped):
     return f"case when {reason} in ({quoted(skipped)}) then 'skip' else 'abort' end"
 
@@ -160,27 +165,32 @@ POSITIONS = """positions as (
     row_number() over (partition by oi.order_id order by oi.order_item_id) - 1 as pos
   from r_order_items oi join r_products p on p.product_id = oi.product_id)"""
 
-DOCUMENTS = """
-select o.order_id as id, 0 as part, strftime(o.order_date, '%Y-%m-%d') as order_date,
+PART_ROWS = 4096
+
+DOCUMENTS = f"""
+select o.order_id as id, coalesce(i.pos // {PART_ROWS}, 0) as part, strftime(o.order_date, '%Y-%m-%d') as order_date,
   strftime(o.order_pup_date, '%Y-%m-%d') as delivery_date, pp.pp_name as pickup_point_address,
   o.order_pp_code as receiver_code, o.user_name as client_name, st.status_name,
-  o.pp_id as pickup_point_id, i.pos, i.product_id, i.article, i.quantity
+  o.pp_id as pickup_point_id, i.pos % {PART_ROWS} as pos, i.product_id, i.article, i.quantity
 from r_orders o left join positions i on i.order_id = o.order_id""" + ORDER_NAMES
 
 USERS_TYPED = f"""users_typed as (
   select row_no, {role_code('role')} as user_role, {blank('full_name')} as user_name,
-    {blank('login')} as user_login, {secret('login', 'password')} as user_secret
+    {blank('login')} as user_login, {secret('login', 'password')} as user_secret,
+    {wrong_number('row_no')} as n_bad
   from r_raw_users),
-users_clean as (select * from users_typed where user_login is not null),
+users_clean as (select * exclude (n_bad) from users_typed where user_login is not null and n_bad is null),
 users_rejects as (
-  select 'users' as source, row_no, 'blank_login' as reason, 'skip' as severity
-  from users_typed where user_login is null)"""
+  select 'users' as source, row_no, coalesce(n_bad, 'blank_login') as reason,
+    case when n_bad is null then 'skip' else 'abort' end as severity
+  from users_typed where user_login is null or n_bad is not null)"""
 
 PRODUCTS_TYPED = f"""products_typed as (
   select row_no, {blank('article')} as product_art, {blank('product_name')} as product_name,
     {default('unit', fixed.DEFAULT_UNIT)} as product_unit, {blank('supplier')} as supp_name,
     {blank('manufacturer')} as product_manufac, {blank('category')} as categ_name,
-    {blank('description')} as product_desc, {default('photo', fixed.DEFAULT_PHOTO)} as product_photo,
+    case when {blank('description')} is not null then description end as product_desc,
+    {default('photo', fixed.DEFAULT_PHOTO)} as product_photo, {wrong_number('row_no')} as n_bad,
     cast(coalesce({money('price')}, 0) as decimal(10,2)) as product_price,
     coalesce({whole('discount')}, 0) as product_discount,
     coalesce({whole('stock')}, 0) as product_stock,
@@ -189,13 +199,14 @@ PRODUCTS_TYPED = f"""products_typed as (
     {unreadable('stock', whole('stock'))} as s_bad
   from r_raw_products),
 products_checked as (
-  select *, case when product_name is null then 'blank_name' when p_bad then 'bad_price'
+  select *, case when n_bad is not null then n_bad
+    when product_name is null then 'blank_name' when p_bad then 'bad_price'
     when d_bad then 'bad_discount' when s_bad then 'bad_stock'
     when product_art is null then 'blank_article' when product_price < 0 then 'check_price'
     when product_discount < 0 or product_discount > 100 then 'check_discount' end as reason
   from products_typed),
 products_clean as (
-  select * exclude (p_bad, d_bad, s_bad, reason) from products_checked where reason is null),
+  select * exclude (n_bad, p_bad, d_bad, s_bad, reason) from products_checked where reason is null),
 products_rejects as (
   select 'products' as source, row_no, reason,
     {severity('reason', 'blank_name', 'blank_article')} as severity
@@ -205,12 +216,14 @@ ORDERS_TYPED = f"""orders_typed as (
   select row_no, {date('order_date')} as order_date, {date('delivery_date')} as order_pup_date,
     {default('client', fixed.NO_VALUE)} as user_name, pickup, {whole('code')} as order_pp_code,
     {blank('status')} as status_name, {cells(*fixed.ORDER_TEXT_COLUMNS)} as order_text,
-    product_no, quantity, {unreadable('code', whole('code'))} as c_bad
+    product_no, quantity, {unreadable('code', whole('code'))} as c_bad, {wrong_number('row_no')} as n_bad
   from r_raw_orders),
 orders_checked as (
-  select *, case when order_date is null then 'bad_order_date' when c_bad then 'bad_pickup_code' end
-    as reason from orders_typed),
-orders_clean as (select * exclude (c_bad, reason) from orders_checked where reason is null),
+  select * exclude (c_bad, n_bad), case when n_bad is not null then n_bad
+    when order_date is null then 'bad_order_date' when c_bad then 'bad_pickup_code' end
+    as reason from orders_typed)"""
+
+ORDERS_SPLIT = f"""orders_clean as (select * exclude (reason) from orders_checked where reason is null),
 orders_rejects as (
   select 'orders' as source, row_no, reason, {severity('reason', 'bad_order_date')} as severity
   from orders_checked where reason is not null)"""
@@ -232,7 +245,8 @@ def dimension(out, table, key, name, rows, cell):
   select {blank(cell)} as name, min(row_no) as first_row from {rows}
   where {blank(cell)} is not null group by 1),
 {out}_fresh as (
-  select coalesce((select max({key}) from {table}), 0) + row_number() over (order by first_row) as {key}, name
+  select coalesce((select max({key}) from {table}), 0)
+    + row_number() over (order by first_row nulls last, name) as {key}, name
   from {out}_wanted where name not in (select name from {out}_known)),
 {out}_created as (select {key}, name as {name} from {out}_fresh),
 {out}_keys as (select name, {key} from {out}_known union all select name, {key} from {out}_fresh)"""
@@ -264,9 +278,16 @@ def located(rows, out="located", addresses="addresses"):
 IMPORT_ORDERS = ",\n".join([
     ORDERS_TYPED,
     ADDRESSES,
-    located("orders_clean"),
+    located("orders_checked", "orders_located"),
+    f"""orders_addressed as (
+  select * replace (case when reason is null and length(pickup_address) > {fixed.MAX_TEXT}
+    then 'too_long' else reason end as reason) from orders_located),
+located as (select * exclude (reason) from orders_addressed where reason is null),
+orders_rejects as (
+  select 'orders' as source, row_no, reason, {severity('reason', 'bad_order_date')} as severity
+  from orders_addressed where reason is not null)""",
     dimension("point", "r_pickup_points", "pp_id", "pp_name", "located", "pickup_address"),
-    dimension("status", "r_statuses", "status_id", "status_name", "orders_clean", "status_name"),
+    dimension("status", "r_statuses", "status_id", "status_name", "located", "status_name"),
     """orders_added as (
   select row_no, (select max(order_id) from r_orders) + row_number() over (order by row_no) as order_id,
     order_date, order_pup_date, pp_id, user_name, order_pp_code, status_id,
@@ -276,16 +297,17 @@ IMPORT_ORDERS = ",\n".join([
     ARTICLES,
     parsed("lines", "(select * from orders_added where order_text is not null)", "row_no", "order_text"),
     """text_items as (
-  select l.*, a.product_id, case when qty is null or qty < 1 then 'bad_quantity'
-    when a.product_id is null then 'unknown_article' end as problem
+  select l.*, a.product_id, case when qty is null then 'bad_quantity'
+    when a.product_id is null then 'unknown_article' when qty < 1 then 'bad_quantity' end as problem
   from lines l left join articles a on a.art = l.art)""",
     f"""number_items as (
   select row_no, 0 as pos, {whole('product_no')} as product_id,
     greatest(coalesce({whole('quantity')}, 1), 1) as qty,
-    case when {unreadable('quantity', whole('quantity'))} then 'bad_quantity'
+    case when ({whole('product_no')}) is null then 'bad_product_number'
+      when {unreadable('quantity', whole('quantity'))} then 'bad_quantity'
       when {whole('product_no')} not in (select product_id from r_products) then 'unknown_product' end
       as problem
-  from orders_added where order_text is null and ({whole('product_no')}) is not null)""",
+  from orders_added where order_text is null and {is_number('product_no')})""",
     """both_items as (
   select row_no, pos, product_id, qty, problem from text_items
   union all select row_no, pos, product_id, qty, problem from number_items),
@@ -307,8 +329,8 @@ FORM_ITEMS = ",\n".join([
     views_of("order_forms", "products"), ARTICLES,
     parsed("lines", "r_order_forms", "row_no", "product_article"),
     """resolved as (
-  select l.*, a.product_id, case when qty is null or qty < 1 then 'bad_quantity'
-    when a.product_id is null then 'unknown_article' end as problem
+  select l.*, a.product_id, case when qty is null then 'bad_quantity'
+    when a.product_id is null then 'unknown_article' when qty < 1 then 'bad_quantity' end as problem
   from lines l left join articles a on a.art = l.art)""",
 ])
 
@@ -323,12 +345,14 @@ def product_forms(rows, row_no):
     description as product_desc, {blank('photo')} as product_photo,
     {unreadable('price', money('price'))} as p_bad,
     {unreadable('discount', whole('discount'))} as d_bad,
-    {unreadable('stock_quantity', whole('stock_quantity'))} as s_bad
+    {unreadable('stock_quantity', whole('stock_quantity'))} as s_bad,
+    {wrong_number(row_no)} as n_bad
   from {rows}),
 supplier_ids as (select supp_name, min(supp_id) as supp_id from r_suppliers group by 1),
 category_ids as (select categ_name, min(categ_id) as categ_id from r_categories group by 1),
 forms_checked as (
-  select f.*, s.supp_id, c.categ_id, case when d_bad then 'bad_discount' when s_bad then 'bad_stock'
+  select f.*, s.supp_id, c.categ_id, case when n_bad is not null then n_bad
+    when d_bad then 'bad_discount' when s_bad then 'bad_stock'
     when p_bad then 'bad_price' when product_price < 0 then 'check_price'
     when product_discount < 0 or product_discount > 100 then 'check_discount' end as reason
   from forms_typed f left join supplier_ids s on s.supp_name = {blank('f.supplier')}
@@ -374,13 +398,14 @@ placed_checked as (
   select f.*, f.delivery_date as order_pup_date, f.pickup_point_id as pp_id, s.status_id,
     case when regexp_full_match(trim(f.receiver_code), '[+-]?[0-9]+')
       then try_cast(trim(f.receiver_code) as int) end as order_pp_code,
-    case when v.{row_no} is null then 'no_items' when v.bad_qty = 1 then 'bad_quantity'
+    case when f.n_bad is not null then f.n_bad when v.{row_no} is null then 'no_items' when v.bad_qty = 1 then 'bad_quantity'
       when coalesce(regexp_full_match(trim(f.receiver_code), '[+-]?[0-9]+'), false)
         and try_cast(trim(f.receiver_code) as int) is null then 'bad_pickup_code'
       when v.unknown_art = 1 then 'unknown_article'
       when f.pickup_point_id not in (select pp_id from r_pickup_points) then 'unknown_pickup_point'
       end as reason
-  from (select * exclude (user_name), {blank('user_name')} as user_name from {rows}) f
+  from (select * exclude (user_name), {blank('user_name')} as user_name,
+      {wrong_number(row_no)} as n_bad from {rows}) f
     left join verdicts v on v.{row_no} = f.{row_no}
     left join status_ids s on s.status_name = {blank('f.status_name')}),
 placed as (select * from placed_checked where reason is null),
@@ -392,8 +417,8 @@ placed_rejects as (
 
 ORDER_TABLES = ("orders", "numbered_items", "products", "statuses", "pickup_points")
 INSERT_ORDERS = ",\n".join([
-    views_of("order_forms", *ORDER_TABLES),
-    order_forms("r_order_forms", "row_no"),
+    views_of("faulty_forms", *ORDER_TABLES),
+    order_forms("r_faulty_forms", "row_no"),
 ])
 INSERT_ITEMS = """items_placed as (
   select {base} + row_number() over (order by l.row_no, l.pos) as order_item_id,
@@ -407,8 +432,8 @@ INSERT_AFTER = INSERT_ITEMS.format(
 INSERT_EMPTY = INSERT_ITEMS.format(base="0", first="0")
 
 REPLACE_ORDERS = ",\n".join([
-    views_of("order_changes", *ORDER_TABLES),
-    "known_changes as (select * from r_order_changes where order_id in (select order_id from r_orders))",
+    views_of("faulty_changes", *ORDER_TABLES),
+    "known_changes as (select * from r_faulty_changes where order_id in (select order_id from r_orders))",
     order_forms("known_changes", "change_no"),
     """last_change as (
   select * from placed qualify row_number() over (partition by order_id order by change_no desc) = 1)""",
@@ -420,7 +445,7 @@ def audit_rules():
     tables = {
         "products": "r_audit_products", "orders": "r_audit_orders", "order_items": "r_audit_items",
         "suppliers": "r_suppliers", "categories": "r_categories", "statuses": "r_statuses",
-        "pickup_points": "r_pickup_points",
+        "pickup_points": "r_pickup_points", "users": "r_audit_users",
     }
     conditions = {
         "products": {
@@ -436,6 +461,8 @@ def audit_rules():
         "categories": {"categ_name_too_long": "length(categ_name) > 255"},
         "statuses": {"status_name_too_long": "length(status_name) > 255"},
         "pickup_points": {"pp_name_too_long": "length(pp_name) > 255"},
+        "users": {f"{c}_too_long": f"length({c}) > 255" for c in (
+            "user_role", "user_name", "user_login", "user_secret")},
     }
     out = []
     for name, rows in tables.items():
@@ -483,12 +510,18 @@ ALL_IMPORT_VIEWS = (
 
 # An empty shop: the same import with tables that hold nothing yet. Products
 # of the first stage are what the order items refer to.
+FILE_VIEWS = ("raw_users", "raw_products", "raw_orders", "raw_points")
 _EMPTY = ("users", "suppliers", "categories", "orders", "numbered_items", "pickup_points", "statuses")
-EMPTY_SHOP = (
-    views_of("raw_users", "raw_products", "raw_orders", "raw_points") + ", "
-    + ", ".join(f"r_{n} as (select * from ({duckdb_sql(n)}) where false)" for n in _EMPTY)
-    + f", no_products as (select * from ({duckdb_sql('products')}) where false)"
-)
+
+
+def _no_rows(*names):
+    return ", ".join(f"r_{n} as (select * from ({duckdb_sql(n)}) where false)" for n in names)
+
+
+def empty_shop(*missing):
+    """The landing files, some of them missing, and tables without rows."""
+    found = [views_of(*[n for n in FILE_VIEWS if n not in missing]), _no_rows(*missing, *_EMPTY)]
+    return ", ".join(found) + f", no_products as (select * from ({duckdb_sql('products')}) where false)"
 
 
 def _in_empty_shop(text):
@@ -500,34 +533,50 @@ def _in_empty_shop(text):
     return text
 
 
-IMPORT_FILES = sql(
-    EMPTY_SHOP, USERS_TYPED, _in_empty_shop(NEW_USERS),
-    _in_empty_shop(IMPORT_PRODUCTS.replace("r_products)", "no_products)")),
-    "r_products as (select * from products_added)",
-    _in_empty_shop(IMPORT_ORDERS),
-    SUMMARY,
-)
 
-ORACLE = {
-    "order_list": sql(ORDER_VIEWS, """texts as (
-  select oi.order_id, string_agg(p.product_art || case when oi.product_quantity > 1
-      then ' ×' || cast(oi.product_quantity as varchar) else '' end, ', ' order by oi.order_item_id) as article
-  from r_order_items oi join r_products p on p.product_id = oi.product_id group by 1)""", """
-select o.order_id as id, 0 as part, strftime(o.order_date, '%Y-%m-%d') as order_date,
+
+def import_files(*missing):
+    return sql(
+        empty_shop(*missing), USERS_TYPED, _in_empty_shop(NEW_USERS),
+        _in_empty_shop(IMPORT_PRODUCTS.replace("r_products)", "no_products)")),
+        "r_products as (select * from products_added)",
+        _in_empty_shop(IMPORT_ORDERS),
+        SUMMARY,
+    )
+
+
+
+def order_list(part_rows):
+    return sql(ORDER_VIEWS, POSITIONS, f"""texts as (
+  select order_id, pos // {part_rows} as part, string_agg(article || case when quantity > 1
+      then ' ×' || cast(quantity as varchar) else '' end, ', ' order by pos) as article
+  from positions group by 1, 2)""", """
+select o.order_id as id, coalesce(t.part, 0) as part, strftime(o.order_date, '%Y-%m-%d') as order_date,
   strftime(o.order_pup_date, '%Y-%m-%d') as delivery_date, pp.pp_name as pickup_point_address,
   coalesce(t.article, '') as article, st.status_name
-from r_orders o left join texts t on t.order_id = o.order_id""" + ORDER_NAMES),
+from r_orders o left join texts t on t.order_id = o.order_id""" + ORDER_NAMES)
+
+
+def order_text(part_rows):
+    return sql(views_of("order_items", "products"), POSITIONS, f"""
+select order_id, pos // {part_rows} as part, string_agg(trim(article) || case when quantity <> 1
+    then ', ' || cast(quantity as varchar) else '' end, ', ' order by pos) as order_text
+from positions group by 1, 2""")
+
+
+ORACLE = {
+    "order_list": order_list(PART_ROWS),
+    "order_list_parts": order_list(3),
     "order_documents": sql(ORDER_VIEWS, POSITIONS, DOCUMENTS),
     "order_lookup": sql(
         ORDER_VIEWS, views_of("order_changes"), POSITIONS,
         DOCUMENTS + " where o.order_id in (select order_id from r_order_changes)",
     ),
-    "order_text_format": sql(views_of("order_items", "products"), POSITIONS, """
-select order_id, 0 as part, string_agg(trim(article) || case when quantity <> 1
-    then ', ' || cast(quantity as varchar) else '' end, ', ' order by pos) as order_text
-from positions group by order_id"""),
-    "order_text_parse": sql(views_of("order_items", "products"), POSITIONS, """
-select order_id, 0 as part, pos, trim(article) as art, quantity as qty from positions"""),
+    "order_text_format": order_text(PART_ROWS),
+    "order_text_parts": order_text(2),
+    "order_text_parse": sql(views_of("order_items", "products"), POSITIONS, f"""
+select order_id, pos // {PART_ROWS} as part, pos % {PART_ROWS} as pos, trim(article) as art, quantity as qty
+from positions"""),
     "order_lines": sql(
         views_of("order_forms"), parsed("lines", "r_order_forms", "row_no", "product_article"),
         "select row_no, pos, art, qty from lines",
@@ -574,11 +623,34 @@ select product_id, product_price as price, product_discount as discount,
     "highlight_counts": sql(views_of("products"), f"""
 select {HIGHLIGHT.format(d='product_discount', s='product_stock')} as highlight, count(*) as products
 from r_products group by 1"""),
-    "catalog_changes": sql(UPDATE_PRODUCTS, "differences as (select o.product_id, concat_ws(',', " + ", ".join(
-        f"case when o.{c} is distinct from n.{c} then '{c}' end"
-        for c in PRODUCT_COLUMNS.split(", ")
-    ) + ") as columns from r_products o join updated n on n.product_id = o.product_id)", """
-select product_id, 'changed' as change, columns from differences where columns <> ''"""),
+    "catalog_changes": sql(
+        views_of("product_changes", "product_forms", "products", "suppliers", "categories", "order_items"),
+        product_forms("r_product_forms", "row_no"),
+        product_forms("r_product_changes", "change_no").replace("forms_", "changes_")
+        .replace("supplier_ids", "supplier_keys").replace("category_ids", "category_keys"),
+        f"""first_forms as (
+  select (select max(product_id) from r_products) + row_number() over (order by row_no) as product_id,
+    {PRODUCT_COLUMNS} from forms_checked where reason is null and row_no % 2 = 1),
+second_forms as (
+  select (select max(product_id) from r_products) + (select count(*) from first_forms)
+    + row_number() over (order by row_no) as product_id,
+    {PRODUCT_COLUMNS} from forms_checked where reason is null and row_no % 2 = 0),
+old_rows as (select product_id, {PRODUCT_COLUMNS} from r_products union all select * from first_forms),
+winners as (
+  select product_id, {PRODUCT_COLUMNS} from changes_checked where reason is null
+  qualify row_number() over (partition by product_id order by change_no desc) = 1),
+new_rows as (
+  select * from (
+    select * from old_rows where product_id not in (select product_id from winners)
+    union all select * from winners where product_id in (select product_id from old_rows))
+  where product_id in (select product_id from r_order_items)
+  union all select * from second_forms),
+differences as (select o.product_id, concat_ws(',', """ + ", ".join(
+            f"case when o.{c} is distinct from n.{c} then '{c}' end" for c in PRODUCT_COLUMNS.split(", ")
+        ) + ") as columns from old_rows o join new_rows n on n.product_id = o.product_id)", """
+select product_id, 'changed' as change, columns from differences where columns <> ''
+union all select product_id, 'removed', '' from old_rows where product_id not in (select product_id from new_rows)
+union all select product_id, 'added', '' from new_rows where product_id not in (select product_id from old_rows)"""),
     "supplier_names": sql(views_of("suppliers"), "select supp_name from r_suppliers"),
     "category_names": sql(views_of("categories"), "select categ_name from r_categories"),
     "status_names": sql(views_of("statuses"), "select status_name from r_statuses"),
@@ -588,11 +660,11 @@ select distinct trim(product_manufac) as manufacturer_name from r_products where
 select pp_id as pickup_point_id, pp_name as pickup_address from r_pickup_points"""),
     "clean_users": sql(views_of("raw_users"), USERS_TYPED, "select * from users_clean"),
     "clean_products": sql(views_of("raw_products"), PRODUCTS_TYPED, "select * from products_clean"),
-    "clean_orders": sql(views_of("raw_orders"), ORDERS_TYPED, """
+    "clean_orders": sql(views_of("raw_orders"), ORDERS_TYPED, ORDERS_SPLIT, """
 select * replace (strftime(order_date, '%Y-%m-%d') as order_date,
   strftime(order_pup_date, '%Y-%m-%d') as order_pup_date) from orders_clean"""),
     "clean_rejects": sql(
-        views_of("raw_users", "raw_products", "raw_orders"), USERS_TYPED, PRODUCTS_TYPED, ORDERS_TYPED,
+        views_of("raw_users", "raw_products", "raw_orders"), USERS_TYPED, PRODUCTS_TYPED, ORDERS_TYPED, ORDERS_SPLIT,
         "select * from users_rejects union all select * from products_rejects "
         "union all select * from orders_rejects",
     ),
@@ -629,7 +701,12 @@ select * replace (strftime(order_date, '%Y-%m-%d') as order_date,
     "import_summary": sql(
         views_of(*ALL_IMPORT_VIEWS), USERS_TYPED, NEW_USERS, IMPORT_PRODUCTS, IMPORT_ORDERS, SUMMARY
     ),
-    "import_files": IMPORT_FILES,
+    "import_files": import_files(),
+    "import_missing_files": import_files("raw_users", "raw_products"),
+    "delimited_table": sql(views_of("orders"), """
+select order_id, strftime(order_date, '%Y-%m-%d') as order_date, strftime(order_pup_date, '%Y-%m-%d') as order_pup_date,
+  concat('"', user_name, '"; said ""', cast(order_pp_code as varchar), '"" ') as note
+from r_orders"""),
     "items_strict": sql(FORM_ITEMS, """
 select row_no, count(*) as items, min(problem) as problem from resolved group by 1"""),
     "items_lenient": sql(FORM_ITEMS, """
@@ -669,7 +746,7 @@ select (select max(order_item_id) from r_numbered_items)
 from last_change c join lines l on l.change_no = c.change_no join articles a on a.art = l.art"""),
     "orders_replace_rejects": sql(REPLACE_ORDERS, """
 select * from placed_rejects
-union all select 'orders', change_no, 'unknown_order', 'abort' from r_order_changes
+union all select 'orders', change_no, 'unknown_order', 'abort' from r_faulty_changes
 where order_id not in (select order_id from r_orders)"""),
     "orders_deletable": sql(views_of("orders", "order_items"), """
 select order_id from r_orders where order_id not in (select order_id from r_order_items)"""),
@@ -677,7 +754,7 @@ select order_id from r_orders where order_id not in (select order_id from r_orde
 select order_id from r_orders where order_id in (select order_id from r_order_items)"""),
     "constraint_audit": sql(
         views_of("audit_products", "audit_orders", "audit_items", "suppliers", "categories",
-                 "statuses", "pickup_points"),
+                 "statuses", "pickup_points", "audit_users"),
         audit_rules(),
     ),
     "roles_normalised": sql(

@@ -60,6 +60,14 @@ def order_lookup(spark, sf):
     return _document_rows(orders.orders_by_id(*views(spark, sf, *ORDER_TABLES), keys))
 
 
+def order_list_parts(spark, sf):
+    return _iso(orders.order_list(*views(spark, sf, *ORDER_TABLES), part_rows=3))
+
+
+def order_text_parts(spark, sf):
+    return orders.editable_texts(*views(spark, sf, "order_items", "product_articles"), part_rows=2)
+
+
 def order_text_format(spark, sf):
     return orders.editable_texts(*views(spark, sf, "order_items", "product_articles"))
 
@@ -109,10 +117,17 @@ def highlight_counts(spark, sf):
 
 
 def catalog_changes(spark, sf):
-    before = view(spark, sf, "products")
-    after = products.update_products(
-        view(spark, sf, "product_changes"), before, *views(spark, sf, "suppliers", "categories")
-    ).table
+    """Half of the forms are products before; then changes, removal of what no order has, the other half."""
+    table, forms, edits, items = views(spark, sf, "products", "product_forms", "product_changes", "order_items")
+    named = views(spark, sf, "suppliers", "categories")
+
+    def inserted(half, into):
+        return products.insert_products(forms.where(F.col("row_no") % 2 == half), into, *named).rows.drop("row_no")
+
+    before = table.unionByName(inserted(1, table))
+    after = products.update_products(edits, before, *named).table
+    deleted = products.delete_products(before, before, items).deleted
+    after = after.join(deleted, "product_id", "left_anti").unionByName(inserted(0, before))
     return changes.change_feed(before, after, "product_id")
 
 
@@ -226,17 +241,40 @@ def import_summary(spark, sf):
     )
 
 
-def import_files(spark, sf):
-    """Files to tables: landing files are written, imported into an empty shop, counted."""
-    folder = _scratch(spark)
+def _landed(spark, sf, folder, *missing):
+    """Landing files of the raw views, line breaks escaped; the paths of all four."""
     headers = {
         "users": fixed.USER_HEADERS, "products": fixed.PRODUCT_HEADERS,
         "orders": fixed.ORDER_HEADERS, "points": None,
     }
     landing = {name: f"{folder}/landing/{name}" for name in headers}
     for name, columns in headers.items():
-        files.write_landing(view(spark, sf, f"raw_{name}"), landing[name], columns)
-    return run_import(spark, landing, f"{folder}/shop", "first", SALT, strict=False).summary
+        if name not in missing:
+            files.write_landing(view(spark, sf, f"raw_{name}"), landing[name], columns, escape_lines=name == "orders")
+    return landing
+
+
+def import_files(spark, sf):
+    """Files to tables: landing files are written, imported into an empty shop, counted."""
+    folder = _scratch(spark)
+    landing = _landed(spark, sf, folder)
+    return run_import(spark, landing, f"{folder}/shop", "first", SALT, strict=False, escaped_lines=True).summary
+
+
+def import_missing_files(spark, sf):
+    """The same without a users and a products file: they count as empty, the import goes on."""
+    folder = _scratch(spark)
+    landing = _landed(spark, sf, folder, "users", "products")
+    return run_import(spark, landing, f"{folder}/shop", "first", SALT, strict=False, escaped_lines=True).summary
+
+
+def delimited_table(spark, sf):
+    """A table written with ; and doubled quotes and day.month.year, read back by its schema."""
+    path = f"{_scratch(spark)}/orders"
+    note = F.format_string('"%s"; said ""%d"" ', "user_name", "order_pp_code").alias("note")
+    files.write_delimited(view(spark, sf, "orders").select("order_id", "order_date", "order_pup_date", note), path)
+    return _iso(files.read_delimited(
+        spark, path, "order_id bigint, order_date date, order_pup_date date, note string"))
 
 
 def _resolved(spark, sf):
@@ -300,7 +338,7 @@ def products_blocked(spark, sf):
 
 def _place_orders(spark, sf):
     return ordering.place_orders(*views(
-        spark, sf, "order_forms", "orders", "numbered_items", "product_articles", "statuses", "pickup_points"
+        spark, sf, "faulty_forms", "orders", "numbered_items", "product_articles", "statuses", "pickup_points"
     ))
 
 
@@ -318,7 +356,7 @@ def orders_insert_rejects(spark, sf):
 
 def _replace_orders(spark, sf):
     return ordering.replace_orders(*views(
-        spark, sf, "order_changes", "orders", "numbered_items", "product_articles", "statuses", "pickup_points"
+        spark, sf, "faulty_changes", "orders", "numbered_items", "product_articles", "statuses", "pickup_points"
     ))
 
 
@@ -353,7 +391,7 @@ def constraint_audit(spark, sf):
         "products": read("audit_products"), "orders": read("audit_orders"),
         "order_items": read("audit_items"), "suppliers": read("suppliers"),
         "categories": read("categories"), "statuses": read("statuses"),
-        "pickup_points": read("pickup_points"),
+        "pickup_points": read("pickup_points"), "users": read("audit_users"),
     })
 
 
@@ -385,11 +423,11 @@ def _land(spark, rows, folder):
 
 def stream_order_intake(spark, sf):
     folder = _scratch(spark)
-    forms = _land(spark, view(spark, sf, "order_forms"), folder)
+    forms = _land(spark, view(spark, sf, "faulty_forms"), folder)
     root = f"{folder}/shop"
-    intake.order_intake(
-        forms, root, f"{folder}/checkpoint", *views(spark, sf, "product_articles", "statuses", "pickup_points")
-    ).awaitTermination()
+    readers = [lambda session, name=name: view(session, sf, name) for name in (
+        "product_articles", "statuses", "pickup_points")]
+    intake.order_intake(forms, root, f"{folder}/checkpoint", *readers).awaitTermination()
     stored = tables.read_table(spark, root, "orders").join(
         tables.read_table(spark, root, "order_items"), "order_id", "left"
     )
@@ -408,6 +446,8 @@ QUERIES = {
     "order_list": order_list,
     "order_documents": order_documents,
     "order_lookup": order_lookup,
+    "order_list_parts": order_list_parts,
+    "order_text_parts": order_text_parts,
     "order_text_format": order_text_format,
     "order_text_parse": order_text_parse,
     "order_lines": order_lines,
@@ -443,6 +483,8 @@ QUERIES = {
     "import_rejects": import_rejects,
     "import_summary": import_summary,
     "import_files": import_files,
+    "import_missing_files": import_missing_files,
+    "delimited_table": delimited_table,
     "items_strict": items_strict,
     "items_lenient": items_lenient,
     "items_rejects": items_rejects,

@@ -122,9 +122,15 @@ from {lineitem}"""
 
 # ---- landing rows -----------------------------------------------------------
 
+
+def faulty_number(key, every):
+    """Row numbers of which some are missing and some repeat the one before."""
+    return f"case when {key} % {every} = 5 then null when {key} % {every} = 7 then {key} else {key} + 1 end"
+
+
 # Shared logins compete for the first row; some logins are blank.
-RAW_USERS = """
-select c_custkey + 1 as row_no,
+RAW_USERS = f"""
+select {faulty_number('c_custkey', 97)} as row_no,
   case when c_custkey % 11 = 0 then '  '
        when c_custkey % 4 = 0 then concat(' ', c_mktsegment, '-', cast(c_nationkey as <S>))
        when c_custkey % 4 = 1 then c_name
@@ -133,10 +139,10 @@ select c_custkey + 1 as row_no,
     when 'HOUSEHOLD' then 'Клиент' when 'FURNITURE' then 'Courier' else ' ' end as role,
   case when c_custkey % 6 = 0 then '' else concat(c_name, ' ') end as full_name,
   concat('pw', cast(c_custkey % 7 as <S>), ' ') as password
-from {customer}"""
+from {{customer}}"""
 
-RAW_PRODUCTS = """
-select p_partkey + 1 as row_no,
+RAW_PRODUCTS = f"""
+select {faulty_number('p_partkey', 101)} as row_no,
   case when p_partkey % 37 = 0 then ' ' else concat(' ', p_name) end as product_name,
   case when p_partkey % 3 = 0 then '' else concat(cast(p_partkey as <S>), '.jpg ') end as photo,
   case when p_partkey % 17 = 0 then 'n/a' when p_partkey % 19 = 0 then null
@@ -154,25 +160,28 @@ select p_partkey + 1 as row_no,
        else p_type end as category,
   case when p_partkey % 2 = 0 then concat(p_brand, ' ') else ' ' end as manufacturer,
   case when p_partkey % 9 = 0 then 'пара' else '' end as unit,
-  lower(p_type) as description
-from {part}"""
+  case when p_partkey % 47 = 0 then ' ' when p_partkey % 4 = 0 then concat(' ', lower(p_type), '  ')
+       else lower(p_type) end as description
+from {{part}}"""
 
 _DATE_TEXT = """concat(lpad(cast(day(o_orderdate) as <S>), 2, '0'), '.',
     lpad(cast(month(o_orderdate) as <S>), 2, '0'), '.', cast(year(o_orderdate) as <S>))"""
 
 # Order lines of every form: several separators, left-out and repeated
-# quantities, bare numbers, unknown articles, quantities that cannot be stored.
+# quantities, bare numbers, unknown articles (some of them 0 times), quantities
+# that cannot be stored.
 _ORDER_LINE = """case o_orderkey % 6
     when 0 then concat('P', cast(o_custkey as <S>), ', 2, P', cast(o_custkey + 1 as <S>), chr(10),
       '5; P', cast(o_custkey + 2 as <S>), ',,', cast(o_custkey % 9 + 1 as <S>), ', 8')
     when 1 then concat(' P', cast(o_custkey as <S>), ' ')
-    when 2 then concat('P', cast(o_custkey as <S>), '; X', cast(o_custkey as <S>), ', 3')
+    when 2 then concat('P', cast(o_custkey as <S>), '; X', cast(o_custkey as <S>),
+      case when o_orderkey % 4 = 0 then ', 0' else ', 3' end)
     when 3 then concat('P', cast(o_custkey as <S>), ',1 000; P', cast(o_custkey + 3 as <S>))
     when 4 then concat('P', cast(o_custkey as <S>), ';P', cast(o_custkey as <S>), ', 4;;')
     else concat('P', cast(o_custkey as <S>), ', 0, P', cast(o_custkey + 4 as <S>), ', 7') end"""
 
 RAW_ORDERS = f"""
-select o_orderkey + 1 as row_no,
+select {faulty_number('o_orderkey', 103)} as row_no,
   case when o_orderkey % 13 = 0 then '30.02.2025'
        when o_orderkey % 13 = 1 then cast(cast(o_orderdate as date) as <S>)
        else {_DATE_TEXT} end as order_date,
@@ -182,6 +191,7 @@ select o_orderkey + 1 as row_no,
        when o_orderkey % 5 = 1 then concat(cast(n_nationkey as <S>), '.0')
        when o_orderkey % 35 = 2 then concat('Street ', cast(n_nationkey as <S>))
        when o_orderkey % 35 = 3 then '' when o_orderkey % 35 = 4 then '99'
+       when o_orderkey % 35 = 9 then repeat(n_name, 60)
        else cast(n_nationkey as <S>) end as pickup,
   case when o_orderkey % 45 = 0 then 'call' when o_orderkey % 45 = 1 then null
        when o_orderkey % 45 = 2 then '901.0' else cast(o_orderkey % 1000 as <S>) end as code,
@@ -193,7 +203,7 @@ select o_orderkey + 1 as row_no,
   case when o_orderkey % 10 = 2 then line else '' end as order_contents,
   case when o_orderkey % 10 = 3 then line else null end as order_positions,
   case when o_orderkey % 50 = 10 then null when o_orderkey % 50 = 20 then 'none'
-       when o_orderkey % 50 = 30 then '-7' else concat(cast(o_custkey as <S>), '.0') end as product_no,
+       when o_orderkey % 50 = 30 then '-7' when o_orderkey % 50 = 40 then '99999999999' else concat(cast(o_custkey as <S>), '.0') end as product_no,
   case when o_orderkey % 40 = 0 then 'two' when o_orderkey % 40 = 10 then null
        when o_orderkey % 40 = 20 then '0' else '3.7' end as quantity
 from (select *, {_ORDER_LINE} as line from {{orders}}) o
@@ -208,8 +218,8 @@ from {nation}"""
 
 # ---- form input -------------------------------------------------------------
 
-PRODUCT_FORMS = """
-select p_partkey + 1 as row_no,
+PRODUCT_FORMS = f"""
+select {faulty_number('p_partkey', 107)} as row_no,
   case when p_partkey % 6 = 0 then null else concat(' F', cast(p_partkey as <S>), ' ') end as article,
   p_name as product_name,
   case when p_partkey % 4 = 0 then ' ' else 'пара' end as unit,
@@ -224,11 +234,11 @@ select p_partkey + 1 as row_no,
   cast(p_partkey % 13 as <S>) as stock_quantity,
   concat(p_type, ' ') as description,
   case when p_partkey % 2 = 0 then ' ' else concat(cast(p_partkey as <S>), '.png') end as photo
-from {part}"""
+from {{part}}"""
 
 # Each order edits the product numbered like its customer; later orders win.
-PRODUCT_CHANGES = """
-select o_orderkey as change_no,
+PRODUCT_CHANGES = f"""
+select {faulty_number('o_orderkey', 109)} as change_no,
   case when o_orderpriority = '5-LOW' then -1 - o_custkey else o_custkey end as product_id,
   concat('C', cast(o_orderkey as <S>)) as article,
   concat(o_orderpriority, ' ') as product_name,
@@ -242,7 +252,7 @@ select o_orderkey as change_no,
   case when o_orderkey % 3 = 0 then null else '4.2' end as stock_quantity,
   o_orderpriority as description,
   null as photo
-from {orders}"""
+from {{orders}}"""
 
 ORDER_FORMS = f"""
 select o_orderkey + 1 as row_no,
@@ -257,6 +267,12 @@ select o_orderkey + 1 as row_no,
   cast(o_orderdate as date) as order_date, cast(null as date) as delivery_date
 from {{orders}} join {{customer}} on c_custkey = o_custkey"""
 
+_FORM = "product_article, status_name, pickup_point_id, receiver_code, user_name, order_date, delivery_date"
+
+FAULTY_FORMS = f"""
+select {faulty_number('row_no - 1', 89).replace('row_no - 1', '(row_no - 1)')} as row_no, {_FORM}
+from ({ORDER_FORMS}) f"""
+
 # Each event edits an order; several edit the same one, later events win.
 ORDER_CHANGES = """
 select event_id as change_no,
@@ -272,6 +288,10 @@ select event_id as change_no,
   cast(ts as date) as order_date, cast(ts as date) as delivery_date
 from {events}"""
 
+FAULTY_CHANGES = f"""
+select {faulty_number('change_no', 211)} as change_no, order_id, {_FORM}
+from ({ORDER_CHANGES}) f"""
+
 ATTEMPTS = """
 select event_id as attempt_id,
   concat('Customer#', lpad(cast(user_id as <S>), 9, '0'), case when event_type = 'view' then ' ' else '' end)
@@ -308,6 +328,14 @@ select o_orderkey as order_id, cast(o_orderdate as date) as order_date,
   cast(ascii(o_orderstatus) + o_orderkey % 2 as bigint) as status_id
 from {orders} join {customer} on c_custkey = o_custkey"""
 
+AUDIT_USERS = """
+select case when c_custkey % 60 = 1 then c_custkey - 1 when c_custkey % 60 = 2 then null else c_custkey end as user_id,
+  c_mktsegment as user_role,
+  case when c_custkey % 70 = 0 then repeat(c_name, 20) else c_name end as user_name,
+  case when c_custkey % 80 = 0 then repeat(c_name, 15) else c_name end as user_login,
+  <HASH>c_name</HASH> as user_secret
+from {customer}"""
+
 VIEWS = {
     "suppliers": SUPPLIERS,
     "pickup_points": PICKUP_POINTS,
@@ -327,10 +355,13 @@ VIEWS = {
     "product_changes": PRODUCT_CHANGES,
     "order_forms": ORDER_FORMS,
     "order_changes": ORDER_CHANGES,
+    "faulty_forms": FAULTY_FORMS,
+    "faulty_changes": FAULTY_CHANGES,
     "attempts": ATTEMPTS,
     "audit_products": AUDIT_PRODUCTS,
     "audit_items": AUDIT_ITEMS,
     "audit_orders": AUDIT_ORDERS,
+    "audit_users": AUDIT_USERS,
 }
 
 # Dimensions computed from large tables.

@@ -7,6 +7,7 @@ carries it in the column ``row_no``.
 import logging
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lavka import fixed, schemas
 
@@ -32,13 +33,26 @@ def read_delimited(spark, path, schema, multiline=False, date_format="dd.MM.yyyy
     return reader.option("multiLine", multiline).option("dateFormat", date_format).csv(path)
 
 
-def read_landing(spark, path, headers, required=(), file_format="csv", multiline=False):
+# With several files whose rows count from 1 each, a row's number is that of its file, from 0, in
+# the upper bits, and its own in the lower.
+FILE_BITS = 40
+
+
+def write_delimited(rows, path, date_format="dd.MM.yyyy"):
+    """Delimited table for ``read_delimited``."""
+    options = {**CSV, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.options(**options).option("dateFormat", date_format).csv(path)
+
+
+def read_landing(spark, path, headers, required=(), file_format="csv", multiline=False, escaped_lines=False,
+                 per_file=False):
     """Landing frame by column name, all cells as text.
 
     A missing path gives an empty frame and a log line, so that an import
     goes on with the other files; a missing required column is an error. Cells
-    with line breaks need ``multiline``, which reads each file in one task:
-    land many files then, or Parquet.
+    with line breaks need ``multiline``, which reads each file in one task, or
+    files with ``escaped_lines``, which split like any others. With ``per_file`` the row
+    numbers of each file start anew; files count in the order of their names.
     """
     schema = schemas.landing(headers)
     if not exists(spark, path):
@@ -51,16 +65,22 @@ def read_landing(spark, path, headers, required=(), file_format="csv", multiline
         frame = reader.schema(text).option("enforceSchema", False).csv(path)
     else:
         frame = spark.read.format(file_format).load(path)
+    number = F.col("row_no").cast("long")
+    if per_file:
+        names = sorted(r[0] for r in frame.select(F.input_file_name()).distinct().collect())  # one per file
+        place = F.array_position(F.array(*map(F.lit, names)), F.input_file_name()) - 1
+        number = F.shiftleft(place.cast("long"), FILE_BITS) + number
     present = set(frame.columns)
     by_name = {name: header for header, name in headers.items()}
     lost = [by_name[name] for name in required if by_name[name] not in present]
     if lost or "row_no" not in present:
         raise ValueError(f"{path}: missing columns {lost or ['row_no']}")
+    unescape = unescaped_lines if escaped_lines else lambda c: c
     cells = [
-        (F.col(f"`{header}`") if header in present else F.lit(None)).cast("string").alias(name)
+        (unescape(F.col(f"`{header}`").cast("string")) if header in present else F.lit(None).cast("string")).alias(name)
         for header, name in headers.items()
     ]
-    return frame.select(F.col("row_no").cast("long").alias("row_no"), *cells)
+    return frame.select(number.alias("row_no"), *cells)
 
 
 def read_users(spark, path, **options):
@@ -72,8 +92,8 @@ def read_products(spark, path, **options):
 
 
 def read_orders(spark, path, **options):
-    """Order lines are pasted with line breaks, so cells may span lines."""
-    options.setdefault("multiline", True)
+    """Order lines are pasted with line breaks, so cells may span lines, unless these are escaped."""
+    options.setdefault("multiline", not options.get("escaped_lines"))
     return read_landing(spark, path, fixed.ORDER_HEADERS, fixed.ORDER_REQUIRED, **options)
 
 
@@ -85,8 +105,27 @@ def read_points(spark, path):
     return spark.read.schema(schemas.RAW_POINTS).options(**{**CSV, "header": False}).csv(path)
 
 
-def write_landing(rows, path, headers=None):
+def escaped_lines(c):
+    """Line breaks as backslash and letter, a backslash doubled: one row stays one line."""
+    c = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    return F.replace(F.replace(c, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
+
+def unescaped_lines(c):
+    """Takes back ``escaped_lines``: the parts between doubled backslashes one by one."""
+    def plain(part):
+        return F.replace(F.replace(part, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+
+    return F.when(F.contains(c, F.lit("\\")), F.array_join(
+        F.transform(F.split(c, "\\\\\\\\"), plain), "\\")).otherwise(c)
+
+
+def write_landing(rows, path, headers=None, escape_lines=False):
     """Write a landing frame as delimited files, with the file headers."""
+    if escape_lines:
+        rows = rows.select([
+            escaped_lines(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name)
+            for f in rows.schema])
     names = {name: header for header, name in (headers or {}).items()}
     renamed = rows.select([F.col(c).alias(names.get(c, c)) for c in rows.columns])
     # Without these two, cells lose their outer blanks and empty text reads back as NULL.

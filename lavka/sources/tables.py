@@ -1,12 +1,13 @@
 """The retail tables as Parquet folders that grow by runs.
 
-A run writes its rows under ``run_id=<id>``; readers see them once the run is
-recorded. Writing a run again replaces its folder, so a job that was lost half
-way is simply repeated, and an abandoned run is never visible. The record of a
-run also holds the largest key it has written to each table, so that giving out
-the next keys reads no table at all.
+A run writes its rows into a folder of its own attempt; readers see them once the run
+is recorded, and the record names the attempt. Nothing is ever overwritten: a run that
+is repeated writes another attempt, a failed or refused attempt stays invisible, and a
+recorded run stays as it is. The record of a run also holds the largest key it has
+written to each table, so that giving out the next keys reads no table at all.
 """
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -17,60 +18,74 @@ from lavka import schemas
 from lavka.sources.files import exists
 
 RUNS = "runs"
-RECORD = "run_id string, last map<string,bigint>"
+RECORD = "run_id string, attempt string, last map<string,bigint>"
+
+
+class RunPublished(Exception):
+    """The run is recorded already; its rows are not written again."""
+
+
+def new_attempt():
+    return uuid.uuid4().hex
 
 
 def _stored(schema):
-    return T.StructType([*schema.fields, T.StructField("run_id", T.StringType())])
+    return T.StructType([*schema.fields, T.StructField("attempt", T.StringType())])
 
 
-def append_run(rows, root, name, run_id):
-    """Write the new rows of a table under a run that is not yet visible."""
+def append_rows(rows, root, name, attempt):
+    """Write the new rows of a table under an attempt, which is not visible yet."""
     columns = schemas.TABLES[name].fieldNames()
-    rows.select(*columns).write.mode("overwrite").parquet(f"{root}/{name}/run_id={run_id}")
+    rows.select(*columns).write.mode("errorifexists").parquet(f"{root}/{name}/attempt={attempt}")
+
+
+def read_attempt(spark, root, name, attempt):
+    """What one attempt has written to a table, published or not."""
+    return spark.read.schema(schemas.TABLES[name]).parquet(f"{root}/{name}/attempt={attempt}")
+
 
+def is_published(spark, root, run_id):
+    return exists(spark, f"{root}/{RUNS}/{run_id}/_SUCCESS")
 
-def read_run(spark, root, name, run_id):
-    """What one run has written to a table, published or not."""
-    return spark.read.schema(schemas.TABLES[name]).parquet(f"{root}/{name}/run_id={run_id}")
 
+def publish(spark, root, run_id, attempt, names):
+    """Make what the attempt has written to the named tables visible, in one small write.
 
-def publish(spark, root, run_id, names):
-    """Make what the run has written to the named tables visible, in one small write."""
+    The write fails if the run has a record.
+    """
+    if is_published(spark, root, run_id):
+        raise RunPublished(run_id)
     last = [
-        read_run(spark, root, name, run_id).agg(
+        read_attempt(spark, root, name, attempt).agg(
             F.lit(name).alias("name"), F.max(schemas.PRIMARY_KEYS[name]).cast("long").alias("key")
         )
         for name in names
     ]
     record = reduce(DataFrame.unionByName, last).agg(
         F.lit(run_id).alias("run_id"),
+        F.lit(attempt).alias("attempt"),
         F.map_from_entries(F.collect_list(F.struct("name", "key"))).alias("last"),
     )
-    record.coalesce(1).write.mode("overwrite").parquet(f"{root}/{RUNS}/{run_id}")
+    record.coalesce(1).write.mode("errorifexists").parquet(f"{root}/{RUNS}/{run_id}")
 
 
-def published_runs(spark, root, only=None):
-    """The run records; ``only`` is a condition on ``run_id``."""
+def published_runs(spark, root):
+    """The run records."""
     if not exists(spark, f"{root}/{RUNS}"):
         return spark.createDataFrame([], RECORD)
-    runs = spark.read.schema(RECORD).parquet(f"{root}/{RUNS}/*")
-    return runs if only is None else runs.where(only)
+    return spark.read.schema(RECORD).parquet(f"{root}/{RUNS}/*")
 
 
-def last_keys(spark, root, name, only=None):
+def last_keys(spark, root, name):
     """The largest key of each published run, under the name of the table's key."""
     key = schemas.PRIMARY_KEYS[name]
-    return published_runs(spark, root, only).select(F.col("last")[name].alias(key))
+    return published_runs(spark, root).select(F.col("last")[name].alias(key))
 
 
-def read_table(spark, root, name, only=None):
-    """Rows of all published runs; ``only`` is a condition on ``run_id``."""
+def read_table(spark, root, name):
+    """Rows of all published runs."""
     schema = schemas.TABLES[name]
     if not exists(spark, f"{root}/{name}"):
         return spark.createDataFrame([], schema)
     stored = spark.read.schema(_stored(schema)).parquet(f"{root}/{name}")
-    if only is not None:
-        stored = stored.where(only)
-    runs = published_runs(spark, root, only).select("run_id")
-    return stored.join(runs, "run_id", "left_semi").select(*schema.fieldNames())
+    return stored.join(published_runs(spark, root).select("attempt"), "attempt", "left_semi").select(*schema.fieldNames())

@@ -1,54 +1,59 @@
 """Streaming intake of orders: parse, resolve, store, micro-batch by micro-batch."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from lavka import schemas
 from lavka.operators.ordering import place_orders
+from lavka.session import scratch
 from lavka.sources import tables
 
 PLACED = ("orders", "order_items")
+STREAM = "intake"
 
 
-BATCH = "batch-"
-
+def batch_run(stream, query_id, batch_id):
+    """Run of a micro-batch: no other stream, and no other checkpoint of this one, has it."""
+    return f"{stream}-{query_id}-{batch_id:012d}"
 
-def batch_run(batch_id):
-    return f"{BATCH}{batch_id:012d}"
 
+def checkpoint_id(spark, checkpoint):
+    """The id that Spark keeps in a checkpoint folder for as long as the folder lives."""
+    stored = spark.read.text(f"{checkpoint}/metadata").agg(F.concat_ws("", F.collect_list("value"))).first()[0]
+    return json.loads(stored)["id"]
 
-def before_batch(run_id):
-    """Condition on the runs a batch builds on: earlier batches and all other runs."""
-    run = F.col("run_id")
-    return ~run.startswith(BATCH) | (run < run_id)
 
-
-def place_batch(forms, batch_id, root, products, statuses, points):
+def place_batch(forms, run_id, root, products, statuses, points):
     """Store the orders of one micro-batch under a run of its own.
 
-    A batch that is run again (after a failure) builds on the same runs as the
-    first time, because later batches do not exist yet, gives the same keys and
-    overwrites its own folder: the effect is that of running once.
+    A batch whose run is published is done. One that failed before that writes
+    another attempt: the effect is that of running once. ``products``, ``statuses``
+    and ``points`` are functions from the session to the table as it is now.
     """
     spark = forms.sparkSession
-    run_id = batch_run(batch_id)
-    orders, items = (
-        tables.last_keys(spark, root, name, before_batch(run_id)) for name in PLACED
-    )
-    placed = place_orders(forms, orders, items, products, statuses, points)
-    tables.append_run(placed.headers, root, "orders", run_id)
-    tables.append_run(placed.items, root, "order_items", run_id)
-    placed.rejects.write.mode("overwrite").parquet(f"{root}/rejects/{run_id}")
-    tables.publish(spark, root, run_id, PLACED)
+    if tables.is_published(spark, root, run_id):
+        return
+    attempt = tables.new_attempt()
+    orders, items = (tables.last_keys(spark, root, name) for name in PLACED)
+    with scratch(spark):
+        placed = place_orders(forms, orders, items, products(spark), statuses(spark), points(spark))
+        tables.append_rows(placed.headers, root, "orders", attempt)
+        tables.append_rows(placed.items, root, "order_items", attempt)
+        placed.rejects.write.mode("errorifexists").parquet(f"{root}/rejects/{attempt}")
+    tables.publish(spark, root, run_id, attempt, PLACED)
 
 
 def order_intake(forms, root, checkpoint, products, statuses, points, **trigger):
     """Start the intake of a stream of order forms; returns the running query.
 
-    ``products``, ``statuses`` and ``points`` are static and read anew by each
-    batch. The trigger defaults to all that is available.
+    ``products``, ``statuses`` and ``points`` are called by each batch, so that it
+    sees rows added since the batch before. The trigger defaults to all that is
+    available.
     """
     def store(batch, batch_id):
-        place_batch(batch, batch_id, root, products, statuses, points)
+        run_id = batch_run(STREAM, checkpoint_id(batch.sparkSession, checkpoint), batch_id)
+        place_batch(batch, run_id, root, products, statuses, points)
 
     return (
         forms.writeStream.foreachBatch(store)
@@ -59,4 +64,8 @@ def order_intake(forms, root, checkpoint, products, statuses, points, **trigger)
 
 
 def intake_rejects(spark, root):
-    return spark.read.schema(schemas.REJECTS).parquet(f"{root}/rejects/*")
+    """Rejects of the published batches."""
+    attempts = tables.published_runs(spark, root).where(F.startswith("run_id", F.lit(f"{STREAM}-"))).select("attempt")
+    stored = spark.read.schema(schemas.REJECTS).parquet(f"{root}/rejects/*").withColumn(
+        "attempt", F.regexp_extract(F.input_file_name(), "/rejects/([0-9a-f]+)/", 1))
+    return stored.join(attempts, "attempt", "left_semi").drop("attempt")

@@ -1,30 +1,47 @@
 """Streaming registration: the first row of a login wins, for ever."""
 
+from pyspark.sql import functions as F
+
 from lavka.operators.cleaning import clean_users
+from lavka.operators.sizing import broadcast_if_small
 from lavka.operators.users import new_users
+from lavka.session import cut, scratch
 from lavka.sources import tables
-from lavka.streaming.intake import batch_run, before_batch
+from lavka.streaming.intake import batch_run, checkpoint_id
+
+STREAM = "registration"
 
 
-def register_batch(raw, batch_id, root, salt):
+def register_batch(raw, run_id, root, salt):
     """Store the new users of one micro-batch.
 
-    Taken logins are those of earlier batches, in the user table; no state store
-    grows with them, and within the batch the choice of the first row combines
-    before the shuffle. Running a batch again overwrites its own folder.
+    Taken logins are those of the published runs, in the user table; no state store
+    grows with them. The stored logins are filtered by the batch's own (broadcast if
+    few), so that only hits are shuffled. Within the batch the choice of the first row
+    combines before the shuffle. A published batch is done.
     """
     spark = raw.sparkSession
-    run_id = batch_run(batch_id)
-    users = tables.read_table(spark, root, "users", before_batch(run_id))
-    fresh = new_users(clean_users(raw, salt).rows, users)
-    tables.append_run(fresh, root, "users", run_id)
-    tables.publish(spark, root, run_id, ["users"])
+    if tables.is_published(spark, root, run_id):
+        return
+    attempt = tables.new_attempt()
+    users = tables.read_table(spark, root, "users")
+    last = tables.last_keys(spark, root, "users")
+    with scratch(spark):
+        rows = clean_users(raw, salt, cut).rows
+        logins = broadcast_if_small(rows.select(F.col("user_login").alias("_login")).distinct())
+        hits = users.join(logins, F.trim("user_login") == F.col("_login"), "left_semi")
+        tables.append_rows(new_users(rows, hits, last), root, "users", attempt)
+    tables.publish(spark, root, run_id, attempt, ["users"])
 
 
 def registration(raw, root, checkpoint, salt, **trigger):
     """Start registering a stream of user rows; returns the running query."""
+    def store(batch, batch_id):
+        run_id = batch_run(STREAM, checkpoint_id(batch.sparkSession, checkpoint), batch_id)
+        register_batch(batch, run_id, root, salt)
+
     return (
-        raw.writeStream.foreachBatch(lambda batch, n: register_batch(batch, n, root, salt))
+        raw.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
