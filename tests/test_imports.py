@@ -2,6 +2,7 @@ import datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from lavka import fixed, schemas
 from lavka.operators import cleaning, dims, imports, resolve, users
@@ -182,8 +183,9 @@ def test_strict_import_publishes_all_or_nothing(spark, folder):
     items = tables.read_table(spark, root, "order_items").collect()
     assert [(r.order_item_id, r.product_id, r.product_quantity) for r in items] == [(1, 2, 2)]
 
-    # The same run again replaces itself, another one builds on it.
-    run_import(spark, good, root, "run2", "salt")
+    # The same run again is refused, another one builds on it.
+    with pytest.raises(tables.RunPublished):
+        run_import(spark, good, root, "run2", "salt")
     assert tables.read_table(spark, root, "products").count() == 2
     run_import(spark, good, root, "run3", "salt")
     ids = [r.product_id for r in tables.read_table(spark, root, "products").collect()]
@@ -192,6 +194,123 @@ def test_strict_import_publishes_all_or_nothing(spark, folder):
     assert tables.read_table(spark, root, "suppliers").count() == 1
 
 
+def stored(spark, root):
+    return {n: sorted(map(str, tables.read_table(spark, root, n).collect())) for n in schemas.TABLES}
+
+
+def test_published_rows_stay_whatever_is_tried(spark, folder, monkeypatch):
+    """A published run repeated with a bad file, a refused run, and one that fails half way."""
+    root = f"{folder}/shop"
+    good = land(spark, f"{folder}/good", [PRODUCTS[0], PRODUCTS[8]], ORDERS[:2])
+    bad = land(spark, f"{folder}/bad", PRODUCTS, ORDERS)
+    run_import(spark, good, root, "r1", "salt")
+    before = stored(spark, root)
+    for strict in (True, False):
+        with pytest.raises(tables.RunPublished):
+            run_import(spark, bad, root, "r1", "salt", strict=strict)
+        assert stored(spark, root) == before
+    with pytest.raises(ImportRefused):
+        run_import(spark, bad, root, "r2", "salt")
+    assert stored(spark, root) == before
+
+    def fails(*args, **options):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patched:
+        patched.setattr("lavka.plans.importing.import_orders", fails)
+        with pytest.raises(OSError):
+            run_import(spark, good, root, "r3", "salt")
+    assert stored(spark, root) == before
+    # The run that failed can be repeated under its name.
+    run_import(spark, good, root, "r3", "salt")
+    assert len(stored(spark, root)["products"]) == 4
+
+
+NUMBERS = [None, 1, 2, 2, 3, None, 4, 4, 4, 5]
+
+
+def test_every_row_is_accepted_or_refused(spark, shop):
+    """Missing and repeated row numbers: refused, all of them, and nothing else is."""
+    wrong = [(n, "no_row_no" if n is None else "repeated_row_no") for n in NUMBERS if n is None or NUMBERS.count(n) > 1]
+    products = raw(spark, schemas.RAW_PRODUCTS, *[
+        {"row_no": n, "product_name": "x", "article": f"N{i}"} for i, n in enumerate(NUMBERS)])
+    done = imports.import_products(products, shop["products"], shop["suppliers"], shop["categories"])
+    assert sorted(map(str, ((r.row_no, r.reason) for r in done.rejects.collect()))) == sorted(map(str, wrong))
+    assert [(r.row_no, r.product_id) for r in done.products.orderBy("row_no").collect()] == [(1, 6), (3, 7), (5, 8)]
+    orders = raw(spark, schemas.RAW_ORDERS, *[
+        {"row_no": n, "order_date": "2025-03-01", "order_line": "A1"} for n in NUMBERS])
+    done = imports.import_orders(
+        orders, addresses(spark), shop["orders"], shop["order_items"], shop["products"], shop["pickup_points"], shop["statuses"])
+    assert sorted(map(str, ((r.row_no, r.reason) for r in done.rejects.collect()))) == sorted(map(str, wrong))
+    assert done.orders.count() == done.order_items.count() == 3
+    people = raw(spark, schemas.RAW_USERS, *[{"row_no": n, "login": f"u{i}"} for i, n in enumerate(NUMBERS)])
+    done = imports.import_users(people, spark.createDataFrame([], schemas.USERS), "salt")
+    assert done.users.count() + done.rejects.count() == len(NUMBERS)
+
+
+def test_files_that_each_start_at_one(spark, folder):
+    for name in ("b", "a"):
+        files.write_landing(raw(spark, schemas.RAW_USERS, *[
+            {"row_no": i, "login": f"{name}{i}"} for i in (1, 2)]).coalesce(1), f"{folder}/{name}", fixed.USER_HEADERS)
+    read = lambda **o: files.read_users(spark, f"{folder}/[ab]", **o)
+    spark_exists, files.exists = files.exists, lambda *a: True
+    try:
+        one, each = read(), read(per_file=True)
+    finally:
+        files.exists = spark_exists
+    assert sorted(r.row_no for r in one.collect()) == [1, 1, 2, 2]
+    assert [r.login for r in each.orderBy("row_no").collect()] == ["a1", "a2", "b1", "b2"]
+    done = imports.import_users(each, spark.createDataFrame([], schemas.USERS), "salt")
+    assert done.users.count() == 4 and done.rejects.count() == 0
+
+
+def test_what_the_import_keeps_and_refuses(spark, shop):
+    """Order of an item's checks, descriptions as they are, addresses and product numbers that do not fit."""
+    rows = [
+        {"row_no": 1, "order_date": "2025-03-01", "order_line": "Z9,0; A1,0; Z8, 1 000"},
+        {"row_no": 2, "order_date": "2025-03-01", "pickup": "x" * 256},
+        {"row_no": 3, "order_date": "2025-03-01", "product_no": "99999999999"},
+        {"row_no": 4, "order_date": "2025-03-01", "pickup": "x" * 255},
+    ]
+    done = imports.import_orders(
+        raw(spark, schemas.RAW_ORDERS, *rows), addresses(spark), shop["orders"], shop["order_items"],
+        shop["products"], shop["pickup_points"], shop["statuses"])
+    assert reasons(done.rejects) == [
+        (1, "bad_quantity", "abort"), (1, "bad_quantity", "abort"), (1, "unknown_article", "skip"),
+        (2, "too_long", "abort"), (3, "bad_product_number", "abort")]
+    assert [r.row_no for r in done.orders.orderBy("row_no").collect()] == [1, 3, 4]
+    cleaned = cleaning.clean_products(raw(
+        spark, schemas.RAW_PRODUCTS, {"row_no": 1, "product_name": "x", "article": "A", "description": " a\u00a0"},
+        {"row_no": 2, "product_name": "x", "article": "A", "description": " \u00a0 "}))
+    assert [r.product_desc for r in cleaned.rows.orderBy("row_no").collect()] == [" a\u00a0", None]
+
+
+TEXTS = ["A1, 2\nZ9; C3,5", "back\\slash\\n", "\\\\n\\", "a\r\nb", "", 'say "x"; y', " edge ", "\\\n"]
+
+
+def test_order_files_that_split(spark, folder):
+    """Line breaks are escaped, so one large file is read by several tasks."""
+    lines = [{"row_no": i, "order_date": "2025-03-01", "order_line": TEXTS[i % len(TEXTS)] + "x" * 100} for i in range(4000)]
+    path = f"{folder}/orders"
+    rows = raw(spark, schemas.RAW_ORDERS, *lines)
+    files.write_landing(rows.coalesce(1), path, fixed.ORDER_HEADERS, escape_lines=True)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100KB")
+    try:
+        read = files.read_orders(spark, path, escaped_lines=True)
+        assert read.rdd.getNumPartitions() > len(read.inputFiles()) == 1
+        assert [r.order_line for r in read.orderBy("row_no").collect()] == [r["order_line"] for r in lines]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_escaped_lines(spark):
+    frame = spark.createDataFrame([(t,) for t in [*TEXTS, None]], "t string")
+    for r in frame.select("t", files.escaped_lines(F.col("t")).alias("e"),
+                          files.unescaped_lines(files.escaped_lines(F.col("t"))).alias("b")).collect():
+        assert r.b == r.t and (r.e is None or not {"\n", "\r"} & set(r.e))
+
+
 def test_landing_files(spark, folder):
     path = f"{folder}/users.csv"
     with open(path, "w", encoding="utf-8-sig") as out:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lavka import schemas
 from lavka.functions import roles
 from lavka.operators import audit, ordering, products, users
+from lavka.session import shared_dir
 from lavka.sources import tables
 from lavka.streaming import intake, registration
 
@@ -154,31 +155,81 @@ def test_entitlements(spark):
     assert "user_secret" not in row
 
 
+def test_forms_with_wrong_numbers(spark, shop):
+    """A repeated number refuses its own rows, not a good order with another number."""
+    forms = spark.createDataFrame([
+        order_form(1, "A1"), order_form(1, "Z9"), order_form(2, "A1"), order_form(3, "Z9"),
+    ], ORDER_FORM)
+    forms = forms.unionByName(forms.where("row_no = 2").withColumn("row_no", F.lit(None).cast("long")))
+    done = ordering.place_orders(forms, *order_tables(shop))
+    assert [r.row_no for r in done.headers.collect()] == [2] and done.items.count() == 1
+    assert sorted(map(str, ((r.row_no, r.reason) for r in done.rejects.collect()))) == sorted(map(str, [
+        (1, "repeated_row_no"), (1, "repeated_row_no"), (3, "unknown_article"), (None, "no_row_no")]))
+
+
+def shop_stream(spark, folder, root, readers, checkpoint="checkpoint"):
+    def drain(**landed):
+        for name, rows in landed.items():
+            rows.write.parquet(f"{folder}/landing/{name}")
+        schema = spark.read.option("recursiveFileLookup", True).parquet(f"{folder}/landing").schema
+        source = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{folder}/landing")
+        intake.order_intake(source, root, f"{folder}/{checkpoint}", *readers).awaitTermination()
+    return drain
+
+
+def fixed_readers(shop):
+    return [lambda spark, n=n: shop[n] for n in ("products", "statuses", "pickup_points")]
+
+
 def test_stream_of_orders_equals_batch(spark, shop, folder):
     root, static = f"{folder}/shop", [shop[n] for n in ("products", "statuses", "pickup_points")]
     forms = spark.createDataFrame(FORMS, ORDER_FORM)
     batch = ordering.place_orders(
         forms, spark.createDataFrame([], schemas.ORDERS), spark.createDataFrame([], schemas.ORDER_ITEMS), *static)
-
-    forms.where("row_no <= 5").write.parquet(f"{folder}/landing/a")
-    stream = spark.readStream.schema(forms.schema).option("recursiveFileLookup", True)
-
-    def drain():
-        source = stream.parquet(f"{folder}/landing")
-        intake.order_intake(source, root, f"{folder}/checkpoint", *static).awaitTermination()
-
-    drain()
-    forms.where("row_no > 5").write.parquet(f"{folder}/landing/b")
-    drain()
+    drain = shop_stream(spark, folder, root, fixed_readers(shop))
+    drain(a=forms.where("row_no <= 5"))
+    drain(b=forms.where("row_no > 5"))
     names = schemas.ORDERS.fieldNames()
     assert sorted(map(str, tables.read_table(spark, root, "orders").collect())) == sorted(
         map(str, batch.headers.select(*names).collect()))
     assert sorted(map(tuple, tables.read_table(spark, root, "order_items").collect())) == sorted(
         map(tuple, batch.items.collect()))
     assert reasons(intake.intake_rejects(spark, root)) == REFUSED
-    # A batch that runs again changes nothing.
-    intake.place_batch(forms.where("row_no > 5"), 1, root, *static)
+    # A published batch that runs again changes nothing.
+    runs = [r.run_id for r in tables.published_runs(spark, root).collect()]
+    intake.place_batch(forms.where("row_no > 5"), max(runs), root, *fixed_readers(shop))
     assert tables.read_table(spark, root, "order_items").count() == 3
+    # A micro-batch leaves no intermediate table behind.
+    left = spark.sparkContext._jvm.java.io.File(shared_dir(spark)).list()
+    assert not [name for name in left if name.startswith("scratch-")]
+
+
+def test_two_streams_on_one_shop(spark, shop, folder):
+    """Orders, users, orders again from a new checkpoint: every key stays, and none is given twice."""
+    root = f"{folder}/shop"
+    forms = spark.createDataFrame([order_form(n, "A1") for n in (1, 2)], ORDER_FORM)
+    shop_stream(spark, f"{folder}/one", root, fixed_readers(shop))(a=forms)
+    first = sorted(map(str, tables.read_table(spark, root, "orders").collect()))
+    spark.createDataFrame([(1, "ann", None, "Ann", "x")], schemas.RAW_USERS).write.parquet(f"{folder}/users")
+    raw = spark.readStream.schema(schemas.RAW_USERS).parquet(f"{folder}/users")
+    registration.registration(raw, root, f"{folder}/checkpoint", "salt").awaitTermination()
+    shop_stream(spark, f"{folder}/one", root, fixed_readers(shop), "other")()
+    orders = tables.read_table(spark, root, "orders").collect()
+    assert sorted(r.order_id for r in orders) == [1, 2, 3, 4]
+    assert set(first) <= set(map(str, orders)) and tables.read_table(spark, root, "users").count() == 1
+    assert sorted(r.order_item_id for r in tables.read_table(spark, root, "order_items").collect()) == [1, 2, 3, 4]
+
+
+def test_stream_sees_products_added_between_batches(spark, shop, folder):
+    known = {"products": shop["products"]}
+    readers = [lambda spark: known["products"], *fixed_readers(shop)[1:]]
+    drain = shop_stream(spark, folder, f"{folder}/shop", readers)
+    drain(a=spark.createDataFrame([order_form(1, "NEW")], ORDER_FORM))
+    known["products"] = shop["products"].unionByName(
+        shop["products"].where("product_id = 1").withColumns({"product_id": F.lit(99), "product_art": F.lit("NEW")}))
+    drain(b=spark.createDataFrame([order_form(2, "NEW")], ORDER_FORM))
+    items = tables.read_table(spark, f"{folder}/shop", "order_items").collect()
+    assert [r.product_id for r in items] == [99]
 
 
 def test_stream_of_users_first_login_wins(spark, folder):

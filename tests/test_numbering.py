@@ -1,28 +1,52 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lavka.operators import dims
 from lavka.operators.numbering import last_key, number_rows
+from lavka.plans.registered import QUERIES
 
 
 def test_dense_in_order_whatever_the_partitions(spark):
     wanted = random.Random(3).sample(range(100_000), 2_000)
     rows = spark.createDataFrame([(n,) for n in wanted], "row_no long")
     for parts in (1, 7):
-        out = number_rows(rows.repartition(parts), "row_no", "id", F.lit(10), block_bits=8).collect()
+        out = number_rows(rows.repartition(parts), "row_no", "id", F.lit(10)).collect()
         assert [r.id for r in sorted(out, key=lambda r: r.row_no)] == list(range(11, 2_011))
 
 
 def test_weighted_sums(spark):
     rows = spark.createDataFrame([(n, n % 4) for n in range(1_000)], "row_no long, size int")
-    out = number_rows(rows, "row_no", "id", F.lit(0), block_bits=5, upto=(F.lit(100), F.col("size")))
+    out = number_rows(rows, "row_no", "id", F.lit(0), upto=(F.lit(100), F.col("size")))
     total = 100
     for r in sorted(out.collect(), key=lambda r: r.row_no):
         total += r["size"]
         assert (r.id, r.upto) == (r.row_no + 1, total)
 
 
+def test_sparse_numbers(spark):
+    """Row numbers far apart give the same keys as dense ones."""
+    for step in (1, 70_000, 10 ** 12):
+        rows = spark.range(0, 3000).selectExpr(f"id * {step} as row_no", "id as n").repartition(5)
+        assert all(r.id == r.n + 1 for r in number_rows(rows, "row_no", "id", F.lit(0)).collect())
+
+
+def test_nothing_to_number(spark):
+    rows = spark.createDataFrame([], "row_no long, size int")
+    assert number_rows(rows, "row_no", "id", F.lit(0), upto=(F.lit(0), F.col("size"))).collect() == []
+
+
+WINDOWED = ["products_imported", "orders_imported", "order_items_imported", "orders_inserted", "users_new", "dim_created"]
+
+
+@pytest.mark.parametrize("name", WINDOWED)
+def test_no_window_in_one_task(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    for window in plan.split("Window [")[1:]:
+        assert "SinglePartition" not in window.split("Scan")[0]
+
+
 def test_last_key_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "id long")
     assert spark.range(1).select(last_key(empty, "id")).first()[0] == 0

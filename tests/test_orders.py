@@ -47,8 +47,8 @@ def test_hot_order_is_whole_and_in_order(spark, shop):
         "id as order_id", "date'2025-01-01' as order_date", "cast(null as date) as order_pup_date",
         "1L as pp_id", "'x' as user_name", "1 as order_pp_code", "1L as status_id")
     tables = heads, items, shop["products"], shop["statuses"], shop["pickup_points"]
-    bits = 6
-    found = orders.order_list(*tables, part_bits=bits).collect()
+    size = 64
+    found = orders.order_list(*tables, part_rows=size).collect()
 
     article = {1: "A1", 2: " B2 ", 3: "C3"}
     expected = {}
@@ -60,9 +60,29 @@ def test_hot_order_is_whole_and_in_order(spark, shop):
     assert {k: ", ".join(v) for k, v in texts.items() if k in expected} == {
         k: ", ".join(v) for k, v in expected.items()}
     parts = [r for r in found if r.id == 1]
-    assert len(parts) >= 1000 / 2**bits and all(r.part > 0 for r in parts)
-    assert all(len(r.article.split(", ")) <= 2**bits for r in parts)
+    assert sorted(r.part for r in parts) == list(range(-(-1000 // size)))
+    assert all(len(r.article.split(", ")) == size for r in parts if r.part < 1000 // size)
     assert all(r.part == 0 for r in found if r.id != 1)
 
-    arrays = orders.order_documents(*tables, part_bits=bits).where("id = 1").orderBy("part").collect()
+    arrays = orders.order_documents(*tables, part_rows=size).where("id = 1").orderBy("part").collect()
     assert [i.quantity for r in arrays for i in r["items"]] == [q for _, o, _, q in sorted(lines) if o == 1]
+
+
+def test_parts_do_not_depend_on_the_partitioning(spark, shop):
+    """One rule for every order: row n is in part n div the size, whatever the number of tasks."""
+    lines = [(i, i % 5, i % 3 + 1, 1 + i % 4) for i in range(600)]
+    items = spark.createDataFrame(lines, "order_item_id long, order_id long, product_id long, product_quantity int")
+    expected = {}
+    for _, order, product, quantity in lines:
+        expected.setdefault(order, []).append((product, quantity))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for tasks in (2, 5, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", str(tasks))
+            for size in (7, 119, 120, 4096):
+                found = {(r.order_id, r.part): [(i.product_id, i.quantity) for i in r["items"]] for r in
+                         orders.order_arrays(items.repartition(tasks), shop["products"], part_rows=size).collect()}
+                assert found == {(o, p): rows[p * size:(p + 1) * size] for o, rows in expected.items()
+                                 for p in range(-(-len(rows) // size))}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
