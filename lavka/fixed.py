@@ -73,6 +73,9 @@ HIGHLIGHT_COLOURS = {
     "out_of_stock": "#ADD8E6",
     "plain": "#ffffff",
 }
+# The price line of a card.
+PRICE_BEFORE = "Цена: "
+PRICE_AFTER = " руб."
 
 # Limits of the table definitions.
 MAX_TEXT = 255

@@ -48,8 +48,8 @@ def price_label(price, discount):
     """One price, or the old and the new price when there is a discount."""
     old = F.coalesce(price, F.lit(0)).cast(_CENTS).cast("string")
     new = net_price(price, discount).cast("string")
-    reduced = F.concat(F.lit("Цена: "), old, F.lit(" "), new, F.lit(" руб."))
-    return F.when(discount > 0, reduced).otherwise(F.concat(F.lit("Цена: "), old, F.lit(" руб.")))
+    prices = F.when(discount > 0, F.concat(old, F.lit(" "), new)).otherwise(old)
+    return F.concat(F.lit(fixed.PRICE_BEFORE), prices, F.lit(fixed.PRICE_AFTER))
 
 
 def card_columns(catalog):

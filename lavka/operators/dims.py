@@ -22,14 +22,17 @@ def exact_keys(table, key, name):
     return lookup_side(keys, name)
 
 
-def trimmed_keys(table, key, name, out):
-    """Trimmed name -> smallest key; one row per name, combined before the shuffle."""
-    keys = (
+def _trimmed(table, key, name, out):
+    return (
         table.where(F.col(name).isNotNull())
         .groupBy(F.trim(name).alias(out))
         .agg(F.min(key).alias(key))
     )
-    return lookup_side(keys, out)
+
+
+def trimmed_keys(table, key, name, out):
+    """Trimmed name -> smallest key; one row per name, combined before the shuffle."""
+    return lookup_side(_trimmed(table, key, name, out), out)
 
 
 def get_or_create(table, key, name, incoming, cell, row_no="row_no"):
@@ -38,7 +41,8 @@ def get_or_create(table, key, name, incoming, cell, row_no="row_no"):
     Names are matched after trimming. New keys follow the order in which the
     names first appear, so running the same input again creates nothing.
     """
-    known = trimmed_keys(table, key, name, "name")
+    # Both sides of the anti join have one row per name; only the join of the rows can be skewed.
+    known = _trimmed(table, key, name, "name")
     wanted = (
         incoming.select(blank_to_null(F.col(cell)).alias("name"), F.col(row_no).alias("first_row"))
         .where(F.col("name").isNotNull())

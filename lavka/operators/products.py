@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from lavka import schemas
 from lavka.functions.numbers import money, unreadable, whole
 from lavka.functions.text import blank_to_null, strip
-from lavka.operators.cleaning import ABORT, SKIP, Cleaned, first_problem, product_checks, split, too_long
+from lavka.operators.cleaning import ABORT, SKIP, Cleaned, as_is, first_problem, product_checks, split, too_long
 from lavka.operators.dims import exact_keys
 from lavka.operators.gate import numbered_wrongly
 from lavka.operators.numbering import last_key, number_rows
+from lavka.operators.sizing import lookup_side
+from lavka.session import cut
 
 COLUMNS = [f.name for f in schemas.PRODUCTS if f.name != "product_id"]
 
@@ -31,7 +33,7 @@ class Deletion(NamedTuple):
     blocked: DataFrame
 
 
-def clean_forms(forms, row_no="row_no", *keep):
+def clean_forms(forms, row_no="row_no", *keep, stage=as_is):
     """Form rows as product columns, with the rows the table would refuse."""
     price, discount, stock = (
         money(F.col("price")), whole(F.col("discount")), whole(F.col("stock_quantity"))
@@ -65,7 +67,7 @@ def clean_forms(forms, row_no="row_no", *keep):
                      "product_desc", "product_photo"),
             "too_long", ABORT,
         ),
-    ), row_no)
+    ), row_no, stage)
     return Cleaned(cleaned.rows.drop("_price", "_discount", "_stock"), cleaned.rejects)
 
 
@@ -90,15 +92,11 @@ def update_products(changes, products, suppliers, categories):
     ``change_no`` wins. A change of an unknown product does nothing and is
     reported.
     """
-    cleaned = clean_forms(changes, "change_no", "product_id")
-    named = [c for c in cleaned.rows.columns if c not in ("change_no", "product_id")]
-    # One change per product is left before the names are looked up.
-    winners = cleaned.rows.groupBy("product_id").agg(
-        F.max_by(F.struct(*named), "change_no").alias("new")
-    )
-    last = _with_keys(winners.select("product_id", "new.*"), suppliers, categories).select(
-        "product_id", F.struct(*COLUMNS).alias("new")
-    )
+    cleaned = clean_forms(changes, "change_no", "product_id", stage=cut)
+    # One change per product is left before the names are looked up; change numbers are unique.
+    winners = cleaned.rows.groupBy("product_id").agg(F.max("change_no").alias("change_no")).select("change_no")
+    new = cleaned.rows.join(lookup_side(winners, "change_no"), "change_no", "left_semi")
+    last = _with_keys(new, suppliers, categories).select("product_id", F.struct(*COLUMNS).alias("new"))
     table = products.join(last, "product_id", "left").select(
         "product_id",
         *[F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in COLUMNS],

@@ -15,7 +15,7 @@ from lavka.operators import (
 )
 from lavka.plans.importing import run_import
 from lavka.plans.views import SALT, source, view, views
-from lavka.session import shared_dir
+from lavka.session import cut, shared_dir
 from lavka.sources import files, tables
 from lavka.streaming import intake, registration
 
@@ -156,23 +156,23 @@ def pickup_list(spark, sf):
 # ---- cleaning and import ----------------------------------------------------
 
 def clean_users(spark, sf):
-    return cleaning.clean_users(view(spark, sf, "raw_users"), SALT).rows
+    return cleaning.clean_users(view(spark, sf, "raw_users"), SALT, cut).rows
 
 
 def clean_products(spark, sf):
-    return cleaning.clean_products(view(spark, sf, "raw_products")).rows
+    return cleaning.clean_products(view(spark, sf, "raw_products"), cut).rows
 
 
 def clean_orders(spark, sf):
-    return _iso(cleaning.clean_orders(view(spark, sf, "raw_orders")).rows)
+    return _iso(cleaning.clean_orders(view(spark, sf, "raw_orders"), cut).rows)
 
 
 def clean_rejects(spark, sf):
     raw = views(spark, sf, "raw_users", "raw_products", "raw_orders")
     return (
-        cleaning.clean_users(raw[0], SALT).rejects
-        .unionByName(cleaning.clean_products(raw[1]).rejects)
-        .unionByName(cleaning.clean_orders(raw[2]).rejects)
+        cleaning.clean_users(raw[0], SALT, cut).rejects
+        .unionByName(cleaning.clean_products(raw[1], cut).rejects)
+        .unionByName(cleaning.clean_orders(raw[2], cut).rejects)
     )
 
 
