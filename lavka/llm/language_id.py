@@ -173,7 +173,8 @@ def document_frequencies(rows, bits):
 def learn(labelled, bits=15, per_language=500, max_languages=256, epochs=4):
     """Model from ``labelled`` (doc_id, text, lang); rows with a null in doc_id or lang are left out."""
     rows = labelled.select("doc_id", "text", "lang").where("doc_id is not null and lang is not null")
-    languages = sorted(r[0] for r in rows.select("lang").distinct().limit(max_languages + 1).collect())
+    counts = dict(map(tuple, rows.groupBy("lang").count().limit(max_languages + 1).collect()))
+    languages = sorted(counts)
     if len(languages) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     documents, found_in = document_frequencies(rows, bits)
@@ -182,9 +183,12 @@ def learn(labelled, bits=15, per_language=500, max_languages=256, epochs=4):
     if not documents:
         return nothing
     place = {language: i for i, language in enumerate(languages)}
+    # Of a large language only about twice the wanted documents meet in the window.
+    share = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, min(1.0, 2.0 * per_language / n))])
     order = Window.partitionBy("lang").orderBy("place", "doc_id")
     chosen = (
         rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("place"))
+        .where(F.pmod("place", F.lit(2 ** 30)) < share[F.col("lang")] * 2.0 ** 30)
         .withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
         .select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "n").dropDuplicates(["_id", "_lang"])
     )
