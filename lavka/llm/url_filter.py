@@ -76,10 +76,13 @@ def url_features(host, path, sizes=(3, 4, 5), bits=12):
 
 
 def _margin(features, model):
-    """Weights are a constant of the expression; their number is fixed by the model's bits."""
-    weights = F.split(F.lit(",".join(map(repr, model.weights))), ",").cast("array<double>")
-    total = F.aggregate(features, F.lit(0.0), lambda sum_, f: sum_ + F.element_at(weights, f + 1))
-    return total / F.sqrt(F.greatest(F.size(features), F.lit(1)).cast("double")) + F.lit(model.bias)
+    """Weights and bias are one constant array, so that every step runs the same compiled code.
+
+    Their number is fixed by the model's bits.
+    """
+    numbers = F.split(F.lit(",".join(map(repr, [*model.weights, model.bias]))), ",").cast("array<double>")
+    total = F.aggregate(features, F.lit(0.0), lambda sum_, f: sum_ + F.element_at(numbers, f + 1))
+    return total / F.sqrt(F.greatest(F.size(features), F.lit(1)).cast("double")) + F.element_at(numbers, -1)
 
 
 def _probability(features, model):
@@ -109,11 +112,10 @@ def train(labelled, sizes=(3, 4, 5), bits=12, steps=20, rate=2.0, ridge=1e-4, ma
         off = (_probability(F.col("features"), model) - F.col("y"))
         unit = F.round(off / F.sqrt(F.greatest(F.size("features"), F.lit(1)).cast("double")) * 2.0 ** SCALE).cast("long")
         whole = F.round(off * 2.0 ** SCALE).cast("long")
-        # Bucket -1 is the bias.
-        sums = rows.select(F.explode(F.concat(
-            F.array(F.struct(F.lit(-1).alias("f"), whole.alias("g"))),
-            F.transform("features", lambda f: F.struct(f.alias("f"), unit.alias("g"))),
-        )).alias("part")).groupBy("part.f").agg(F.sum("part.g").alias("g"))
+        # A row's error is found once, then goes to each of its buckets; bucket -1 is the bias.
+        sums = rows.select("features", unit.alias("unit"), whole.alias("whole")).select(
+            F.explode(F.concat(F.array(F.lit(-1)), F.col("features"))).alias("f"), "unit", "whole",
+        ).groupBy("f").agg(F.sum(F.when(F.col("f") < 0, F.col("whole")).otherwise(F.col("unit"))).alias("g"))
         weights, bias = list(model.weights), model.bias
         for f, g in sums.collect():  # 2**bits + 1 rows at most
             gradient = g / 2.0 ** SCALE / n + (ridge * weights[f] if f >= 0 else 0.0)
