@@ -22,6 +22,13 @@ class GenerationCache(dict):
         self.put(key, value)
         return value
 
+    def put_all(self, values):
+        """``values`` (a dict) as new entries."""
+        if len(self) + len(values) > self.size:
+            self.old = dict(self)
+            self.clear()
+        self.update(values)
+
     def put(self, key, value):
         if len(self) >= self.size:
             self.old = dict(self)

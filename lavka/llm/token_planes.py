@@ -18,9 +18,11 @@ each other, ordered by text. Null ids come first. An empty table gives an empty
 """
 
 import os
+import re
 import uuid
 import zlib
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,28 @@ BYTES, BITS = "byte", "bit"
 WORDS = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+# A blank after white space, before more of it or the end: cutting there would change words.
+_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+JOINED_BLANKS = re.compile(f"[{_SPACE}] (?:[{_SPACE}]|\\Z)|  ")
+
+
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def split_words(text):
+    """The words of a text by the pattern; the common shape, letters and then marks, without it."""
+    letters = text.rstrip(MARKS)
+    if letters[1:].isalpha() and letters[0] == " " and len(letters) < len(text):
+        return [letters, text[len(letters):]]
+    return WORDS.findall(text)
+
+
+# Without one of these there is no such blank.
+_BEFORE_BLANK = [f"{chr(c)} " for c in range(0x3001) if re.match(f"[{_SPACE}]", chr(c))]
+
+
+def blanks_joined(text):
+    return any(b in text for b in _BEFORE_BLANK) and JOINED_BLANKS.search(text) is not None
 
 
 # ---- planes -----------------------------------------------------------------
@@ -72,47 +96,121 @@ def from_planes(packed, n, planes=BYTES):
 # ---- encoding ---------------------------------------------------------------
 
 class Encoder:
-    """Ids of texts by the tokenizers library, a word at a time, words kept in a bounded cache.
+    """Ids of texts by the tokenizers library, each new word once, in bounded caches.
 
-    For byte-level BPE files without a normaliser: there words are encoded each on its own.
+    For byte-level BPE files without a normaliser: there words are encoded each on its
+    own. Texts are cut at blanks, a blank going with what follows it, and what lies
+    between is looked up. New stretches are split into words by the pattern, and the new
+    words of many texts go to the library in one call, which need not split them again.
     """
 
-    def __init__(self, spec, cache_size=200_000):
+    def __init__(self, spec, words=200_000, stretches=700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_str(spec)
-        pre = self.tokenizer.pre_tokenizer
-        if self.tokenizer.normalizer is not None or not isinstance(pre, pre_tokenizers.ByteLevel) or pre.add_prefix_space:
+        whole = Tokenizer.from_str(spec)
+        pre = whole.pre_tokenizer
+        if whole.normalizer is not None or not isinstance(pre, pre_tokenizers.ByteLevel) or pre.add_prefix_space:
             raise ValueError("only byte-level files without a normaliser")
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.added = {t.content: i for i, t in added.items()}
+        self.added = {t.content: array("I", [i]).tobytes() for i, t in whole.get_added_tokens_decoder().items()}
         longest = sorted(self.added, key=len, reverse=True)
-        self.special = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")") if added else None
-        self.cache = GenerationCache(self._word, cache_size)
+        self.special = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")") if longest else None
+        # The same model for words that are split already.
+        whole.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.single = whole
+        self.many = Tokenizer.from_str(spec)
+        self.many.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), whole.pre_tokenizer])
+        line_feed = self._ids("\n")
+        self.line_feed = line_feed[0] if len(line_feed) == 1 else None
+        self.words = GenerationCache(self._word, words)
+        # What follows a blank, with that blank.
+        self.stretches = GenerationCache(self._stretch, stretches)
+
+    def _ids(self, word):
+        return self.single.encode(word, add_special_tokens=False).ids
 
     def _word(self, word):
-        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-
-    def learn(self, words):
-        """Encodes new words in one call of the library."""
-        new = [w for w in dict.fromkeys(words) if w not in self.cache and w not in self.cache.old]
-        if new:
-            for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                if len(word) <= self.cache.longest:
-                    self.cache.put(word, array("I", found.ids).tobytes())
-
-    def encode(self, text):
-        """Ids of a text as the bytes of unsigned 32-bit integers."""
+        return array("I", self._ids(word)).tobytes()
+
+    def _stretch(self, rest):
+        if rest.isalpha():
+            return self._word(" " + rest)
+        return b"".join(map(self._of_word, split_words(" " + rest)))
+
+    def _of_word(self, word):
+        """A word's ids; one of letters after a blank is a stretch of its own."""
+        return self.stretches[word[1:]] if word[0] == " " and word[1:].isalpha() else self.words[word]
+
+    def _learn(self, stretches):
+        """Caches stretches that are new, their words of letters by one call of the library."""
+        known, old, longest = self.stretches, self.stretches.old, self.stretches.longest
+        new = [x for x in stretches if x not in known and x not in old and len(x) <= longest]
+        letters, mixed = [], []
+        for x in new:
+            if x.isalpha():
+                letters.append(x)
+            else:
+                words = split_words(" " + x)
+                mixed.append((x, words))
+                rest = words[0][1:]
+                if rest.isalpha() and rest not in known and rest not in old:
+                    letters.append(rest)
+        if self.line_feed is not None:
+            letters = list(dict.fromkeys(letters))
+            for start in range(0, len(letters), 8192):
+                part = letters[start:start + 8192]
+                text = " " + "\n ".join(part)
+                ids = np.array(self.many.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+                ends = np.flatnonzero(ids == self.line_feed)
+                raw, ends = ids.tobytes(), [*(4 * ends).tolist(), 4 * len(ids)]
+                begins = [0, *[e + 4 for e in ends[:-1]]]
+                known.put_all({x: raw[b:e] for x, b, e in zip(part, begins, ends, strict=True)})
+        for start in range(0, len(mixed), 8192):
+            known.put_all({x: b"".join(map(self._of_word, words)) for x, words in mixed[start:start + 8192]})
+
+    def encode_batch(self, texts):
+        """Ids of each text as the bytes of unsigned 32-bit integers."""
+        plans, stretches = [], set()
+        for text in texts:
+            plan = []
+            for part in self.special.split(text) if any(a in text for a in self.added) else (text,):
+                if part in self.added:
+                    plan.append((part, None))
+                elif part:
+                    if blanks_joined(part):
+                        # Words by the pattern, in the whole text.
+                        plan.append((WORDS.findall(part), None))
+                    else:
+                        first, *rest = part.split(" ")
+                        stretches.update(rest)
+                        plan.append((WORDS.findall(first), rest))
+            plans.append(plan)
+        self._learn(stretches)
         out = []
-        for part in self.special.split(text) if self.special else (text,):
-            if part in self.added:
-                out.append(array("I", [self.added[part]]).tobytes())
-            elif part:
-                words = WORDS.findall(part)
-                self.learn(words)
-                out.extend(map(self.cache.__getitem__, words))
-        return b"".join(out)
+        for plan in plans:
+            found = []
+            for words, rest in plan:
+                if isinstance(words, str):
+                    found.append(self.added[words])
+                else:
+                    found.extend(map(self._of_word, words))
+                    if rest:
+                        found.extend(map(self.stretches.__getitem__, rest))
+            out.append(b"".join(found))
+        return out
+
+
+def in_slices(texts, characters=1 << 22):
+    """Lists of texts of about so many characters together (a long text may be more)."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text)
+        if size >= characters:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 _encoders = {}
@@ -161,8 +259,9 @@ def write_store(docs, spec, path, end_id, block=65_536, planes=BYTES, id_col="do
         for batch in batches:
             nothing = pa.nulls(1, batch.schema.field(0).type)
             firsts, counts = [], []
-            for text in batch.column(1):
-                found = encoder.encode(text.as_py()) + end
+            texts = batch.column(1).to_pylist()
+            for found in chain.from_iterable(map(encoder.encode_batch, in_slices(texts))):
+                found += end
                 firsts.append(first)
                 counts.append(len(found) // 4)
                 first += counts[-1]
