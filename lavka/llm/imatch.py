@@ -100,13 +100,15 @@ def sub_hashes(text, lexicon):
             hashed = inside
     out = np.zeros(len(lexicon.rates), np.uint64)
     raw = hashed.astype("<u8")
-    for k, rate in enumerate(lexicon.rates):
-        draw = hashed ^ np.uint64((lexicon.seed * 1_000_003 + k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-        draw = (draw ^ draw >> np.uint64(30)) * np.uint64(MIX[0])
-        draw = (draw ^ draw >> np.uint64(27)) * np.uint64(MIX[1])
-        chosen = raw[draw >> np.uint64(32) < np.uint64(int(rate * 2 ** 32))]
-        if len(chosen):
-            out[k] = (xxhash.xxh64_intdigest(chosen.tobytes(), k) >> 16) or 1
+    salts = np.array([(lexicon.seed * 1_000_003 + k + 1) * 0x9E3779B97F4A7C15 % 2 ** 64 for k in range(len(out))], np.uint64)
+    limits = np.array([int(rate * 2 ** 32) for rate in lexicon.rates], np.uint64)
+    # One row per subset: which of the terms are in it.
+    draw = hashed[None, :] ^ salts[:, None]
+    draw = (draw ^ draw >> np.uint64(30)) * np.uint64(MIX[0])
+    draw = (draw ^ draw >> np.uint64(27)) * np.uint64(MIX[1])
+    inside = draw >> np.uint64(32) < limits[:, None]
+    for k in np.flatnonzero(inside.any(axis=1)).tolist():
+        out[k] = (xxhash.xxh64_intdigest(raw[inside[k]].tobytes(), k) >> 16) or 1
     return out
 
 
