@@ -159,7 +159,7 @@ def in_sequence(docs, id_col="doc_id", text_col="text"):
     guest = F.struct(F.element_at(_constants(before), at).alias("bucket"), F.lit(1).alias("guest"))
     return rows.select(
         F.explode(F.when(is_head, F.array(own, guest)).otherwise(F.array(own))).alias("at"), "doc_id", "text",
-    ).select("at.*", "doc_id", "text").repartition(len(heads), "bucket").sortWithinPartitions(
+    ).select("at.*", "doc_id", "text").repartitionByRange(len(heads), "bucket").sortWithinPartitions(
         "bucket", "guest", F.desc_nulls_last("doc_id"), "text")
 
 
