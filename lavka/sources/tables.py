@@ -18,6 +18,7 @@ from lavka import schemas
 from lavka.sources.files import exists
 
 RUNS = "runs"
+REJECTS = "rejects"
 RECORD = "run_id string, attempt string, last map<string,bigint>"
 
 
@@ -89,3 +90,18 @@ def read_table(spark, root, name):
         return spark.createDataFrame([], schema)
     stored = spark.read.schema(_stored(schema)).parquet(f"{root}/{name}")
     return stored.join(published_runs(spark, root).select("attempt"), "attempt", "left_semi").select(*schema.fieldNames())
+
+
+def append_rejects(rejects, root, attempt):
+    """Write the refused rows of an attempt."""
+    rejects.write.mode("errorifexists").parquet(f"{root}/{REJECTS}/{attempt}")
+
+
+def read_rejects(spark, root, prefix):
+    """Rejects of the published runs whose name begins with ``prefix``."""
+    if not exists(spark, f"{root}/{REJECTS}"):
+        return spark.createDataFrame([], schemas.REJECTS)
+    attempts = published_runs(spark, root).where(F.startswith("run_id", F.lit(prefix))).select("attempt")
+    stored = spark.read.schema(schemas.REJECTS).parquet(f"{root}/{REJECTS}/*").withColumn(
+        "attempt", F.regexp_extract(F.input_file_name(), f"/{REJECTS}/([0-9a-f]+)/", 1))
+    return stored.join(attempts, "attempt", "left_semi").drop("attempt")

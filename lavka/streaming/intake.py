@@ -4,7 +4,6 @@ import json
 
 from pyspark.sql import functions as F
 
-from lavka import schemas
 from lavka.operators.ordering import place_orders
 from lavka.session import scratch
 from lavka.sources import tables
@@ -40,7 +39,7 @@ def place_batch(forms, run_id, root, products, statuses, points):
         placed = place_orders(forms, orders, items, products(spark), statuses(spark), points(spark))
         tables.append_rows(placed.headers, root, "orders", attempt)
         tables.append_rows(placed.items, root, "order_items", attempt)
-        placed.rejects.write.mode("errorifexists").parquet(f"{root}/rejects/{attempt}")
+        tables.append_rejects(placed.rejects, root, attempt)
     tables.publish(spark, root, run_id, attempt, PLACED)
 
 
@@ -65,7 +64,4 @@ def order_intake(forms, root, checkpoint, products, statuses, points, **trigger)
 
 def intake_rejects(spark, root):
     """Rejects of the published batches."""
-    attempts = tables.published_runs(spark, root).where(F.startswith("run_id", F.lit(f"{STREAM}-"))).select("attempt")
-    stored = spark.read.schema(schemas.REJECTS).parquet(f"{root}/rejects/*").withColumn(
-        "attempt", F.regexp_extract(F.input_file_name(), "/rejects/([0-9a-f]+)/", 1))
-    return stored.join(attempts, "attempt", "left_semi").drop("attempt")
+    return tables.read_rejects(spark, root, f"{STREAM}-")

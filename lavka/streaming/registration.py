@@ -18,7 +18,8 @@ def register_batch(raw, run_id, root, salt):
     Taken logins are those of the published runs, in the user table; no state store
     grows with them. The stored logins are filtered by the batch's own (broadcast if
     few), so that only hits are shuffled. Within the batch the choice of the first row
-    combines before the shuffle. A published batch is done.
+    combines before the shuffle. A published batch is done. Refused rows are stored
+    beside the batch's users, see ``registration_rejects``.
     """
     spark = raw.sparkSession
     if tables.is_published(spark, root, run_id):
@@ -27,10 +28,12 @@ def register_batch(raw, run_id, root, salt):
     users = tables.read_table(spark, root, "users")
     last = tables.last_keys(spark, root, "users")
     with scratch(spark):
-        rows = clean_users(raw, salt, cut).rows
+        cleaned = clean_users(raw, salt, cut)
+        rows = cleaned.rows
         logins = broadcast_if_small(rows.select(F.col("user_login").alias("_login")).distinct())
         hits = users.join(logins, F.trim("user_login") == F.col("_login"), "left_semi")
         tables.append_rows(new_users(rows, hits, last), root, "users", attempt)
+        tables.append_rejects(cleaned.rejects, root, attempt)
     tables.publish(spark, root, run_id, attempt, ["users"])
 
 
@@ -46,3 +49,8 @@ def registration(raw, root, checkpoint, salt, **trigger):
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def registration_rejects(spark, root):
+    """Rejects of the published batches. A valid row whose login is taken is none: its user is there."""
+    return tables.read_rejects(spark, root, f"{STREAM}-")

@@ -243,3 +243,25 @@ def test_stream_of_users_first_login_wins(spark, folder):
         registration.registration(raw, root, f"{folder}/checkpoint", "salt").awaitTermination()
     stored = tables.read_table(spark, root, "users").collect()
     assert sorted((r.user_id, r.user_login, r.user_name) for r in stored) == [(1, "ann", "Ann"), (2, "bob", "Bob")]
+
+
+def test_stream_of_users_adds_up(spark, folder):
+    """New users, rows whose login is taken and refused rows are all rows of the stream."""
+    root, kind = f"{folder}/shop", schemas.RAW_USERS
+    first = [(1, "ann", None, "Ann", "x"), (2, " ", None, "No login", "x"), (3, "ann", None, "Again", "x"),
+             (None, "eve", None, None, "x"), (4, "x" * 256, None, None, "x")]
+    second = [(5, "ann", None, "Late", "x"), (6, "bob", None, "Bob", "x"), (7, "cy", None, None, "x"), (7, "di", None, None, "x")]
+    assert registration.registration_rejects(spark, root).count() == 0
+    for name, rows in (("a", first), ("b", second)):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{folder}/landing/{name}")
+        raw = spark.readStream.schema(kind).option("recursiveFileLookup", True).parquet(f"{folder}/landing")
+        registration.registration(raw, root, f"{folder}/checkpoint", "salt").awaitTermination()
+    rejects = [(r.source, r.row_no, r.reason) for r in registration.registration_rejects(spark, root).collect()]
+    assert sorted(rejects, key=str) == sorted([
+        ("users", 2, "blank_login"), ("users", None, "no_row_no"), ("users", 4, "too_long"),
+        ("users", 7, "repeated_row_no"), ("users", 7, "repeated_row_no")], key=str)
+    new, taken = tables.read_table(spark, root, "users").count(), 2
+    assert new == 2 and new + taken + len(rejects) == len(first) + len(second)
+    # An attempt that was never published shows nothing.
+    tables.append_rejects(spark.createDataFrame([("users", 9, "lost", "skip")], schemas.REJECTS), root, tables.new_attempt())
+    assert registration.registration_rejects(spark, root).count() == len(rejects)
