@@ -24,12 +24,15 @@ class ImportReport(NamedTuple):
     rejects: DataFrame
 
 
-def run_import(spark, landing, root, run_id, salt, strict=True, formats="csv", escaped_lines=False):
+def run_import(spark, landing, root, run_id, salt, strict=True, formats="csv", escaped_lines=False,
+               per_file=False):
     """Import the landing files into the tables under ``root``.
 
     ``landing`` maps users, products, orders and points to paths; a missing file
     counts as empty; with ``escaped_lines`` the orders file was written by
-    ``write_landing(escape_lines=True)`` and is read in parallel. Every table is written under a new attempt first. With
+    ``write_landing(escape_lines=True)`` and is read in parallel; with ``per_file`` the paths are
+    folders of files whose rows each count from 1, and row numbers in rejects are to be read
+    with ``files.file_place`` and ``files.number_in_file``. Every table is written under a new attempt first. With
     ``strict`` a single ``abort`` reject leaves the run unpublished; a run that is
     published already is refused before anything is read. Each stage reads back what
     the stage before it has written, so no lineage grows across stages and a lost
@@ -43,8 +46,8 @@ def run_import(spark, landing, root, run_id, salt, strict=True, formats="csv", e
         if name not in ("orders", "order_items")
     }
     numbered = {name: tables.last_keys(spark, root, name) for name in ("orders", "order_items")}
-    options = {"file_format": formats}
-    addresses = kept_addresses(files.read_points(spark, landing["points"]))
+    options = {"file_format": formats, "per_file": per_file}
+    addresses = kept_addresses(files.read_points(spark, landing["points"], per_file))
 
     users = import_users(files.read_users(spark, landing["users"], **options), state["users"], salt)
     products = import_products(

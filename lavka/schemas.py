@@ -75,3 +75,5 @@ RAW_ORDERS = landing(fixed.ORDER_HEADERS)
 RAW_POINTS = _struct(row_no=_LONG, address=_TEXT)
 
 REJECTS = _struct(source=_TEXT, row_no=_LONG, reason=_TEXT, severity=_TEXT)
+# Of streams: the file the row number counts in, where a stream is read by file.
+STREAM_REJECTS = T.StructType([*REJECTS.fields, T.StructField("file", _TEXT)])

@@ -36,6 +36,22 @@ def read_delimited(spark, path, schema, multiline=False, date_format="dd.MM.yyyy
 # With several files whose rows count from 1 each, a row's number is that of its file, from 0, in
 # the upper bits, and its own in the lower.
 FILE_BITS = 40
+_HALF = 1 << (FILE_BITS - 1)
+
+
+def number_over_files(place, number):
+    """Row number over all files from that of the file and that in the file; NULL beyond 2**39."""
+    return F.when(number.between(-_HALF, _HALF - 1), F.shiftleft(place.cast("long"), FILE_BITS) + number)
+
+
+def file_place(number):
+    """The number of the file, from 0, back from ``number_over_files``."""
+    return F.shiftright(number + _HALF, FILE_BITS)
+
+
+def number_in_file(number):
+    """The row's number in its file back from ``number_over_files``."""
+    return number - F.shiftleft(file_place(number), FILE_BITS)
 
 
 def write_delimited(rows, path, date_format="dd.MM.yyyy"):
@@ -65,22 +81,28 @@ def read_landing(spark, path, headers, required=(), file_format="csv", multiline
         frame = reader.schema(text).option("enforceSchema", False).csv(path)
     else:
         frame = spark.read.format(file_format).load(path)
-    number = F.col("row_no").cast("long")
-    if per_file:
-        names = sorted(r[0] for r in frame.select(F.input_file_name()).distinct().collect())  # one per file
-        place = F.array_position(F.array(*map(F.lit, names)), F.input_file_name()) - 1
-        number = F.shiftleft(place.cast("long"), FILE_BITS) + number
     present = set(frame.columns)
     by_name = {name: header for header, name in headers.items()}
     lost = [by_name[name] for name in required if by_name[name] not in present]
     if lost or "row_no" not in present:
         raise ValueError(f"{path}: missing columns {lost or ['row_no']}")
+    frame = frame.withColumn("row_no", F.col("row_no").cast("long"))
+    if per_file:
+        frame = _numbered_by_file(frame)
     unescape = unescaped_lines if escaped_lines else lambda c: c
     cells = [
         (unescape(F.col(f"`{header}`").cast("string")) if header in present else F.lit(None).cast("string")).alias(name)
         for header, name in headers.items()
     ]
-    return frame.select(number.alias("row_no"), *cells)
+    return frame.select("row_no", *cells)
+
+
+def _numbered_by_file(frame):
+    """``frame`` with its row numbers over all files, which count in the order of their names."""
+    names = sorted(r[0] for r in frame.select(F.input_file_name()).distinct().collect())  # one per file
+    names = F.array(*map(F.lit, names)).cast("array<string>")
+    return frame.withColumn("row_no", number_over_files(
+        F.array_position(names, F.input_file_name()) - 1, F.col("row_no")))
 
 
 def read_users(spark, path, **options):
@@ -97,12 +119,13 @@ def read_orders(spark, path, **options):
     return read_landing(spark, path, fixed.ORDER_HEADERS, fixed.ORDER_REQUIRED, **options)
 
 
-def read_points(spark, path):
-    """Address list without a header: the row number, then the address."""
+def read_points(spark, path, per_file=False):
+    """Address list without a header: the row number, then the address; ``per_file`` as in ``read_landing``."""
     if not exists(spark, path):
         log.warning("no file %s: 0 rows", path)
         return spark.createDataFrame([], schemas.RAW_POINTS)
-    return spark.read.schema(schemas.RAW_POINTS).options(**{**CSV, "header": False}).csv(path)
+    frame = spark.read.schema(schemas.RAW_POINTS).options(**{**CSV, "header": False}).csv(path)
+    return _numbered_by_file(frame) if per_file else frame
 
 
 def escaped_lines(c):

@@ -100,8 +100,8 @@ def append_rejects(rejects, root, attempt):
 def read_rejects(spark, root, prefix):
     """Rejects of the published runs whose name begins with ``prefix``."""
     if not exists(spark, f"{root}/{REJECTS}"):
-        return spark.createDataFrame([], schemas.REJECTS)
+        return spark.createDataFrame([], schemas.STREAM_REJECTS)
     attempts = published_runs(spark, root).where(F.startswith("run_id", F.lit(prefix))).select("attempt")
-    stored = spark.read.schema(schemas.REJECTS).parquet(f"{root}/{REJECTS}/*").withColumn(
+    stored = spark.read.schema(schemas.STREAM_REJECTS).parquet(f"{root}/{REJECTS}/*").withColumn(
         "attempt", F.regexp_extract(F.input_file_name(), f"/{REJECTS}/([0-9a-f]+)/", 1))
     return stored.join(attempts, "attempt", "left_semi").drop("attempt")

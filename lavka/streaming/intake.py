@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lavka.operators.ordering import place_orders
 from lavka.session import scratch
 from lavka.sources import tables
+from lavka.streaming.by_file import numbered_by_file, told_by_file, with_file
 
 PLACED = ("orders", "order_items")
 STREAM = "intake"
@@ -36,16 +37,21 @@ def place_batch(forms, run_id, root, products, statuses, points):
     attempt = tables.new_attempt()
     orders, items = (tables.last_keys(spark, root, name) for name in PLACED)
     with scratch(spark):
+        forms, places = numbered_by_file(forms)
         placed = place_orders(forms, orders, items, products(spark), statuses(spark), points(spark))
         tables.append_rows(placed.headers, root, "orders", attempt)
         tables.append_rows(placed.items, root, "order_items", attempt)
-        tables.append_rejects(placed.rejects, root, attempt)
+        tables.append_rejects(told_by_file(placed.rejects, places), root, attempt)
     tables.publish(spark, root, run_id, attempt, PLACED)
 
 
-def order_intake(forms, root, checkpoint, products, statuses, points, **trigger):
+def order_intake(forms, root, checkpoint, products, statuses, points, per_file=False, **trigger):
     """Start the intake of a stream of order forms; returns the running query.
 
+    With ``per_file`` the rows of each file of a file stream count from 1; the result is the
+    same however files are dealt to micro-batches. Without it numbers are unique over
+    the whole stream, which is checked within a micro-batch only.
+
     ``products``, ``statuses`` and ``points`` are called by each batch, so that it
     sees rows added since the batch before. The trigger defaults to all that is
     available.
@@ -55,7 +61,7 @@ def order_intake(forms, root, checkpoint, products, statuses, points, **trigger)
         place_batch(batch, run_id, root, products, statuses, points)
 
     return (
-        forms.writeStream.foreachBatch(store)
+        (with_file(forms) if per_file else forms).writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
@@ -63,5 +69,5 @@ def order_intake(forms, root, checkpoint, products, statuses, points, **trigger)
 
 
 def intake_rejects(spark, root):
-    """Rejects of the published batches."""
+    """Rejects of the published batches, with the file where the stream is read ``per_file``."""
     return tables.read_rejects(spark, root, f"{STREAM}-")

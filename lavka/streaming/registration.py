@@ -7,6 +7,7 @@ from lavka.operators.sizing import broadcast_if_small
 from lavka.operators.users import new_users
 from lavka.session import cut, scratch
 from lavka.sources import tables
+from lavka.streaming.by_file import numbered_by_file, told_by_file, with_file
 from lavka.streaming.intake import batch_run, checkpoint_id
 
 STREAM = "registration"
@@ -28,23 +29,24 @@ def register_batch(raw, run_id, root, salt):
     users = tables.read_table(spark, root, "users")
     last = tables.last_keys(spark, root, "users")
     with scratch(spark):
+        raw, places = numbered_by_file(raw)
         cleaned = clean_users(raw, salt, cut)
         rows = cleaned.rows
         logins = broadcast_if_small(rows.select(F.col("user_login").alias("_login")).distinct())
         hits = users.join(logins, F.trim("user_login") == F.col("_login"), "left_semi")
         tables.append_rows(new_users(rows, hits, last), root, "users", attempt)
-        tables.append_rejects(cleaned.rejects, root, attempt)
+        tables.append_rejects(told_by_file(cleaned.rejects, places), root, attempt)
     tables.publish(spark, root, run_id, attempt, ["users"])
 
 
-def registration(raw, root, checkpoint, salt, **trigger):
-    """Start registering a stream of user rows; returns the running query."""
+def registration(raw, root, checkpoint, salt, per_file=False, **trigger):
+    """Start registering a stream of user rows; returns the running query. ``per_file`` as in ``order_intake``."""
     def store(batch, batch_id):
         run_id = batch_run(STREAM, checkpoint_id(batch.sparkSession, checkpoint), batch_id)
         register_batch(batch, run_id, root, salt)
 
     return (
-        raw.writeStream.foreachBatch(store)
+        (with_file(raw) if per_file else raw).writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

@@ -1,4 +1,7 @@
 import datetime
+import glob
+import os
+import shutil
 from decimal import Decimal
 
 import pytest
@@ -264,6 +267,38 @@ def test_files_that_each_start_at_one(spark, folder):
     assert done.users.count() == 4 and done.rejects.count() == 0
 
 
+def test_import_of_files_that_each_start_at_one(spark, folder):
+    """Two files a table, both counting from 1: refused as one, imported whole by file, also strictly."""
+    landing = {n: f"{folder}/landing/{n}" for n in ("users", "products", "orders", "points")}
+    people = [{"row_no": i, "login": f"u{i}"} for i in (1, 2)]
+    goods = [{"row_no": i, "product_name": "x", "article": f"N{i}"} for i in (1, 2)]
+    bought = [{"row_no": i, "order_date": "2025-03-01", "order_line": "N1", "pickup": "4"} for i in (1, 2)]
+    for i in (1, 2):
+        for name, schema, headers, rows in (
+            ("users", schemas.RAW_USERS, fixed.USER_HEADERS, [{**r, "login": f"{r['login']}-{i}"} for r in people]),
+            ("products", schemas.RAW_PRODUCTS, fixed.PRODUCT_HEADERS, goods),
+            ("orders", schemas.RAW_ORDERS, fixed.ORDER_HEADERS, bought),
+            ("points", schemas.RAW_POINTS, None, [{"row_no": n, "address": f"st. {i}-{n}"} for n in (1, 2)]),
+        ):
+            rows = raw(spark, schema, *rows).coalesce(1)
+            files.write_landing(rows, f"{folder}/{name}{i}", headers)
+            os.makedirs(landing[name], exist_ok=True)
+            for part in glob.glob(f"{folder}/{name}{i}/part-*"):
+                shutil.copy(part, f"{landing[name]}/{i}.csv")
+    with pytest.raises(ImportRefused):
+        run_import(spark, landing, f"{folder}/one", "r", "salt")
+    report = run_import(spark, landing, f"{folder}/shop", "r", "salt", per_file=True)
+    assert report.rejects.count() == 0
+    count = {n: tables.read_table(spark, f"{folder}/shop", n).count() for n in ("users", "products", "orders", "order_items")}
+    assert set(count.values()) == {4}
+    points = tables.read_table(spark, f"{folder}/shop", "pickup_points").collect()
+    assert [p.pp_name for p in points] == ["st. 2-2"]
+    numbers = spark.createDataFrame([(0, -3), (0, 7), (5, 1), (5, -1), (5, 2 ** 39)], "p long, n long")
+    over = files.number_over_files(F.col("p"), F.col("n"))
+    back = numbers.select(files.file_place(over), files.number_in_file(over)).collect()
+    assert [tuple(r) for r in back] == [(0, -3), (0, 7), (5, 1), (5, -1), (None, None)]
+
+
 def test_what_the_import_keeps_and_refuses(spark, shop):
     """Order of an item's checks, descriptions as they are, addresses and product numbers that do not fit."""
     rows = [

@@ -1,4 +1,6 @@
 import datetime
+import glob
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -265,3 +267,40 @@ def test_stream_of_users_adds_up(spark, folder):
     # An attempt that was never published shows nothing.
     tables.append_rejects(spark.createDataFrame([("users", 9, "lost", "skip")], schemas.REJECTS), root, tables.new_attempt())
     assert registration.registration_rejects(spark, root).count() == len(rejects)
+
+
+@pytest.mark.parametrize("stream", ["orders", "users"])
+def test_files_that_each_start_at_one_in_any_batches(spark, shop, folder, stream):
+    """The same two files in one micro-batch and in two; the file with the later name came first."""
+    if stream == "orders":
+        rows = {"b": [order_form(1, "A1"), order_form(2, "C3"), order_form(3, "Z9")],
+                "a": [order_form(1, "C3"), order_form(2, " "), order_form(4, "A1"), order_form(4, "A1")]}
+        kind = spark.createDataFrame(rows["a"], ORDER_FORM).schema
+    else:
+        rows = {"b": [(1, "ann", None, "First", "x"), (2, "bob", None, "Bob", "x"), (3, " ", None, None, "x")],
+                "a": [(1, "ann", None, "Late", "x"), (2, "cy", None, "Cy", "x"), (4, "x", None, None, "x"), (4, "y", None, None, "x")]}
+        kind = schemas.RAW_USERS
+    for age, name in ((20, "b"), (10, "a")):
+        spark.createDataFrame(rows[name], kind).coalesce(1).write.parquet(f"{folder}/landing/{name}")
+        for part in glob.glob(f"{folder}/landing/{name}/part-*"):
+            os.utime(part, (1_700_000_000 - age, 1_700_000_000 - age))
+    found = []
+    for files_each in (1, 2):
+        root = f"{folder}/shop{files_each}"
+        source = spark.readStream.schema(kind).option("recursiveFileLookup", True).option(
+            "maxFilesPerTrigger", files_each).parquet(f"{folder}/landing")
+        if stream == "orders":
+            run = intake.order_intake(source, root, f"{root}-checkpoint", *fixed_readers(shop), per_file=True)
+            names, rejects = ("orders", "order_items"), intake.intake_rejects
+        else:
+            run = registration.registration(source, root, f"{root}-checkpoint", "salt", per_file=True)
+            names, rejects = ("users",), registration.registration_rejects
+        run.awaitTermination()
+        assert tables.published_runs(spark, root).count() == 3 - files_each
+        told = sorted((r.row_no, r.reason, r.file.split("/")[-2]) for r in rejects(spark, root).collect())
+        found.append([told, *[sorted(map(str, tables.read_table(spark, root, n).collect())) for n in names]])
+    assert found[0] == found[1]
+    assert [t[0] for t in found[0][0]] == [2, 3, 4, 4] if stream == "orders" else [3, 4, 4]
+    assert len(found[0][1]) == 3  # orders, or users
+    if stream == "users":
+        assert [r.user_name for r in tables.read_table(spark, root, "users").orderBy("user_id").collect()] == ["First", "Bob", "Cy"]
