@@ -1,9 +1,10 @@
 """Exact duplicates by a tree-merge of sorted digest runs (DataFrame operations only).
 
-Every input partition is a run: its rows reduced to a digest, sorted and combined
-per digest. The runs are merged in rounds: in each round 2**bits neighbouring
-runs (all whose numbers agree but for their lowest bits) are merged into one,
-keeping per digest the best row so far and the number of rows. A round's groups
+Every input partition is a run: its rows reduced to a digest and combined per digest.
+The runs are merged in rounds: in each round 2**bits neighbouring runs (all whose
+numbers agree but for their lowest bits) are sorted together by digest, best row first,
+and neighbours of one digest merged into one row by a window, keeping the best row and
+the number of rows. With 2**bits partitions or fewer there is one round. A round's groups
 are (merged run, digest), so they are spread over all tasks by digest, a group of
 copies has at most 2**bits rows per round however large it is, and each round's
 shuffle files are a point from which a lost task can be repeated.
@@ -16,6 +17,7 @@ a null one. Of rows that tie in text and doc_id one stays. An empty table gives
 empty table. Columns other than the id and the text are not looked at.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lavka.llm.tables import lower_ascii
@@ -43,11 +45,14 @@ def merge_runs(rows, keep="max", bits=4):
     runs = rows.select(
         "_run", *KEY, F.lit(1).cast("long").alias("_rows"),
         F.struct((F.col("doc_id") * sign).alias("id"), F.col("_row").alias("row")).alias(best),
-    )
+    ).groupBy("_run", *KEY).agg(F.sum("_rows").alias("_rows"), F.max(best).alias(best))
+    neighbours = Window.partitionBy("_run", *KEY).orderBy(F.col(best).desc())
+    all_of_them = neighbours.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     last = rows.agg(F.max("_run")).first()[0] or 0
     while True:
-        runs = runs.withColumn("_run", F.shiftright("_run", bits)).groupBy("_run", *KEY).agg(
-            F.sum("_rows").alias("_rows"), F.max(best).alias(best))
+        runs = runs.withColumn("_run", F.shiftright("_run", bits)).withColumns({
+            "_rows": F.sum("_rows").over(all_of_them), "_place": F.row_number().over(neighbours),
+        }).where("_place = 1").drop("_place")
         last >>= bits
         if last == 0:
             return runs.select(

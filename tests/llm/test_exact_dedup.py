@@ -55,3 +55,10 @@ def test_empty(empty):
 def test_no_python_in_the_plan(awkward):
     plan = exact_groups(awkward)._jdf.queryExecution().executedPlan().toString()
     assert "Arrow" not in plan and "Python" not in plan and "Pandas" not in plan
+
+
+def test_runs_are_sorted_and_neighbours_merged(awkward):
+    """Also with few partitions, where one round does."""
+    merged = merge_runs(digest_rows(awkward.coalesce(2)))
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and plan.count("Aggregate [") == 1
