@@ -15,7 +15,7 @@ from lavka.session import shared_dir
 
 
 def identify_language(spark, docs, sf_dir):
-    """Keeps documents whose language is recognised: texts without a letter, or in no known language, go."""
+    """Keeps documents that have a language: texts without a letter go."""
     return language_id.keep_identified(docs)
 
 

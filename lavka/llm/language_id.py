@@ -282,14 +282,13 @@ def identify(docs, **options):
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs, least=0.3, **options):
-    """``docs`` whose language is known with probability ``least`` or more; all columns as they are."""
+def keep_identified(docs, **options):
+    """``docs`` with a language, however near the second best is; all columns as they are. Only ``und`` goes."""
     model = learn(docs.where(~held_out(F.col("doc_id"))), **options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def identified(texts: pd.Series) -> pd.Series:
-        found = (predict_text(t, shared.value) for t in texts)
-        return pd.Series([language != UNKNOWN and score >= least for language, score in found], dtype=bool)
+        return pd.Series([predict_text(t, shared.value)[0] != UNKNOWN for t in texts], dtype=bool)
 
     return docs.where(identified(F.col("text")))

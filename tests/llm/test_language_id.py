@@ -74,3 +74,12 @@ def test_awkward_and_empty(spark, awkward, empty):
     assert {r.lang_pred for r in L.identify(unlabelled).collect()} == {"und"}
     with pytest.raises(ValueError, match="languages"):
         L.learn(awkward, max_languages=1)
+
+
+def test_short_clean_texts_stay_with_many_languages(spark):
+    """Languages that can't be told apart: the best of ten has a probability of about a tenth."""
+    texts = ["a", "one two", "red green blue", "x " * 300, "12 34"]
+    rows = [(i, texts[i % 5], f"l{i // 5 % 10}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.score < 0.3 for r in L.identify(docs).collect()} == {True}
+    assert sorted(r.doc_id for r in L.keep_identified(docs).collect()) == [i for i, t, _ in rows if t != "12 34"]
