@@ -71,17 +71,22 @@ def fingerprint(hashes):
 
 
 def fingerprints(docs, words=3, seed=42, id_col="doc_id", text_col="text"):
-    """Rows (doc_id, fp): the fingerprint as a signed 64-bit integer."""
+    """Rows (doc_id, fp, check): the fingerprint as a signed 64-bit integer, and a hash that tells texts apart."""
 
     def run(batches):
         for batch in batches:
             found = [fingerprint(shingle_hashes(t.as_py(), words, seed)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "fp"])
+                [batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64)), batch.column(2)],
+                ["doc_id", "fp", "check"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_check(F.col(text_col)))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, fp long")
+    return rows.mapInArrow(run, f"doc_id {kind}, fp long, check long")
+
+
+def text_check(text):
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 # ---- the code ---------------------------------------------------------------
@@ -302,8 +307,8 @@ def components(edges):
         before = now
 
 
-def near_duplicates(docs, words=3, bits=3, seed=42, block_rows=2048, id_col="doc_id", text_col="text"):
-    """Per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
+def _members(docs, words, bits, seed, block_rows, id_col, text_col):
+    """Per document: doc_id, fp, check, component_id and the component's smallest fingerprint as ``_component``."""
     rows = cut(fingerprints(docs, words, seed, id_col, text_col))
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     found = components(links(distinct, bits, block_rows))
@@ -312,17 +317,35 @@ def near_duplicates(docs, words=3, bits=3, seed=42, block_rows=2048, id_col="doc
         F.col("fp").alias("_fp"), F.coalesce("component", "fp").alias("_component"), "first_id")
     smallest = member.groupBy("_component").agg(F.min("first_id").alias("component_id"))
     by_fp = member.join(lookup_side(smallest.withColumnRenamed("_component", "_c"), "_c"), F.col("_component") == F.col("_c"))
-    by_fp = by_fp.select("_fp", "component_id")
-    return rows.join(lookup_side(by_fp, "_fp"), F.col("fp") == F.col("_fp")).select(
+    by_fp = by_fp.select("_fp", "component_id", "_component")
+    return rows.join(lookup_side(by_fp, "_fp"), F.col("fp") == F.col("_fp")).drop("_fp")
+
+
+def near_duplicates(docs, words=3, bits=3, seed=42, block_rows=2048, id_col="doc_id", text_col="text"):
+    """Per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
+    return _members(docs, words, bits, seed, block_rows, id_col, text_col).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs, id_col="doc_id", text_col="text", **options):
-    """``docs`` with one document per component, the one with the smallest id; all columns as they are.
+def drop_near_copies(docs, words=3, bits=3, seed=42, block_rows=2048, id_col="doc_id", text_col="text"):
+    """``docs`` with one row per component, the one with the smallest id; all columns as they are.
 
-    Rows with a null doc_id that share a component with an id go; rows that repeat the
-    id that stays, stay.
+    A null id comes after any other. Of rows with that id the one with the smallest
+    fingerprint, then the smallest hash of the text, stays; of rows that repeat both id
+    and text any one, and only such rows are shuffled a second time.
     """
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where(
-        "doc_id <=> component_id").select(F.col("doc_id").alias("_stay_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_stay_id")), "left_semi")
+    members = _members(docs, words, bits, seed, block_rows, id_col, text_col)
+    alike = members.groupBy("_component", "doc_id", "fp", "check").agg(F.count(F.lit(1)).alias("same"))
+    first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "fp", "check", "same")
+    stays = cut(alike.groupBy("_component").agg(F.min(first).alias("_first")).select(
+        F.col("_first.doc_id").alias("_stay_id"), F.col("_first.check").alias("_stay_check"),
+        F.col("_first.same").alias("_same")))
+    check = text_check(F.col(text_col))
+    # Equal texts share a component, so id and text find one row, or rows alike in both.
+    same_row = F.col(id_col).eqNullSafe(F.col("_stay_id")) & (check == F.col("_stay_check"))
+    single = docs.join(lookup_side(stays.where("_same = 1"), "_stay_id", "_stay_check"), same_row, "left_semi")
+    if stays.where("_same > 1").isEmpty():
+        return single
+    repeated = docs.join(stays.where("_same > 1"), same_row, "left_semi")
+    return single.unionByName(
+        repeated.withColumn("_stay_check", check).dropDuplicates([id_col, "_stay_check"]).drop("_stay_check"))

@@ -116,3 +116,11 @@ def test_awkward_and_empty(awkward, empty):
     ids = sorted((r.doc_id for r in left.select("doc_id").collect()))
     assert 2 not in ids and 7 not in ids and 1 in ids and 6 in ids
     assert S.near_duplicates(empty).collect() == [] and S.drop_near_copies(empty).collect() == []
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Repeated ids with different texts, null ids, repeated rows."""
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(40)) for w in "abcd")
+    rows = [(5, a), (5, b), (3, b), (7, b), (None, b), (None, c), (None, c), (None, c + " "), (8, d), (8, d), (9, d.upper())]
+    left = S.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text.strip()) for r in left), key=str) == sorted([(5, a), (3, b), (None, c), (8, d)], key=str)
