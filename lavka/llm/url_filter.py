@@ -21,7 +21,7 @@ from lavka.llm.tables import lower_ascii
 from lavka.session import cut
 
 ALLOW, BLOCK = "allow", "block"
-# Gradients are summed in units of 2**-SCALE.
+# Gradients are summed in units of 2**-SCALE, larger ones where there are 2**32 rows or more.
 SCALE = 30
 
 
@@ -92,33 +92,39 @@ def _probability(features, model):
 def train(labelled, sizes=(3, 4, 5), bits=12, steps=20, rate=2.0, ridge=1e-4, max_rows=4096):
     """Logistic regression from ``labelled`` (url, blocked).
 
-    At most ``max_rows`` rows are used: those with the smallest hashes of host and
-    path. Rows without a label are left out. Steps are scaled per weight by the
-    gradients so far.
+    Rows alike in host, path and label are one URL that counts as often as it is there.
+    At most ``max_rows`` URLs of each label are used: those with the smallest hashes.
+    Rows without a label are left out. Steps are scaled per weight by the gradients so far.
     """
     host, path = url_parts(F.col("url"))
-    rows = cut(
+    urls = cut(
         labelled.where("blocked is not null")
         .select(host.alias("host"), path.alias("path"), F.col("blocked").cast("int").alias("y"))
-        .orderBy(F.xxhash64("host", "path"), "host", "path", "y").limit(max_rows)
-        .select(url_features(F.col("host"), F.col("path"), sizes, bits).alias("features"), "y")
+        .groupBy("host", "path", "y").agg(F.count(F.lit(1)).alias("n"))
     )
+    allowed, blocked = (
+        urls.where(F.col("y") == y).orderBy(F.xxhash64("host", "path"), "host", "path").limit(max_rows) for y in (0, 1))
+    rows = cut(allowed.unionByName(blocked).select(
+        url_features(F.col("host"), F.col("path"), sizes, bits).alias("features"), "y", "n"))
     model = Model([0.0] * 2 ** bits, 0.0, bits, tuple(sizes))
-    n = rows.count()
+    n = rows.agg(F.sum("n")).first()[0]
     if not n:
         return model
+    scale = min(SCALE, 62 - n.bit_length())  # sums stay below 2**62
     squares = [0.0] * (2 ** bits + 1)
     for _ in range(steps):
         off = (_probability(F.col("features"), model) - F.col("y"))
-        unit = F.round(off / F.sqrt(F.greatest(F.size("features"), F.lit(1)).cast("double")) * 2.0 ** SCALE).cast("long")
-        whole = F.round(off * 2.0 ** SCALE).cast("long")
+        unit = F.round(off / F.sqrt(F.greatest(F.size("features"), F.lit(1)).cast("double")) * 2.0 ** scale).cast("long")
+        whole = F.round(off * 2.0 ** scale).cast("long")
         # A row's error is found once, then goes to each of its buckets; bucket -1 is the bias.
-        sums = rows.select("features", unit.alias("unit"), whole.alias("whole")).select(
+        sums = rows.select(
+            "features", (unit * F.col("n")).alias("unit"), (whole * F.col("n")).alias("whole"),
+        ).select(
             F.explode(F.concat(F.array(F.lit(-1)), F.col("features"))).alias("f"), "unit", "whole",
         ).groupBy("f").agg(F.sum(F.when(F.col("f") < 0, F.col("whole")).otherwise(F.col("unit"))).alias("g"))
         weights, bias = list(model.weights), model.bias
         for f, g in sums.collect():  # 2**bits + 1 rows at most
-            gradient = g / 2.0 ** SCALE / n + (ridge * weights[f] if f >= 0 else 0.0)
+            gradient = g / 2.0 ** scale / n + (ridge * weights[f] if f >= 0 else 0.0)
             squares[f] += gradient * gradient
             step = rate * gradient / (math.sqrt(squares[f]) + 1e-9)
             if f >= 0:

@@ -73,3 +73,16 @@ def test_whole_table(spark, tables):
         assert (r.host, r.path, r.rule) == (host, path, rule.name if rule else None)
         assert r.verdict == (rule.verdict if rule else "block" if r.score > 0.5 else "allow")
     assert {r.verdict for r in rows} == {"allow", "block"}
+
+
+def test_a_hot_url_does_not_fill_the_sample(spark):
+    """The URL with the smallest hash, in as many rows as the sample may have and more."""
+    rows = [(f"http://site{i}.net/{'casino' if i % 2 else 'news'}/{i}", bool(i % 2)) for i in range(80)]
+    host, path = U.url_parts(U.F.col("url"))
+    table = spark.createDataFrame(rows, "url string, blocked boolean")
+    hot = table.orderBy(U.F.xxhash64(host, path)).first()
+    copies = spark.range(400).select(U.F.concat(U.F.lit(f"{hot.url}?"), "id").alias("url"), U.F.lit(hot.blocked).alias("blocked"))
+    model = U.train(table.unionByName(copies), max_rows=80)
+    new = [(i, f"https://other{i}.com/{'casino' if i % 3 else 'news'}/p{i}") for i in range(60)]
+    found = U.judge(spark.createDataFrame(new, "page_id long, url string"), [], model).collect()
+    assert all((r.verdict == "block") == bool(r.page_id % 3) for r in found)
