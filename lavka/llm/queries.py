@@ -1,12 +1,13 @@
 """The operators of this folder applied to their whole tables, and SQL where it can say the same."""
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from lavka.llm import (
-    chat_format, exact_dedup, imatch, language_id, mixing, sentencepiece_codec, simhash_dedup, token_counts,
-    token_planes, url_filter,
+    chat_format, exact_dedup, imatch, language_id, mixing, periodic_runs, sentencepiece_codec, simhash_dedup,
+    token_counts, token_planes, url_filter,
 )
-from lavka.llm.tables import table
+from lavka.llm.tables import WORD, table
 
 URL_RULES = (
     url_filter.Rule("allow", "org", "/"),
@@ -71,6 +72,23 @@ def op10_token_counts(spark, sf):
         table(spark, sf, "documents"), tokenizer_file("word_bpe_49k.json").decode("utf-8"))
 
 
+def planted_rounds(docs):
+    """doc_id and text; a tenth of the texts (by crc32 of the id) go on with rounds of their own words from some word on."""
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    code = F.crc32(F.col("doc_id").cast("string"))
+    rows = docs.select("doc_id", "text", F.floor(code / 10).alias("_g"), F.when(code % 10 == 0, words).alias("_words"))
+    rows = rows.withColumn("_n", F.size("_words")).withColumn("_at", F.when(F.col("_n") > 0, F.expr("cast(_g % _n as int)")))
+    rows = rows.withColumn("_round", F.expr("cast(1 + (_n - _at) div (3 + _g % 8) as int)"))
+    edited = F.expr("""concat(slice(_words, 1, _at), slice(flatten(array_repeat(
+        slice(_words, _at + 1, _round), cast(ceil((_n - _at) / _round) as int))), 1, _n - _at))""")
+    return rows.select("doc_id", F.when(F.col("_at").isNull(), F.col("text")).otherwise(
+        F.array_join(edited, " ")).alias("text"))
+
+
+def op12_periodic_runs(spark, sf):
+    return periodic_runs.run_report(planted_rounds(table(spark, sf, "documents")))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_chat_format": op2_chat_format,
@@ -82,6 +100,7 @@ QUERIES = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_counts": op10_token_counts,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE = {
