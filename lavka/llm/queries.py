@@ -4,8 +4,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from lavka.llm import (
-    chat_format, exact_dedup, imatch, language_id, mixing, periodic_runs, sentencepiece_codec, simhash_dedup,
-    token_counts, token_planes, url_filter,
+    chat_format, exact_dedup, hyperminhash_dedup, imatch, language_id, mixing, periodic_runs, sentencepiece_codec,
+    simhash_dedup, token_counts, token_planes, url_filter,
 )
 from lavka.llm.tables import WORD, table
 
@@ -89,6 +89,10 @@ def op12_periodic_runs(spark, sf):
     return periodic_runs.run_report(planted_rounds(table(spark, sf, "documents")))
 
 
+def op13_hyperminhash(spark, sf):
+    return hyperminhash_dedup.near_duplicates(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_chat_format": op2_chat_format,
@@ -101,6 +105,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_counts": op10_token_counts,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_hyperminhash": op13_hyperminhash,
 }
 
 ORACLE = {
@@ -144,4 +149,27 @@ ORACLE = {
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
                doc_id = max(doc_id) over w as kept, text_sha256
         from hashed window w as (partition by text_sha256)""",
+    "op13_hyperminhash": r"""
+        with recursive worded as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                              'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+            from documents),
+        shingles as (
+            select distinct doc_id, md5(array_to_string(w[i:i + 4], ' ')) as s
+            from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) as i from worded)),
+        sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+        pairs as (
+            select x.doc_id as a, y.doc_id as b, count(*) as c
+            from shingles x join shingles y on x.s = y.s and x.doc_id < y.doc_id group by all),
+        links as (
+            select a, b from pairs join sizes p on p.doc_id = a join sizes q on q.doc_id = b
+            where 100 * c >= 85 * (p.n + q.n - c)),
+        both_ways as (select a, b from links union all select b, a from links),
+        reached as (
+            select doc_id, doc_id as other from documents
+            union
+            select r.doc_id, l.b from reached r join both_ways l on r.other = l.a)
+        select r.doc_id, coalesce(any_value(s.n), 0) as n_shingles, min(r.other) as component_id,
+               r.doc_id = min(r.other) as kept
+        from reached r left join sizes s on s.doc_id = r.doc_id group by r.doc_id""",
 }
