@@ -4,10 +4,12 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from lavka.llm import (
-    chat_format, exact_dedup, hyperminhash_dedup, imatch, language_id, mixing, periodic_runs, sentencepiece_codec,
-    simhash_dedup, token_counts, token_planes, url_filter,
+    chat_format, exact_dedup, hyperminhash_dedup, imatch, language_id, mixing, periodic_runs, prefix_trie,
+    sentencepiece_codec, simhash_dedup, token_counts, token_planes, url_filter,
 )
 from lavka.llm.tables import WORD, table
+from lavka.operators.sizing import lookup_side
+from lavka.session import cut
 
 URL_RULES = (
     url_filter.Rule("allow", "org", "/"),
@@ -85,6 +87,28 @@ def planted_rounds(docs):
         F.array_join(edited, " ")).alias("text"))
 
 
+def shared_starts(rows):
+    """(rows, conversations) of ``prefix_trie.turn_rows`` rebuilt: first turns come from the conversation c - c % 100.
+
+    Conversation c takes as many of them as crc32 of its id leaves on division by 6, then its own turns after as many.
+    """
+    count = rows.groupBy("conv").agg(F.count(F.lit(1)).alias("turns"))
+    base = count.select(F.col("conv").alias("_base"), F.col("turns").alias("_turns"))
+    plan = count.select("conv", (F.crc32(F.col("conv").cast("string")) % 6).alias("h"), F.expr("conv - conv % 100").alias("base"))
+    plan = plan.join(lookup_side(base, "_base"), F.col("base") == F.col("_base"), "left")
+    plan = cut(plan.select("conv", "h", "base", F.least("h", F.coalesce("_turns", F.lit(0))).alias("taken")))
+    first = rows.where("depth < 5").select(F.col("conv").alias("_from"), "depth", "a", "b", "size")
+    own = lookup_side(plan.select(F.col("conv").alias("_own"), "h", "taken"), "_own")
+    head = plan.join(first, F.col("base") == F.col("_from")).where("depth < h").select("conv", "depth", "a", "b", "size")
+    tail = rows.join(own, F.col("conv") == F.col("_own")).where("depth >= h").select(
+        "conv", (F.col("depth") - F.col("h") + F.col("taken")).alias("depth"), "a", "b", "size")
+    return head.unionByName(tail), plan.select("conv")
+
+
+def op11_prefix_trie(spark, sf):
+    return prefix_trie.trie(*shared_starts(cut(prefix_trie.turn_rows(table(spark, sf, "conversations")))))
+
+
 def op12_periodic_runs(spark, sf):
     return periodic_runs.run_report(planted_rounds(table(spark, sf, "documents")))
 
@@ -104,6 +128,7 @@ QUERIES = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_hyperminhash": op13_hyperminhash,
 }
@@ -149,6 +174,53 @@ ORACLE = {
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
                doc_id = max(doc_id) over w as kept, text_sha256
         from hashed window w as (partition by text_sha256)""",
+    "op11_prefix_trie": """
+        with codes as (
+            select list(list_reduce(list_value(i, 0, 0, 0, 0, 0, 0, 0, 0), lambda c, z:
+                        case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) order by i) as t
+            from (select cast(unnest(range(256)) as bigint) as i)),
+        numbered as (
+            select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+                   row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''),
+                                      sha256(coalesce(text, ''))) - 1 as depth
+            from conversations where conv_id is not null),
+        plan as (
+            select conv_id, conv_id - conv_id % 100 as base, xor(list_reduce(
+                       list_prepend(cast(4294967295 as bigint), list_transform(
+                           string_split(cast(conv_id as varchar), ''), lambda x: cast(ascii(x) as bigint))),
+                       lambda c, x: xor(c // 256, t[xor(c, x) % 256 + 1])), 4294967295) % 6 as h
+            from (select distinct conv_id from numbered), codes),
+        taken as (
+            select p.conv_id, p.h, p.base, count(n.conv_id) as taken
+            from plan p left join numbered n on n.conv_id = p.base and n.depth < p.h group by all),
+        rebuilt as (
+            select t.conv_id, n.depth, n.role, n.text
+            from taken t join numbered n on n.conv_id = t.base and n.depth < t.h
+            union all
+            select t.conv_id, n.depth - t.h + t.taken, n.role, n.text
+            from taken t join numbered n on n.conv_id = t.conv_id and n.depth >= t.h),
+        steps as (
+            select conv_id, depth + 1 as depth, length(text) as size,
+                   sha256(string_agg(sha256(concat(length(role), ':', role, text)), ',')
+                          over (partition by conv_id order by depth)) as node
+            from rebuilt
+            union all select conv_id, 0, 0, '' from taken),
+        ways as (
+            select *, lag(node) over w as parent, lead(node) over w is null as ends
+            from steps window w as (partition by conv_id order by depth)),
+        nodes as (
+            select depth, node, min(conv_id) as conv_id, count(*) as n, any_value(size) as size, any_value(parent) as parent,
+                   sha256(coalesce(string_agg(case when ends then conv_id end, ',' order by conv_id), '')) as ends_sha256
+            from ways group by depth, node),
+        children as (select depth - 1 as depth, parent as node, count(*) as n_children from nodes where depth > 0 group by all),
+        whole as (select n.*, coalesce(n_children, 0) as n_children from nodes n left join children using (depth, node)),
+        below as (
+            select w.depth, w.node, count(*) filter (q.n_children = 0) as n_leaves, sum((q.n - 1) * q.size) as saved_tokens
+            from whole q join ways w on w.conv_id = q.conv_id and w.depth <= q.depth group by all)
+        select w.conv_id, w.depth, p.conv_id as parent_conv_id, w.n as n_convs, w.n_children, b.n_leaves,
+               cast(b.saved_tokens as bigint) as saved_tokens, w.ends_sha256
+        from whole w join below b using (depth, node)
+        left join nodes p on p.depth = w.depth - 1 and p.node = w.parent""",
     "op13_hyperminhash": r"""
         with recursive worded as (
             select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
