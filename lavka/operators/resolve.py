@@ -1,10 +1,14 @@
 """Order lines -> product keys, and pickup cells -> addresses."""
 
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lavka.functions.numbers import is_number, whole
 from lavka.functions.text import bad_quantity, blank_to_null, explode_order_text, strip
 from lavka.operators.dims import trimmed_keys
+from lavka.operators.gate import numbered_wrongly
 from lavka.operators.numbering import number_rows
 from lavka.session import cut
 
@@ -58,16 +62,28 @@ def strict_orders(resolved, row_no="row_no"):
         row_no, "items", worst.alias("problem"))
 
 
-def kept_addresses(lines):
-    """Address list without blank lines, numbered from 1 by what is kept.
+class AddressList(NamedTuple):
+    addresses: DataFrame
+    rejects: DataFrame
+
+
+def address_list(lines):
+    """Address list without blank lines, numbered from 1 by what is kept, and the refused lines.
 
-    A blank line therefore shifts the numbers of the lines after it.
+    A blank line therefore shifts the numbers of the lines after it. A line without a row
+    number, or with another's, has no place in the list: it is refused, and a strict import stops.
     """
-    address = blank_to_null(F.col("address"))
-    kept = lines.select("row_no", address.alias("address")).where(F.lower("address") != "nan")
-    return cut(
-        number_rows(kept, ["row_no", "address"], "ordinal", F.lit(0).cast("long")).select("ordinal", "address")
-    )
+    rows = cut(numbered_wrongly(lines.select("row_no", blank_to_null(F.col("address")).alias("address"))))
+    kept = rows.where(F.col("_number").isNull() & (F.lower("address") != "nan")).select("row_no", "address")
+    rejects = rows.where("_number is not null").select(
+        F.lit("pickup_points").alias("source"), "row_no", F.col("_number").alias("reason"), F.lit("abort").alias("severity"))
+    numbered = number_rows(kept, "row_no", "ordinal", F.lit(0).cast("long")).select("ordinal", "address")
+    return AddressList(cut(numbered), rejects)
+
+
+def kept_addresses(lines):
+    """The addresses of ``address_list``."""
+    return address_list(lines).addresses
 
 
 def resolve_pickups(rows, addresses, cell="pickup"):

@@ -11,7 +11,7 @@ from lavka.operators.cleaning import ABORT
 from lavka.operators.imports import (
     import_orders, import_products, import_users, orders_without_items, summary,
 )
-from lavka.operators.resolve import kept_addresses
+from lavka.operators.resolve import address_list
 from lavka.sources import files, tables
 
 
@@ -25,12 +25,13 @@ class ImportReport(NamedTuple):
 
 
 def run_import(spark, landing, root, run_id, salt, strict=True, formats="csv", escaped_lines=False,
-               per_file=False):
+               per_file=False, multiline=False):
     """Import the landing files into the tables under ``root``.
 
     ``landing`` maps users, products, orders and points to paths; a missing file
     counts as empty; with ``escaped_lines`` the orders file was written by
-    ``write_landing(escape_lines=True)`` and is read in parallel; with ``per_file`` the paths are
+    ``write_landing(escape_lines=True)``, else its cells may span lines; with ``multiline`` the cells of
+    all files may. With ``per_file`` the paths are
     folders of files whose rows each count from 1, and row numbers in rejects are to be read
     with ``files.file_place`` and ``files.number_in_file``. Every table is written under a new attempt first. With
     ``strict`` a single ``abort`` reject leaves the run unpublished; a run that is
@@ -46,8 +47,8 @@ def run_import(spark, landing, root, run_id, salt, strict=True, formats="csv", e
         if name not in ("orders", "order_items")
     }
     numbered = {name: tables.last_keys(spark, root, name) for name in ("orders", "order_items")}
-    options = {"file_format": formats, "per_file": per_file}
-    addresses = kept_addresses(files.read_points(spark, landing["points"], per_file))
+    options = {"file_format": formats, "per_file": per_file, **({"multiline": True} if multiline else {})}
+    listed = address_list(files.read_points(spark, landing["points"], per_file, multiline))
 
     users = import_users(files.read_users(spark, landing["users"], **options), state["users"], salt)
     products = import_products(
@@ -59,7 +60,7 @@ def run_import(spark, landing, root, run_id, salt, strict=True, formats="csv", e
 
     written = tables.read_attempt(spark, root, "products", attempt)
     orders = import_orders(
-        files.read_orders(spark, landing["orders"], escaped_lines=escaped_lines, **options), addresses,
+        files.read_orders(spark, landing["orders"], escaped_lines=escaped_lines, **options), listed.addresses,
         numbered["orders"], numbered["order_items"], state["products"].unionByName(written),
         state["pickup_points"], state["statuses"],
     )
@@ -67,7 +68,7 @@ def run_import(spark, landing, root, run_id, salt, strict=True, formats="csv", e
            pickup_points=orders.pickup_points, statuses=orders.statuses)
 
     rejected = reduce(
-        DataFrame.unionByName, [users.rejects, products.rejects, orders.rejects]
+        DataFrame.unionByName, [listed.rejects, users.rejects, products.rejects, orders.rejects]
     )
     rejected.write.mode("errorifexists").parquet(f"{root}/rejects/{attempt}")
     report = import_report(spark, root, attempt)

@@ -545,6 +545,18 @@ def import_files(*missing):
     )
 
 
+# The same import of plain files, up to its tables; descriptions go on in further lines.
+STORED_PRODUCTS = ",\n".join([
+    empty_shop(),
+    """described as (
+  select * replace (concat(description, chr(10), '";', product_name, chr(10)) as description) from r_raw_products
+  where description is not null and product_name is not null
+  union all
+  select * replace (cast(null as varchar) as description) from r_raw_products
+  where description is null or product_name is null)""",
+    _in_empty_shop(IMPORT_PRODUCTS.replace("r_products)", "no_products)").replace("r_raw_products", "described")),
+])
+
 
 def order_list(part_rows):
     return sql(ORDER_VIEWS, POSITIONS, f"""texts as (
@@ -703,6 +715,19 @@ select * replace (strftime(order_date, '%Y-%m-%d') as order_date,
     ),
     "import_files": import_files(),
     "import_missing_files": import_files("raw_users", "raw_products"),
+    "import_stored_users": sql(
+        empty_shop(), USERS_TYPED, _in_empty_shop(NEW_USERS),
+        "select user_id, user_role, user_name, user_login, user_secret from users_added"),
+    "import_stored_products": sql(STORED_PRODUCTS, """
+select a.* exclude (row_no, supp_id, categ_id), s.supp_name, c.categ_name
+from products_added a left join supplier_created s on s.supp_id = a.supp_id
+  left join category_created c on c.categ_id = a.categ_id"""),
+    "import_stored_orders": sql(
+        STORED_PRODUCTS, "r_products as (select * from products_added)", _in_empty_shop(IMPORT_ORDERS), f"""
+select o.order_id, {HEADER_ISO.replace("pp_id, ", "").replace(", status_id", "")}, p.pp_name, s.status_name,
+  i.order_item_id, i.product_id, i.product_quantity
+from orders_added o left join items_added i on i.order_id = o.order_id
+  left join point_created p on p.pp_id = o.pp_id left join status_created s on s.status_id = o.status_id"""),
     "delimited_table": sql(views_of("orders"), """
 select order_id, strftime(order_date, '%Y-%m-%d') as order_date, strftime(order_pup_date, '%Y-%m-%d') as order_pup_date,
   concat('"', user_name, '"; said ""', cast(order_pp_code as varchar), '"" ') as note

@@ -268,6 +268,40 @@ def import_missing_files(spark, sf):
     return run_import(spark, landing, f"{folder}/shop", "first", SALT, strict=False, escaped_lines=True).summary
 
 
+def _imported(spark, sf, *names):
+    """Shop made of plain files whose cells span lines, the descriptions' too; the other files are missing."""
+    folder = _scratch(spark)
+    landing = {name: f"{folder}/landing/{name}" for name in ("users", "products", "orders", "points")}
+    headers = {"users": fixed.USER_HEADERS, "products": fixed.PRODUCT_HEADERS, "orders": fixed.ORDER_HEADERS}
+    for name in names:
+        rows = view(spark, sf, f"raw_{name}")
+        if name == "products":
+            rows = rows.withColumn("description", F.concat("description", F.lit('\n";'), "product_name", F.lit('\n')))
+        files.write_landing(rows, landing[name], headers.get(name))
+    run_import(spark, landing, f"{folder}/shop", "first", SALT, strict=False, multiline=True)
+    return lambda name: tables.read_table(spark, f"{folder}/shop", name)
+
+
+def import_stored_users(spark, sf):
+    """What an import has stored of the users file."""
+    return _imported(spark, sf, "users")("users")
+
+
+def import_stored_products(spark, sf):
+    """What an import has stored of the products file, with the names of suppliers and categories."""
+    stored = _imported(spark, sf, "products")
+    return stored("products").join(stored("suppliers"), "supp_id", "left").join(stored("categories"), "categ_id", "left").drop(
+        "supp_id", "categ_id")
+
+
+def import_stored_orders(spark, sf):
+    """What an import has stored of orders, items, pickup points and statuses: a row per item."""
+    stored = _imported(spark, sf, "products", "orders", "points")
+    rows = stored("orders").join(stored("order_items"), "order_id", "left")
+    rows = rows.join(stored("pickup_points"), "pp_id", "left").join(stored("statuses"), "status_id", "left")
+    return _iso(rows.drop("pp_id", "status_id"))
+
+
 def delimited_table(spark, sf):
     """A table written with ; and doubled quotes and day.month.year, read back by its schema."""
     path = f"{_scratch(spark)}/orders"
@@ -484,6 +518,9 @@ QUERIES = {
     "import_summary": import_summary,
     "import_files": import_files,
     "import_missing_files": import_missing_files,
+    "import_stored_users": import_stored_users,
+    "import_stored_products": import_stored_products,
+    "import_stored_orders": import_stored_orders,
     "delimited_table": delimited_table,
     "items_strict": items_strict,
     "items_lenient": items_lenient,

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lavka import fixed, schemas
+from lavka.operators.sizing import broadcast_if_small
+from lavka.sources import records
 
 log = logging.getLogger(__name__)
 
@@ -66,29 +68,29 @@ def read_landing(spark, path, headers, required=(), file_format="csv", multiline
 
     A missing path gives an empty frame and a log line, so that an import
     goes on with the other files; a missing required column is an error. Cells
-    with line breaks need ``multiline``, which reads each file in one task, or
-    files with ``escaped_lines``, which split like any others. With ``per_file`` the row
-    numbers of each file start anew; files count in the order of their names.
+    with line breaks need ``multiline`` (see ``records``) or files with ``escaped_lines``; both are
+    read in parallel. With ``per_file`` the row numbers of each file start anew; files count in the
+    order of their names. A row number that is none is NULL, which the cleaning steps refuse.
     """
     schema = schemas.landing(headers)
     if not exists(spark, path):
         log.warning("no file %s: 0 rows", path)
         return spark.createDataFrame([], schema)
-    if file_format == "csv":
-        reader = spark.read.options(**CSV).option("multiLine", multiline)
+    if file_format != "csv":
+        frame = _with_file(spark.read.format(file_format).load(path))
+    elif multiline:
+        frame = records.read_cells(spark, path, CSV)
+    else:
+        reader = spark.read.options(**CSV)
         found = reader.csv(path).columns  # reads the header line only
         text = ", ".join(f"`{c}` string" for c in found)
-        frame = reader.schema(text).option("enforceSchema", False).csv(path)
-    else:
-        frame = spark.read.format(file_format).load(path)
+        frame = _with_file(reader.schema(text).option("enforceSchema", False).csv(path))
     present = set(frame.columns)
     by_name = {name: header for header, name in headers.items()}
     lost = [by_name[name] for name in required if by_name[name] not in present]
     if lost or "row_no" not in present:
         raise ValueError(f"{path}: missing columns {lost or ['row_no']}")
-    frame = frame.withColumn("row_no", F.col("row_no").cast("long"))
-    if per_file:
-        frame = _numbered_by_file(frame)
+    frame = _numbered(spark, frame, path, per_file)
     unescape = unescaped_lines if escaped_lines else lambda c: c
     cells = [
         (unescape(F.col(f"`{header}`").cast("string")) if header in present else F.lit(None).cast("string")).alias(name)
@@ -97,12 +99,31 @@ def read_landing(spark, path, headers, required=(), file_format="csv", multiline
     return frame.select("row_no", *cells)
 
 
-def _numbered_by_file(frame):
-    """``frame`` with its row numbers over all files, which count in the order of their names."""
-    names = sorted(r[0] for r in frame.select(F.input_file_name()).distinct().collect())  # one per file
-    names = F.array(*map(F.lit, names)).cast("array<string>")
-    return frame.withColumn("row_no", number_over_files(
-        F.array_position(names, F.input_file_name()) - 1, F.col("row_no")))
+def _with_file(frame):
+    return frame.select(F.col("_metadata.file_path").alias("_file"), "*")
+
+
+def _numbered(spark, frame, path, per_file):
+    """``frame`` with its row numbers as numbers, of one file or of all."""
+    frame = frame.withColumn("row_no", F.col("row_no").try_cast("long"))
+    if not per_file:
+        return frame
+    places = spark.createDataFrame(list(zip(file_names(spark, path), range(1 << 23))), "file string, _place long")
+    rows = frame.join(broadcast_if_small(places), F.col("_file") == F.col("file"), "left")
+    return rows.withColumn("row_no", number_over_files(F.col("_place"), F.col("row_no")))
+
+
+def file_names(spark, path):
+    """The data files under a path, in the order of their names; listed, not read."""
+    names = sorted({_plain_name(name) for name in spark.read.format("binaryFile").load(path).inputFiles()})
+    if len(names) > 1 << 23:
+        raise ValueError(f"{path}: {len(names)} files, row numbers over all files have room for {1 << 23}")
+    return names
+
+
+def _plain_name(name):
+    """As in _metadata.file_path, which writes one slash after the scheme of local files."""
+    return f"file:/{name[5:].lstrip('/')}" if name.startswith("file:/") else name
 
 
 def read_users(spark, path, **options):
@@ -119,13 +140,18 @@ def read_orders(spark, path, **options):
     return read_landing(spark, path, fixed.ORDER_HEADERS, fixed.ORDER_REQUIRED, **options)
 
 
-def read_points(spark, path, per_file=False):
-    """Address list without a header: the row number, then the address; ``per_file`` as in ``read_landing``."""
+def read_points(spark, path, per_file=False, multiline=False):
+    """Address list without a header: the row number, then the address; options as in ``read_landing``."""
     if not exists(spark, path):
         log.warning("no file %s: 0 rows", path)
         return spark.createDataFrame([], schemas.RAW_POINTS)
-    frame = spark.read.schema(schemas.RAW_POINTS).options(**{**CSV, "header": False}).csv(path)
-    return _numbered_by_file(frame) if per_file else frame
+    names = schemas.RAW_POINTS.fieldNames()
+    if multiline:
+        frame = records.read_cells(spark, path, CSV, names)
+    else:
+        text = ", ".join(f"{n} string" for n in names)
+        frame = _with_file(spark.read.schema(text).options(**{**CSV, "header": False}).csv(path))
+    return _numbered(spark, frame, path, per_file).select(*names)
 
 
 def escaped_lines(c):
