@@ -67,10 +67,10 @@ def too_long(*columns):
     return over
 
 
-def clean_users(raw, salt, stage=as_is):
+def clean_users(raw, salt, stage=as_is, gate=numbered_wrongly):
     """User sheet: trimmed login, stored role code, hashed secret."""
     login, secret = blank_to_null(F.col("login")), F.coalesce("password", F.lit(""))
-    rows = numbered_wrongly(raw).select(
+    rows = gate(raw).select(
         "row_no",
         "_number",
         role_code(F.col("role")).alias("user_role"),

@@ -29,3 +29,8 @@ def numbered_wrongly(rows, row_no="row_no"):
     return rows.join(broadcast_if_small(repeated), number == F.col("_repeated"), "left").withColumn(
         "_number", missing.when(F.col("_repeated").isNotNull(), F.lit(REPEATED))
     ).drop("_repeated")
+
+
+def number_missing(rows, row_no="row_no"):
+    """``rows`` with ``_number`` where only a missing number is a fault; needs no count, so it runs in a stream."""
+    return rows.withColumn("_number", F.when(F.col(row_no).isNull(), F.lit(NO_NUMBER)))

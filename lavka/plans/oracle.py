@@ -810,4 +810,14 @@ from headers_placed h join items_placed i on i.row_no = h.row_no"""),
         NEW_USERS.replace("(select max(user_id) from r_users)", "0"),
         "select user_id, user_role, user_name, user_login, user_secret from users_added",
     ),
+    # Row numbers may repeat here; those of the first wave come first.
+    "stream_keyed_logins": sql(views_of("raw_users"), f"""valid as (
+  select row_no, coalesce(row_no % 1000 >= 500, true) as later, {role_code('role')} as user_role,
+    {blank('full_name')} as user_name, {blank('login')} as user_login, {secret('login', 'password')} as user_secret
+  from r_raw_users where row_no is not null and {blank('login')} is not null),
+first_rows as (
+  select * from valid qualify row_number() over (partition by user_login order by later, row_no) = 1)""", """
+select row_number() over (order by later, row_no, user_login) as user_id, user_role, user_name, user_login, user_secret
+from first_rows"""),
+    "stream_deliveries_once": sql(views_of("order_forms"), "select * from r_order_forms"),
 }

@@ -17,7 +17,7 @@ from lavka.plans.importing import run_import
 from lavka.plans.views import SALT, source, view, views
 from lavka.session import cut, shared_dir
 from lavka.sources import files, tables
-from lavka.streaming import intake, registration
+from lavka.streaming import deliveries, first_logins, intake, registration
 
 ORDER_TABLES = ("orders", "order_items", "product_articles", "statuses", "pickup_points")
 CATALOG_TABLES = ("products", "categories", "suppliers")
@@ -476,6 +476,38 @@ def stream_first_login(spark, sf):
     return tables.read_table(spark, root, "users")
 
 
+def _drained(queries):
+    for query in queries:
+        query.awaitTermination()
+    return queries
+
+
+def stream_keyed_logins(spark, sf):
+    """Two waves of user rows, the second after a restart from the checkpoint; logins are in the state store."""
+    folder = _scratch(spark)
+    raw = view(spark, sf, "raw_users")
+    root = f"{folder}/shop"
+    later = F.coalesce(F.col("row_no") % 1000 >= 500, F.lit(True))
+    for wave in (raw.where(~later), raw.where(later)):
+        wave.write.mode("append").parquet(f"{folder}/landing")
+        stream = spark.readStream.schema(raw.schema).parquet(f"{folder}/landing")
+        _drained(first_logins.keyed_registration(stream, root, f"{folder}/checkpoint", SALT))
+    return tables.read_table(spark, root, "users")
+
+
+def stream_deliveries_once(spark, sf):
+    """Order forms delivered three times, out of order and over two runs, taken once."""
+    folder = _scratch(spark)
+    forms = view(spark, sf, "order_forms").withColumn("sent", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("row_no") % 3600))
+    for wave in (forms, forms.unionByName(forms)):
+        wave.write.mode("append").parquet(f"{folder}/landing")
+        stream = spark.readStream.schema(forms.schema).parquet(f"{folder}/landing")
+        taken = deliveries.once(stream, ["row_no"], "sent", "2 hours").drop("sent")
+        _drained([taken.writeStream.format("parquet").option("path", f"{folder}/taken").option(
+            "checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()])
+    return spark.read.parquet(f"{folder}/taken")
+
+
 QUERIES = {
     "order_list": order_list,
     "order_documents": order_documents,
@@ -545,4 +577,6 @@ QUERIES = {
     "signin_matches": signin_matches,
     "stream_order_intake": stream_order_intake,
     "stream_first_login": stream_first_login,
+    "stream_keyed_logins": stream_keyed_logins,
+    "stream_deliveries_once": stream_deliveries_once,
 }

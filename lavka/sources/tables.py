@@ -62,7 +62,8 @@ def publish(spark, root, run_id, attempt, names):
         )
         for name in names
     ]
-    record = reduce(DataFrame.unionByName, last).agg(
+    none = spark.createDataFrame([], "name string, key long")
+    record = reduce(DataFrame.unionByName, last, none).agg(
         F.lit(run_id).alias("run_id"),
         F.lit(attempt).alias("attempt"),
         F.map_from_entries(F.collect_list(F.struct("name", "key"))).alias("last"),

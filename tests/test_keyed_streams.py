@@ -1,0 +1,96 @@
+import pytest
+from pyspark.sql import functions as F
+
+from lavka import schemas
+from lavka.sources import tables
+from lavka.streaming import deliveries, first_logins
+
+
+def drain(spark, folder, rows, name, kind=schemas.RAW_USERS):
+    """One more file of rows, then everything available from the checkpoint on."""
+    spark.createDataFrame(rows, kind).coalesce(1).write.mode("overwrite").parquet(f"{folder}/landing/{name}")
+    raw = spark.readStream.schema(kind).option("recursiveFileLookup", True).parquet(f"{folder}/landing")
+    queries = first_logins.keyed_registration(raw, f"{folder}/shop", f"{folder}/checkpoint", "salt")
+    for query in queries:
+        query.awaitTermination()
+    return queries
+
+
+def users(spark, folder):
+    rows = tables.read_table(spark, f"{folder}/shop", "users").collect()
+    return sorted((r.user_id, r.user_login, r.user_name) for r in rows)
+
+
+def test_first_login_wins_over_restarts(spark, folder, monkeypatch):
+    """No run reads the user table; logins of earlier runs are known from the state store."""
+    def no_reading(*args):
+        raise AssertionError("the user table was read")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(tables, "read_table", no_reading)
+        drain(spark, folder, [(2, "ann", None, "Second", "x"), (1, " ann ", None, "First", "x"), (3, " ", None, None, None),
+                              (None, "eve", None, None, "x"), (4, "x" * 256, None, None, "x")], "a")
+        # Smaller row numbers than before, repeated ones, and a login refused before that is valid now.
+        drain(spark, folder, [(1, "ann", None, "Late", "x"), (1, "bob", None, "Bob", "x"), (1, "cy", None, "Cy", "x"),
+                              (9, "eve", None, "Eve", "x")], "b")
+        last = drain(spark, folder, [(5, "bob", None, "Again", "x"), (6, "dan", None, "Dan", "x")], "c")
+        drain(spark, folder, [(6, "dan", None, "Dan", "x"), (7, "ann", None, "Ann", "x")], "d")
+    assert users(spark, folder) == [(1, "ann", "First"), (2, "bob", "Bob"), (3, "cy", "Cy"), (4, "eve", "Eve"), (5, "dan", "Dan")]
+    rejects = first_logins.keyed_rejects(spark, f"{folder}/shop").collect()
+    assert sorted(((r.row_no, r.reason) for r in rejects), key=str) == [(3, "blank_login"), (4, "too_long"), (None, "no_row_no")]
+    # The third run wrote the state of its two logins only, of five known ones.
+    state = last[0].lastProgress["stateOperators"][0]
+    assert state["numRowsTotal"] == 5 and state["numRowsUpdated"] == 2
+
+
+def test_a_repeated_micro_batch_stores_nothing_twice(spark, folder):
+    drain(spark, folder, [(1, "ann", None, "Ann", "x"), (2, "bob", None, "Bob", "x")], "a")
+    root = f"{folder}/shop"
+    runs = [r.run_id for r in tables.published_runs(spark, root).collect()]
+    run = next(r for r in runs if r.startswith(f"{first_logins.STREAM}-"))
+    batch = spark.createDataFrame([(1, "zed", "client", "Zed", "h")], "row_no long, user_login string, user_role string, user_name string, user_secret string")
+    first_logins.store_users(batch, run, root)
+    assert users(spark, folder) == [(1, "ann", "Ann"), (2, "bob", "Bob")]
+    # An attempt that failed before it was published leaves its numbers to the next one.
+    tables.append_rows(batch.withColumn("user_id", F.lit(3)), root, "users", tables.new_attempt())
+    drain(spark, folder, [(3, "cy", None, "Cy", "x")], "b")
+    assert users(spark, folder)[-1] == (3, "cy", "Cy")
+
+
+def test_hot_login(spark, folder):
+    rows = [(i, "hot" if i % 3 == 0 else f"u{i}", None, str(i), "x") for i in range(1, 1501)]
+    drain(spark, folder, rows, "a")
+    found = users(spark, folder)
+    assert len(found) == 1001 and [r for r in found if r[1] == "hot"][0][2] == "3"
+    assert [r[0] for r in found] == list(range(1, 1002))
+
+
+KIND = "id long, sent timestamp, what string"
+
+
+@pytest.fixture
+def hourly(spark, folder):
+    """Runs the stream over one more file of (id, hour); the ids taken, and the query."""
+    def run(name, *rows):
+        frame = spark.createDataFrame([(i, h, f"{name}-{i}") for i, h in rows], "id long, h double, what string").select(
+            "id", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("h") * 3600).alias("sent"), "what")
+        frame.coalesce(1).write.parquet(f"{folder}/landing/{name}")
+        raw = spark.readStream.schema(KIND).option("recursiveFileLookup", True).parquet(f"{folder}/landing")
+        query = deliveries.once(raw, ["id"], "sent", "2 hours").writeStream.format("parquet").option(
+            "path", f"{folder}/taken").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return [r.what for r in spark.read.parquet(f"{folder}/taken").orderBy("id", "what").collect()], query
+
+    return run
+
+
+def test_deliveries_are_taken_once_with_bounded_state(hourly):
+    """Repeats within the horizon go, over a restart too; keys leave the state; late rows are counted."""
+    taken, query = hourly("a", (1, 0.0), (2, 0.5), (1, 1.0), (3, 1.5))
+    assert len(taken) == 3 and deliveries.late_rows(query) == 0
+    taken, query = hourly("b", (1, 1.5), (2, 2.0), (4, 9.0))
+    assert len(taken) == 4 and {t.split("-")[1] for t in taken} == {"1", "2", "3", "4"}
+    taken, query = hourly("c", (5, 9.5), (6, 3.0))
+    # Hour 3 is behind the watermark, hour 9 less 2; keys of the first hours are gone.
+    assert deliveries.late_rows(query) == 1 and "c-6" not in taken and "c-5" in taken
+    assert deliveries.kept_keys(query) == 2
