@@ -20,9 +20,10 @@ Keys of 33 bits and more keep chance candidates few even for billions of texts.
 Every candidate pair is verified on all 64 bits.
 
 Copies. Only distinct fingerprints take part, each with its smallest doc_id. Near
-copies can still crowd one key; such a key's rows are compared in blocks of
-``block_rows``, any number of them, and a block reports links that connect what it
-found connected (fewer than its rows), never all pairs. No candidate is dropped.
+copies can still crowd one key; such a key is split by every fourth bit of the fingerprint in four
+ways, of which three errors leave one as it is. Rows of a split key that is crowded still
+are compared in blocks of ``block_rows``, any number of them, and a block reports links that
+connect what it found connected (fewer than its rows), never all pairs. No candidate is dropped.
 
 Components are found by alternating large-star and small-star steps on the links,
 written to the shared folder after each round.
@@ -37,10 +38,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lavka.operators.sizing import lookup_side
+from lavka.operators.sizing import broadcast_if_small, lookup_side
 from lavka.session import cut
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit from below, bits
@@ -214,6 +214,33 @@ def _forest(left, right, bits):
     return links
 
 
+def parted(rows):
+    """Rows (key, fp) with four keys for each: the old one and every fourth bit of the fingerprint.
+
+    Three errors leave one of four parts as it is.
+    """
+    every_fourth = 0x1111111111111111
+    masks = [every_fourth << i if i < 3 else (every_fourth << i) - (1 << 64) for i in range(4)]
+    parts = F.array(*[F.xxhash64("key", F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
+    return rows.select(F.explode(parts).alias("key"), "fp")
+
+
+def _met(index, query, bits):
+    """(links, crowded): verified links from keys of up to FEW index rows, and the other keys, None if there are none.
+
+    The list of crowded keys is broadcast if short, so that each side is shuffled once,
+    for the join, whether or not there are any.
+    """
+    crowded = cut(index.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FEW))
+    none = crowded.isEmpty()
+    if not none:
+        crowded = broadcast_if_small(crowded)
+        index, query = (side.join(crowded, "key", "left_anti") for side in (index, query))
+    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= bits
+    found = query.join(index.withColumnRenamed("fp", "other"), "key").where((F.col("other") < F.col("fp")) & close)
+    return found.select(F.col("other").alias("a"), F.col("fp").alias("b")), None if none else crowded
+
+
 def links(fps, bits=3, block_rows=2048):
     """Verified links (a, b), a < b, between distinct fingerprints.
 
@@ -223,16 +250,14 @@ def links(fps, bits=3, block_rows=2048):
     if bits > 3:
         raise ValueError("the keys find pairs of at most 3 differing bits")
     index, query = keyed(fps, True), keyed(fps, False)
-    index = index.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= bits
-    index = cut(index)
-    few = index.where(f"_n <= {FEW}").select("key", F.col("fp").alias("other"))
-    pairs = query.join(few, "key").where((F.col("other") < F.col("fp")) & close).select(
-        F.col("other").alias("a"), F.col("fp").alias("b")).distinct()
-    crowded = index.where(f"_n > {FEW}")
-    if crowded.isEmpty():
-        return pairs
-    return pairs.unionByName(crowded_links(crowded, query, bits, block_rows)).distinct()
+    found, crowded = _met(index, query, bits)
+    if crowded is not None:
+        index, query = (cut(parted(side.join(crowded.select("key"), "key", "left_semi")).distinct()) for side in (index, query))
+        more, crowded = _met(index, query, bits)
+        found = found.unionByName(more)
+    if crowded is not None:
+        found = found.unionByName(crowded_links(index.join(crowded, "key"), query, bits, block_rows))
+    return found.distinct()
 
 
 def crowded_links(index, query, bits, block_rows):
