@@ -22,10 +22,10 @@ import re
 import uuid
 import zlib
 from array import array
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -34,9 +34,11 @@ from pyspark.sql import types as T
 
 from lavka.llm.caches import GenerationCache
 from lavka.llm.tables import shuffle_tasks
+from lavka.llm.words import chunks
 from lavka.session import shared_dir
 
 BYTES, BITS = "byte", "bit"
+SLICE = 8_000_000  # bytes of text encoded together
 # Fixed value: the pattern of byte-level splitting.
 WORDS = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -57,12 +59,8 @@ def split_words(text):
     return WORDS.findall(text)
 
 
-# Without one of these there is no such blank.
-_BEFORE_BLANK = [f"{chr(c)} " for c in range(0x3001) if re.match(f"[{_SPACE}]", chr(c))]
-
-
-def blanks_joined(text):
-    return any(b in text for b in _BEFORE_BLANK) and JOINED_BLANKS.search(text) is not None
+# Without a match there is no such blank; Arrow searches all texts for it at once.
+BEFORE_BLANK = "[" + "".join(chr(c) for c in range(0x3001) if re.match(f"[{_SPACE}]", chr(c))) + "] "
 
 
 # ---- planes -----------------------------------------------------------------
@@ -100,11 +98,11 @@ class Encoder:
 
     For byte-level BPE files without a normaliser: there words are encoded each on its
     own. Texts are cut at blanks, a blank going with what follows it, and what lies
-    between is looked up. New stretches are split into words by the pattern, and the new
-    words of many texts go to the library in one call, which need not split them again.
+    between is looked up, each distinct stretch of many texts once. New stretches are split into words by the
+    pattern, and the new words go to the library in one call, which need not split them again.
     """
 
-    def __init__(self, spec, words=200_000, stretches=700_000):
+    def __init__(self, spec, words=100_000, stretches=400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -168,36 +166,61 @@ class Encoder:
         for start in range(0, len(mixed), 8192):
             known.put_all({x: b"".join(map(self._of_word, words)) for x, words in mixed[start:start + 8192]})
 
-    def encode_batch(self, texts):
-        """Ids of each text as the bytes of unsigned 32-bit integers."""
-        plans, stretches = [], set()
-        for text in texts:
-            plan = []
-            for part in self.special.split(text) if any(a in text for a in self.added) else (text,):
-                if part in self.added:
-                    plan.append((part, None))
-                elif part:
-                    if blanks_joined(part):
-                        # Words by the pattern, in the whole text.
-                        plan.append((WORDS.findall(part), None))
-                    else:
-                        first, *rest = part.split(" ")
-                        stretches.update(rest)
-                        plan.append((WORDS.findall(first), rest))
-            plans.append(plan)
+    def _plain(self, text):
+        """Ids of a text with added tokens or joined blanks, by the pattern."""
+        found = []
+        for part in self.special.split(text) if self.special else (text,):
+            found.append(self.added[part] if part in self.added else b"".join(map(self._of_word, WORDS.findall(part))))
+        return b"".join(found)
+
+    def _is_plain(self, texts):
+        """Which texts of an array can't be cut at blanks: with an added token, or with joined blanks."""
+        may = pc.match_substring_regex(texts, BEFORE_BLANK)
+        for token in self.added:
+            may = pc.or_(may, pc.match_substring(texts, token))
+        plain = np.zeros(len(texts), bool)
+        for i in np.flatnonzero(may.to_numpy(zero_copy_only=False)).tolist():
+            text = texts[i].as_py()
+            plain[i] = any(a in text for a in self.added) or JOINED_BLANKS.search(text) is not None
+        return plain
+
+    def encode_array(self, texts):
+        """(ids, counts): the ids of all texts of a string array one after the other, and how many each has.
+
+        Stretches are numbered by Arrow; each distinct one is looked up once, and ids are gathered by its number.
+        """
+        plain = self._is_plain(texts)
+        whole = {i: self._plain(texts[i].as_py()) for i in np.flatnonzero(plain).tolist()}
+        pieces = pc.split_pattern(pc.if_else(pa.array(plain), "", texts).cast(pa.large_string()), " ")
+        offsets = pieces.offsets.to_numpy()
+        coded = pieces.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        # What comes before a text's first blank has none in front.
+        first = codes[offsets[:-1]]
+        rest = np.ones(len(codes), bool)
+        rest[offsets[:-1]] = False
+        used = np.unique(codes[rest])
+        stretches = coded.dictionary.take(pa.array(used)).to_pylist()
         self._learn(stretches)
-        out = []
-        for plan in plans:
-            found = []
-            for words, rest in plan:
-                if isinstance(words, str):
-                    found.append(self.added[words])
-                else:
-                    found.extend(map(self._of_word, words))
-                    if rest:
-                        found.extend(map(self.stretches.__getitem__, rest))
-            out.append(b"".join(found))
-        return out
+        values = list(map(self.stretches.__getitem__, stretches))
+        place = np.zeros(len(coded.dictionary), np.int64)
+        place[used] = np.arange(len(used))
+        codes = place[codes]
+        codes[offsets[:-1]] = len(values) + np.arange(len(texts))
+        begins = coded.dictionary.take(pa.array(first)).to_pylist()
+        values.extend(whole[i] if i in whole else b"".join(map(self._of_word, WORDS.findall(x))) for i, x in enumerate(begins))
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        starts = np.cumsum(sizes) - sizes
+        each = sizes[codes]
+        before = np.concatenate([[0], np.cumsum(each)])
+        ids = np.frombuffer(b"".join(values), np.uint32)[np.repeat(starts[codes] - before[:-1], each) + np.arange(before[-1])]
+        return ids, before[offsets[1:]] - before[offsets[:-1]]
+
+
+    def encode_batch(self, texts):
+        """Ids of each text of a list as the bytes of unsigned 32-bit integers."""
+        ids, counts = self.encode_array(pa.array(texts, pa.string()))
+        return [part.tobytes() for part in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
 
 
 def in_slices(texts, characters=1 << 22):
@@ -243,7 +266,6 @@ def write_store(docs, spec, path, end_id, block=65_536, planes=BYTES, id_col="do
         T.StructField("kind", T.StringType()), T.StructField("shard", T.IntegerType()),
         T.StructField("first", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("doc_id", kind),
         T.StructField("planes", T.StringType()), T.StructField("data", T.ArrayType(T.BinaryType()))])
-    end = array("I", [end_id]).tobytes()
 
     def run(batches):
         encoder, shard = encoder_of(shared.value), TaskContext.get().partitionId()
@@ -258,26 +280,23 @@ def write_store(docs, spec, path, end_id, block=65_536, planes=BYTES, id_col="do
 
         for batch in batches:
             nothing = pa.nulls(1, batch.schema.field(0).type)
-            firsts, counts = [], []
-            texts = batch.column(1).to_pylist()
-            for found in chain.from_iterable(map(encoder.encode_batch, in_slices(texts))):
-                found += end
-                firsts.append(first)
-                counts.append(len(found) // 4)
-                first += counts[-1]
-                waiting.append(found)
-                held += counts[-1]
+            for a, b in chunks(batch.column(1), SLICE):
+                ids, counts = encoder.encode_array(batch.column(1)[a:b])
+                ids = np.insert(ids, np.cumsum(counts), end_id)
+                counts = counts + 1
+                firsts = first + np.cumsum(counts) - counts
+                first += len(ids)
+                waiting.append(ids)
+                held += len(ids)
                 if held >= block:
-                    raw = b"".join(waiting)
-                    while held >= block:
-                        ids, raw = np.frombuffer(raw[:4 * block], np.uint32), raw[4 * block:]
-                        yield record("block", [first - held], [block], nothing, [planes], [to_planes(ids, planes)])
-                        held -= block
-                    waiting = [raw]
-            yield record("document", firsts, counts, batch.column(0), [None] * len(firsts), [None] * len(firsts))
+                    ids = np.concatenate(waiting)
+                    for at in range(0, held - held % block, block):
+                        yield record("block", [first - held + at], [block], nothing, [planes], [to_planes(ids[at:at + block], planes)])
+                    ids = ids[held - held % block:].copy()
+                    waiting, held = [ids], len(ids)
+                yield record("document", firsts, counts, batch.column(0)[a:b], [None] * (b - a), [None] * (b - a))
         if held:
-            ids = np.frombuffer(b"".join(waiting), np.uint32)
-            yield record("block", [first - held], [held], nothing, [planes], [to_planes(ids, planes)])
+            yield record("block", [first - held], [held], nothing, [planes], [to_planes(np.concatenate(waiting), planes)])
 
     rows.select("doc_id", "text").mapInArrow(run, schema).write.partitionBy("kind").parquet(path)
     return schema
