@@ -20,56 +20,68 @@ def _row_rules(name):
     return rules
 
 
-def row_violations(name, table):
-    """Broken CHECK and length rules, found in one pass over the table."""
-    broken = F.array_compact(F.array(*[F.when(c, F.lit(rule)) for rule, c in _row_rules(name)]))
-    return table.select(
-        F.lit(name).alias("table_name"),
-        F.explode(broken).alias("rule"),
-        F.col(schemas.PRIMARY_KEYS[name]).cast("string").alias("row_key"),
-        F.lit(1).cast("long").alias("violations"),
-    )
+def _marks(name, own, references, rules, new):
+    """What a row says: its own key, the keys it refers to, the rules it breaks.
 
+    A mark is (table, key, role, rule, place). Rows that break a rule are told apart by their place.
+    """
+    def mark(table, key, role, rule=None, place=None):
+        return F.struct(
+            F.lit(table).alias("table"), key.cast("long").alias("key"), F.lit(role).alias("role"),
+            F.lit(rule).cast("int").alias("rule"), (F.lit(None) if place is None else place).cast("long").alias("place"))
 
-def key_violations(name, table):
-    """Missing or repeated primary keys; counted before the shuffle."""
-    key = schemas.PRIMARY_KEYS[name]
-    return (
-        table.groupBy(key).agg(F.count("*").alias("violations"))
-        .where(F.col(key).isNull() | (F.col("violations") > 1))
-        .select(
-            F.lit(name).alias("table_name"), F.lit(f"{key}_not_unique").alias("rule"),
-            F.col(key).cast("string").alias("row_key"), "violations",
-        )
-    )
-
+    key = F.col(schemas.PRIMARY_KEYS[name])
+    marks = [mark(own, key, 0 if new else 1)]
+    if new:
+        marks += [F.when(F.col(c).isNotNull(), mark(table, F.col(c), role)) for c, table, role in references]
+        marks += [F.when(broken, mark(own, key, 0, rule, F.col("_place"))) for rule, broken in rules]
+    return F.array_compact(F.array(*marks))
 
-def reference_violations(name, column, table, referenced):
-    """Values of a foreign key that the referenced table lacks, with their rows."""
-    return (
-        table.where(F.col(column).isNotNull())
-        .groupBy(column).agg(F.count("*").alias("violations"))
-        .join(referenced.select(column), column, "left_anti")
-        .select(
-            F.lit(name).alias("table_name"), F.lit(f"{column}_missing").alias("rule"),
-            F.col(column).cast("string").alias("row_key"), "violations",
-        )
-    )
 
+def audit(tables, known=None):
+    """All violations in the given tables (name -> DataFrame): table_name, rule, row_key, violations.
 
-def audit(tables):
-    """All violations in the given tables (name -> DataFrame).
+    Keys must be there and be unique, foreign keys must be found (checked when both tables are
+    given), values must keep the rules of their columns. Every table is read once: a row says
+    what it is, what it refers to and what it breaks, and all of that meets by (table, key) in
+    one aggregate, combined before its only shuffle; so a hot key is one row per task.
 
-    A foreign key is checked when both of its tables are given.
+    ``known`` maps names to rows that have been audited before, such as the tables a new run is added to. Of these
+    the keys alone are read; only violations of ``tables`` are reported, counting known rows with the key.
     """
-    reports = []
-    for name, table in tables.items():
-        reports.append(row_violations(name, table))
-        reports.append(key_violations(name, table))
-    for name, column, referenced in schemas.FOREIGN_KEYS:
-        if name in tables and referenced in tables:
-            reports.append(reference_violations(name, column, tables[name], tables[referenced]))
-    out = reports[0]
-    for report in reports[1:]:
-        out = out.unionByName(report)
-    return out
+    known = known or {}
+    order = list(schemas.TABLES)
+    given = set(tables) | set(known)
+    # Roles 0 and 1 are a table's own keys, new and known, the others its foreign keys.
+    foreign = [(n, c, t) for n, c, t in schemas.FOREIGN_KEYS if n in tables and t in given]
+    rules = [(name, rule, broken) for name in tables for rule, broken in _row_rules(name)]
+    marks = None
+    for new, frames in ((True, tables), (False, known)):
+        for name, table in frames.items():
+            references = [(c, order.index(t), i + 2) for i, (n, c, t) in enumerate(foreign) if n == name]
+            own = [(i, broken) for i, (n, _, broken) in enumerate(rules) if n == name]
+            found = table.withColumn("_place", F.monotonically_increasing_id()).select(
+                F.explode(_marks(name, order.index(name), references, own, new)).alias("_mark")).select(
+                "_mark.*")
+            marks = found if marks is None else marks.unionByName(found)
+
+    def rows_of(role):
+        return F.count(F.when((F.col("role") == role) & F.col("rule").isNull(), 1)).alias(f"_{role}")
+
+    met = marks.groupBy("table", "key", "rule", "place").agg(*[rows_of(r) for r in range(len(foreign) + 2)])
+    rows, key = F.col("_0") + F.col("_1"), F.col("key")
+
+    def violation(name, rule, count):
+        return F.struct(F.lit(name).alias("table_name"), F.lit(rule).alias("rule"), count.cast("long").alias("violations"))
+
+    whole = F.col("rule").isNull()
+    reports = [F.when(F.col("rule") == i, violation(name, rule, F.lit(1))) for i, (name, rule, _) in enumerate(rules)]
+    reports += [
+        F.when(whole & (F.col("table") == order.index(name)) & (F.col("_0") > 0) & (key.isNull() | (rows > 1)),
+               violation(name, f"{schemas.PRIMARY_KEYS[name]}_not_unique", rows)) for name in tables]
+    reports += [
+        F.when(whole & (F.col(f"_{i + 2}") > 0) & (rows == 0), violation(name, f"{column}_missing", F.col(f"_{i + 2}")))
+        for i, (name, column, _) in enumerate(foreign)]
+    return met.select(
+        F.explode(F.array_compact(F.array(*reports))).alias("_report"), key.cast("string").alias("row_key")
+    ).select("_report.table_name", "_report.rule", "row_key", "_report.violations")

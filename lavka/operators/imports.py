@@ -143,11 +143,22 @@ def outcome(stage, rows):
     )
 
 
-def summary(rejects, empty_orders=None, **stages):
-    """Rows imported and refused per stage and reason, and orders left without items."""
+def outcomes(spark, counts):
+    """The same of counts known already, such as those observed while the rows were written."""
+    return spark.createDataFrame(
+        [(stage, "imported", "", rows) for stage, rows in counts.items()], "stage string, outcome string, reason string, rows long")
+
+
+def summary(rejects, empty_orders=None, counts=None, **stages):
+    """Rows imported and refused per stage and reason, and orders left without items.
+
+    ``counts`` are stages whose rows have been counted.
+    """
     out = rejects.groupBy("source", "severity", "reason").agg(F.count("*").alias("rows")).select(
         F.col("source").alias("stage"), F.col("severity").alias("outcome"), "reason", "rows"
     )
+    if counts:
+        out = out.unionByName(outcomes(rejects.sparkSession, counts))
     for stage, rows in stages.items():
         out = out.unionByName(outcome(stage, rows))
     if empty_orders is not None:

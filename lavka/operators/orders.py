@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from lavka.functions.text import format_order_items, listed_item
-from lavka.operators.packing import PART_ROWS, pack
-from lavka.operators.sizing import lookup_side
+from lavka.operators.packing import PART_ROWS, pack, pack_laid_out, pack_large
+from lavka.operators.sizing import broadcast_if_small, lookup_side
 
 
 def _with_names(orders, statuses, points):
@@ -23,15 +23,32 @@ def order_item_lines(items, products):
     )
 
 
-def order_texts(items, products, part_rows=PART_ROWS):
-    """Per order: its items as one text, in item order; a missing article is skipped."""
-    rows = order_item_lines(items, products).select(
+def _listed(items, products):
+    return order_item_lines(items, products).select(
         "order_id",
         "order_item_id",
         listed_item(F.col("article"), F.col("product_quantity")).alias("line"),
     )
-    text = F.expr("listagg(line, ', ') within group (order by order_item_id)").alias("article")
-    return pack(rows, "order_id", "order_item_id", text, part_rows, _items_of_orders(items))
+
+
+def _text():
+    return F.expr("listagg(line, ', ') within group (order by order_item_id)").alias("article")
+
+
+def order_texts(items, products, part_rows=PART_ROWS):
+    """Per order: its items as one text, in item order; a missing article is skipped."""
+    return pack(_listed(items, products), "order_id", "order_item_id", _text(), part_rows, _items_of_orders(items))
+
+
+def refreshed_texts(texts, touched, items, products, part_rows=PART_ROWS):
+    """``texts`` as of before a run, brought up to date: only the orders the run has touched are packed again.
+
+    ``touched`` has the keys of orders that were added, changed or removed, or whose items were;
+    ``items`` are those after the run. The items of other orders are neither joined nor sorted.
+    """
+    keys = lookup_side(touched.select("order_id").distinct(), "order_id")
+    again = order_texts(items.join(keys, "order_id", "left_semi"), products, part_rows)
+    return texts.join(keys, "order_id", "left_anti").unionByName(again)
 
 
 def order_list(orders, items, products, statuses, points, part_rows=PART_ROWS):
@@ -41,8 +58,12 @@ def order_list(orders, items, products, statuses, points, part_rows=PART_ROWS):
     Items 0 to 4095 of an order are in ``part`` 0, the next in part 1, and so on.
     """
     texts = order_texts(items, products, part_rows)
-    rows = _with_names(orders.join(texts, "order_id", "left"), statuses, points)
-    return rows.select(
+    return _list_rows(orders.join(texts, "order_id", "left"), statuses, points)
+
+
+def _list_rows(rows, statuses, points):
+    """The columns of the order list, newest order first, of orders with their texts."""
+    return _with_names(rows, statuses, points).select(
         F.col("order_id").alias("id"),
         F.coalesce("part", F.lit(0)).alias("part"),
         "order_date",
@@ -55,15 +76,13 @@ def order_list(orders, items, products, statuses, points, part_rows=PART_ROWS):
     )
 
 
-def order_arrays(items, products, part_rows=PART_ROWS):
-    """Per order: its items as an array in item order."""
-    rows = order_item_lines(items, products).withColumn(
-        "entry",
-        F.struct(
-            "order_item_id", "product_id", "article", F.col("product_quantity").alias("quantity")
-        ),
-    )
-    packed = F.transform(
+def _entries(items, products):
+    return order_item_lines(items, products).select("order_id", "order_item_id", F.struct(
+        "order_item_id", "product_id", "article", F.col("product_quantity").alias("quantity")).alias("entry"))
+
+
+def _array():
+    return F.transform(
         F.sort_array(F.collect_list("entry")),
         lambda e: F.struct(
             e["product_id"].alias("product_id"),
@@ -71,17 +90,22 @@ def order_arrays(items, products, part_rows=PART_ROWS):
             e["quantity"].alias("quantity"),
         ),
     ).alias("items")
-    return pack(
-        rows.select("order_id", "order_item_id", "entry"),
-        "order_id", "order_item_id", packed, part_rows, _items_of_orders(items),
-    )
+
+
+def order_arrays(items, products, part_rows=PART_ROWS):
+    """Per order: its items as an array in item order."""
+    return pack(_entries(items, products), "order_id", "order_item_id", _array(), part_rows, _items_of_orders(items))
 
 
 def order_documents(orders, items, products, statuses, points, part_rows=PART_ROWS):
     """Order headers, each with the array of its items (empty when it has none)."""
     arrays = order_arrays(items, products, part_rows)
-    rows = _with_names(orders.join(arrays, "order_id", "left"), statuses, points)
-    return rows.select(
+    return _document_rows(orders.join(arrays, "order_id", "left"), statuses, points)
+
+
+def _document_rows(rows, statuses, points):
+    """The columns of the order documents, of orders with their arrays."""
+    return _with_names(rows, statuses, points).select(
         F.col("order_id").alias("id"),
         F.coalesce("part", F.lit(0)).alias("part"),
         "order_date",
@@ -97,6 +121,32 @@ def order_documents(orders, items, products, statuses, points, part_rows=PART_RO
     )
 
 
+def _with_packed(orders, items, products, rows, packed, part_rows):
+    """Laid-out orders with their packed items: neither is shuffled.
+
+    Articles are broadcast if they are few enough; else items are shuffled by product. The few orders
+    that are too large for a part come from the rows that are kept apart.
+    """
+    articles = broadcast_if_small(products.select("product_id", "product_art"), 2_000_000)
+    usual = pack_laid_out(rows(items.usual, articles), "order_id", packed)
+    if items.hot is None:
+        return orders.join(usual, "order_id", "left")
+    large = pack_large(rows(items.hot, articles), "order_id", "order_item_id", packed, part_rows)
+    keys = broadcast_if_small(items.hot.select("order_id").distinct())
+    return orders.join(keys, "order_id", "left_anti").join(usual, "order_id", "left").unionByName(
+        orders.join(keys, "order_id", "left_semi").join(large, "order_id", "left"))
+
+
+def laid_out_list(orders, items, products, statuses, points, part_rows=PART_ROWS):
+    """``order_list`` of tables laid out by order (see sources.laid_out); ``items`` is a LaidOut."""
+    return _list_rows(_with_packed(orders, items, products, _listed, _text(), part_rows), *map(broadcast_if_small, (statuses, points)))
+
+
+def laid_out_documents(orders, items, products, statuses, points, part_rows=PART_ROWS):
+    """``order_documents`` of tables laid out by order."""
+    return _document_rows(_with_packed(orders, items, products, _entries, _array(), part_rows), *map(broadcast_if_small, (statuses, points)))
+
+
 def order_by_id(orders, items, products, statuses, points, order_id):
     """Point lookup; the filter reaches both scans."""
     only = F.col("order_id") == order_id

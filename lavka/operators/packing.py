@@ -58,11 +58,17 @@ def pack(rows, key, order, packed, part_rows=PART_ROWS, probe=None):
     whole = F.lit(0).cast("long").alias("part")
     if large is None:
         return _gathered(rows, key, packed).select("*", whole)
-    parts = (
-        with_number(rows.join(large, key, "left_semi"), key, order)
-        .withColumn("part", F.floor(F.col("_n") / part_rows))
-        .groupBy(key, "part")
-        .agg(packed)
-    )
+    parts = pack_large(rows.join(large, key, "left_semi"), key, order, packed, part_rows)
     ordinary = _gathered(rows.join(large, key, "left_anti"), key, packed).select("*", whole)
     return ordinary.unionByName(parts.select(*ordinary.columns))
+
+
+def pack_large(rows, key, order, packed, part_rows=PART_ROWS):
+    """One row per key and part, for keys of any size; no key is gathered."""
+    numbered = with_number(rows, key, order).withColumn("part", F.floor(F.col("_n") / part_rows))
+    return numbered.groupBy(key, "part").agg(packed)
+
+
+def pack_laid_out(rows, key, packed):
+    """One row per key, part 0, for rows laid out by the key whose keys all fit one part: no shuffle."""
+    return rows.groupBy(key).agg(packed).select("*", F.lit(0).cast("long").alias("part"))

@@ -3,7 +3,7 @@
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lavka import schemas
@@ -55,8 +55,8 @@ def run_import(spark, landing, root, run_id, salt, strict=True, formats="csv", e
         files.read_products(spark, landing["products"], **options),
         state["products"], state["suppliers"], state["categories"],
     )
-    _write(root, attempt, users=users.users, products=products.products,
-           suppliers=products.suppliers, categories=products.categories)
+    counts = _write(root, attempt, users=users.users, products=products.products,
+                    suppliers=products.suppliers, categories=products.categories)
 
     written = tables.read_attempt(spark, root, "products", attempt)
     orders = import_orders(
@@ -64,28 +64,30 @@ def run_import(spark, landing, root, run_id, salt, strict=True, formats="csv", e
         numbered["orders"], numbered["order_items"], state["products"].unionByName(written),
         state["pickup_points"], state["statuses"],
     )
-    _write(root, attempt, orders=orders.orders, order_items=orders.order_items,
-           pickup_points=orders.pickup_points, statuses=orders.statuses)
+    counts |= _write(root, attempt, orders=orders.orders, order_items=orders.order_items,
+                     pickup_points=orders.pickup_points, statuses=orders.statuses)
 
     rejected = reduce(
         DataFrame.unionByName, [listed.rejects, users.rejects, products.rejects, orders.rejects]
     )
     rejected.write.mode("errorifexists").parquet(f"{root}/rejects/{attempt}")
-    report = import_report(spark, root, attempt)
+    report = import_report(spark, root, attempt, counts)
     if strict and report.rejects.where(F.col("severity") == ABORT).limit(1).count():
         raise ImportRefused(f"run {run_id} has rows to correct, see {root}/rejects/{attempt}")
     tables.publish(spark, root, run_id, attempt, schemas.TABLES)
     return report
 
 
-def import_report(spark, root, attempt):
-    """Counts and rejects of an attempt, read from what it has written."""
+def import_report(spark, root, attempt, counts):
+    """Counts and rejects of an attempt; ``counts`` are those of the rows written, by table."""
     rejects = spark.read.schema(schemas.REJECTS).parquet(f"{root}/rejects/{attempt}")
-    written = {name: tables.read_attempt(spark, root, name, attempt) for name in schemas.TABLES}
-    empty = orders_without_items(written["orders"], written["order_items"])
-    return ImportReport(summary(rejects, empty, **written), rejects)
+    orders, items = (tables.read_attempt(spark, root, name, attempt) for name in ("orders", "order_items"))
+    return ImportReport(summary(rejects, orders_without_items(orders, items), counts), rejects)
 
 
 def _write(root, attempt, **frames):
+    """Writes the rows of each table and returns their counts, taken as they were written."""
+    seen = {name: Observation(name) for name in frames}
     for name, rows in frames.items():
-        tables.append_rows(rows, root, name, attempt)
+        tables.append_rows(rows.observe(seen[name], F.count(F.lit(1)).alias("rows")), root, name, attempt)
+    return {name: observation.get["rows"] for name, observation in seen.items()}

@@ -821,3 +821,20 @@ select row_number() over (order by later, row_no, user_login) as user_id, user_r
 from first_rows"""),
     "stream_deliveries_once": sql(views_of("order_forms"), "select * from r_order_forms"),
 }
+# The same results from tables that are stored in another way.
+ORACLE |= {name: ORACLE[same] for name, same in {
+    "order_list_laid_out": "order_list", "order_list_laid_out_parts": "order_list_parts",
+    "order_documents_laid_out": "order_documents", "orders_replaced_laid_out": "orders_replaced",
+    "order_items_replaced_laid_out": "order_items_replaced", "orders_blocked_laid_out": "orders_blocked",
+    "catalog_changes_by_digest": "catalog_changes",
+}.items()}
+ORACLE["order_texts_refreshed"] = f"""
+with replaced as ({ORACLE["order_items_replaced"]}),
+{views_of("products")},
+placed as (
+  select i.order_id, p.product_art as article, i.product_quantity as quantity,
+    row_number() over (partition by i.order_id order by i.order_item_id) - 1 as pos
+  from replaced i join r_products p on p.product_id = i.product_id)
+select order_id, pos // {PART_ROWS} as part, string_agg(article || case when quantity > 1
+    then ' ×' || cast(quantity as varchar) else '' end, ', ' order by pos) as article
+from placed group by 1, 2"""

@@ -11,12 +11,12 @@ from lavka.functions.numbers import iso_date
 from lavka.functions.roles import is_admin, is_manager_or_admin, role_code, role_title
 from lavka.functions.text import explode_order_text, parse_order_text
 from lavka.operators import (
-    audit, catalog, changes, cleaning, dims, imports, names, ordering, orders, products, resolve, users,
+    audit, catalog, changes, cleaning, digests, dims, imports, names, ordering, orders, products, resolve, users,
 )
 from lavka.plans.importing import run_import
 from lavka.plans.views import SALT, source, view, views
 from lavka.session import cut, shared_dir
-from lavka.sources import files, tables
+from lavka.sources import files, laid_out, tables
 from lavka.streaming import deliveries, first_logins, intake, registration
 
 ORDER_TABLES = ("orders", "order_items", "product_articles", "statuses", "pickup_points")
@@ -60,6 +60,53 @@ def order_lookup(spark, sf):
     return _document_rows(orders.orders_by_id(*views(spark, sf, *ORDER_TABLES), keys))
 
 
+def _laid_out(spark, sf, items="order_items", **options):
+    """Orders and items stored by order once; the other order tables as they are."""
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    table, lines, *others = views(spark, sf, "orders", items, *ORDER_TABLES[2:])
+    return laid_out.bucketed(table, "order_id", buckets), laid_out.lay_out(lines, "order_id", buckets, **options), *others
+
+
+def order_list_laid_out(spark, sf):
+    return _iso(orders.laid_out_list(*_laid_out(spark, sf)))
+
+
+def order_list_laid_out_parts(spark, sf):
+    """Parts of three items: nearly half of the orders are kept apart from the buckets."""
+    return _iso(orders.laid_out_list(*_laid_out(spark, sf, part_rows=3), part_rows=3))
+
+
+def order_documents_laid_out(spark, sf):
+    return _document_rows(orders.laid_out_documents(*_laid_out(spark, sf)))
+
+
+def _replace_laid_out(spark, sf):
+    table, items, *others = _laid_out(spark, sf, "numbered_items")
+    articles, statuses, points = others
+    changes = view(spark, sf, "faulty_changes")
+    return ordering.replace_orders(changes, table, laid_out.together(items), articles, statuses, points)
+
+
+def orders_replaced_laid_out(spark, sf):
+    return _iso(_replace_laid_out(spark, sf).orders)
+
+
+def order_items_replaced_laid_out(spark, sf):
+    return _replace_laid_out(spark, sf).items
+
+
+def orders_blocked_laid_out(spark, sf):
+    table, items, *_ = _laid_out(spark, sf)
+    return ordering.delete_orders(table, table, laid_out.together(items)).blocked
+
+
+def order_texts_refreshed(spark, sf):
+    """Item texts from before the changes, of which only those of changed orders are packed again."""
+    items, articles, edits = views(spark, sf, "numbered_items", "product_articles", "faulty_changes")
+    before = cut(orders.order_texts(items, articles))
+    return orders.refreshed_texts(before, edits, _replace_orders(spark, sf).items, articles)
+
+
 def order_list_parts(spark, sf):
     return _iso(orders.order_list(*views(spark, sf, *ORDER_TABLES), part_rows=3))
 
@@ -116,7 +163,7 @@ def highlight_counts(spark, sf):
     return view(spark, sf, "products").groupBy(kind).agg(F.count("*").alias("products"))
 
 
-def catalog_changes(spark, sf):
+def _catalog_snapshots(spark, sf):
     """Half of the forms are products before; then changes, removal of what no order has, the other half."""
     table, forms, edits, items = views(spark, sf, "products", "product_forms", "product_changes", "order_items")
     named = views(spark, sf, "suppliers", "categories")
@@ -127,8 +174,18 @@ def catalog_changes(spark, sf):
     before = table.unionByName(inserted(1, table))
     after = products.update_products(edits, before, *named).table
     deleted = products.delete_products(before, before, items).deleted
-    after = after.join(deleted, "product_id", "left_anti").unionByName(inserted(0, before))
-    return changes.change_feed(before, after, "product_id")
+    return before, after.join(deleted, "product_id", "left_anti").unionByName(inserted(0, before))
+
+
+def catalog_changes(spark, sf):
+    return changes.change_feed(*_catalog_snapshots(spark, sf), "product_id")
+
+
+def catalog_changes_by_digest(spark, sf):
+    """The same of snapshots that are stored with their digest trees."""
+    snapshots = [cut(s) for s in _catalog_snapshots(spark, sf)]
+    trees = [cut(digests.digest_tree(s, "product_id")) for s in snapshots]
+    return digests.change_feed_by_digest(*snapshots, "product_id", trees)
 
 
 # ---- name lists -------------------------------------------------------------
@@ -513,6 +570,13 @@ QUERIES = {
     "order_documents": order_documents,
     "order_lookup": order_lookup,
     "order_list_parts": order_list_parts,
+    "order_texts_refreshed": order_texts_refreshed,
+    "order_list_laid_out": order_list_laid_out,
+    "order_list_laid_out_parts": order_list_laid_out_parts,
+    "order_documents_laid_out": order_documents_laid_out,
+    "orders_replaced_laid_out": orders_replaced_laid_out,
+    "order_items_replaced_laid_out": order_items_replaced_laid_out,
+    "orders_blocked_laid_out": orders_blocked_laid_out,
     "order_text_parts": order_text_parts,
     "order_text_format": order_text_format,
     "order_text_parse": order_text_parse,
@@ -529,6 +593,7 @@ QUERIES = {
     "net_prices": net_prices,
     "highlight_counts": highlight_counts,
     "catalog_changes": catalog_changes,
+    "catalog_changes_by_digest": catalog_changes_by_digest,
     "supplier_names": supplier_names,
     "category_names": category_names,
     "status_names": status_names,
