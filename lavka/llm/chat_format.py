@@ -155,13 +155,28 @@ def _with_owner(rows, owners):
 
 # ---- reading back -----------------------------------------------------------
 
-def read_back(nodes, ways):
-    """Per conversation, in turn order, from the emitted nodes: conv, depth, formatted, loss_from, loss_to."""
+def read_back(nodes, ways, width=4096):
+    """Per conversation, from the emitted nodes: conv, depth, formatted, loss_from, loss_to.
+
+    A conversation is what its last node may attend to: the intervals of that node's ancestors
+    and the node itself, read from its tree's sequence. Intervals and nodes meet by stretches of
+    ``width`` tokens, so an interval of any length is found without comparing it to all nodes.
+    """
+    last = ways.groupBy("conv").agg(F.max(F.struct("depth", "tree", "start")).alias("_last")).select(
+        "conv", F.col("_last.tree").alias("_tree"), F.col("_last.start").alias("_at"))
+    ends = last.join(
+        lookup_side(nodes.select("tree", "start", "n", "ancestors"), "tree", "start"),
+        (F.col("_tree") == F.col("tree")) & (F.col("_at") == F.col("start")))
+    own = F.array(F.struct(F.col("start").alias("from"), (F.col("start") + F.col("n")).alias("to")))
+    seen = ends.select("conv", "_tree", F.explode(F.concat("ancestors", own)).alias("_seen"))
+    stretch = lambda place: F.floor(place / width).cast("long")
+    seen = seen.select("conv", "_tree", "_seen", F.explode(F.sequence(
+        stretch(F.col("_seen.from")), stretch(F.col("_seen.to") - 1))).alias("_stretch"))
     place = nodes.select(
-        F.col("tree").alias("_tree"), F.col("start").alias("_at"), "formatted", "loss_from", "loss_to")
-    return ways.join(
-        lookup_side(place, "_tree", "_at"), (F.col("tree") == F.col("_tree")) & (F.col("start") == F.col("_at"))
-    ).select("conv", "depth", "formatted", "loss_from", "loss_to")
+        "tree", stretch(F.col("start")).alias("stretch"), "start", "depth", "formatted", "loss_from", "loss_to")
+    met = (F.col("_tree") == F.col("tree")) & (F.col("_stretch") == F.col("stretch"))
+    inside = (F.col("start") >= F.col("_seen.from")) & (F.col("start") < F.col("_seen.to"))
+    return seen.join(place, met & inside).select("conv", "depth", "formatted", "loss_from", "loss_to")
 
 
 def parse(formatted):
