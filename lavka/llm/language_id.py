@@ -6,7 +6,7 @@ every run of other characters one blank, n-grams of 1 to 4 characters hashed to
 Document frequencies are counted over all labelled training documents. Weights are
 trained with follow-the-regularised-leader (per-coordinate steps, elastic net: the L1
 part keeps them sparse, the L2 part small) on a bounded sample of them, at most
-``per_language`` documents of each language, chosen by a hash of their ids. Every
+``per_language`` documents of each language, chosen by a hash of their ids and texts. Every
 fifth document of the sample is kept out of the training and used for the temperature
 that divides the scores, found by minimising the log loss over a range of temperatures.
 
@@ -173,7 +173,11 @@ def document_frequencies(rows, bits):
 def learn(labelled, bits=15, per_language=500, max_languages=256, epochs=4):
     """Model from ``labelled`` (doc_id, text, lang); rows with a null in doc_id or lang are left out."""
     rows = labelled.select("doc_id", "text", "lang").where("doc_id is not null and lang is not null")
-    counts = dict(map(tuple, rows.groupBy("lang").count().limit(max_languages + 1).collect()))
+    rows = rows.withColumn("check", F.xxhash64(F.coalesce("text", F.lit(""))))
+    place = F.xxhash64("doc_id", "check")
+    # Of rows that repeat id, text and language one counts, so a language is never drowned by copies.
+    counts = dict(map(tuple, rows.groupBy("lang").agg(
+        F.approx_count_distinct(place, 0.02)).limit(max_languages + 1).collect()))
     languages = sorted(counts)
     if len(languages) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
@@ -182,18 +186,23 @@ def learn(labelled, bits=15, per_language=500, max_languages=256, epochs=4):
     nothing = Model(languages, idf, np.zeros((1 << bits, len(languages))), np.zeros(len(languages)), 1.0, bits)
     if not documents:
         return nothing
-    place = {language: i for i, language in enumerate(languages)}
+    number = {language: i for i, language in enumerate(languages)}
     # Of a large language only about twice the wanted documents meet in the window.
-    share = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, min(1.0, 2.0 * per_language / n))])
-    order = Window.partitionBy("lang").orderBy("place", "doc_id")
+    share = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, min(1.0, 2.0 * per_language / max(n, 1)))])
+    order = Window.partitionBy("lang").orderBy("place", "doc_id", "check")
+    drawn = rows.select("doc_id", "check", "lang", place.alias("place"))
+    # Whatever the draw, the first document of every language is in the sample.
+    first = drawn.groupBy("lang").agg(F.min(F.struct("place", "doc_id", "check")).alias("_first")).select(
+        "_first.doc_id", "_first.check", "lang", "_first.place")
+    drawn = drawn.where(F.pmod("place", F.lit(2 ** 30)) < share[F.col("lang")] * 2.0 ** 30)
     chosen = (
-        rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("place"))
-        .where(F.pmod("place", F.lit(2 ** 30)) < share[F.col("lang")] * 2.0 ** 30)
+        drawn.unionByName(first).distinct()
         .withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
-        .select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "n").dropDuplicates(["_id", "_lang"])
+        .select(F.col("doc_id").alias("_id"), F.col("check").alias("_check"), F.col("lang").alias("_lang"), "n")
     )
-    # At most per_language * max_languages rows of one id each.
-    sample = rows.join(F.broadcast(cut(chosen)), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
+    # At most per_language * max_languages rows.
+    same = (F.col("doc_id") == F.col("_id")) & (F.col("check") == F.col("_check")) & (F.col("lang") == F.col("_lang"))
+    sample = rows.join(F.broadcast(cut(chosen)), same).groupBy("n", "lang").agg(F.min("text").alias("text"))
 
     def vectors(batches):
         for batch in batches:
@@ -201,7 +210,7 @@ def learn(labelled, bits=15, per_language=500, max_languages=256, epochs=4):
                 found, counts = buckets(text, bits)
                 if len(found):
                     yield pa.RecordBatch.from_pydict({
-                        "n": pa.array([n], pa.int32()), "label": pa.array([place[lang]], pa.int32()),
+                        "n": pa.array([n], pa.int32()), "label": pa.array([number[lang]], pa.int32()),
                         "found": pa.array([found.astype(np.int32)], pa.list_(pa.int32())),
                         "counts": pa.array([counts.astype(np.int32)], pa.list_(pa.int32()))})
 
