@@ -20,7 +20,7 @@ empty table. Columns other than the id and the text are not looked at.
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lavka.llm.tables import lower_ascii
+from lavka.llm.tables import free_names, lower_ascii, one_of_alike
 from lavka.operators.sizing import lookup_side
 from lavka.session import cut
 
@@ -78,20 +78,21 @@ def exact_groups(docs, keep="max", id_col="doc_id", text_col="text"):
 def drop_exact_copies(docs, keep="max", id_col="doc_id", text_col="text"):
     """``docs`` without copies, all columns as they are: the best row of each text stays.
 
-    Rows that repeat both id and text leave one row; only such rows are shuffled
-    a second time.
+    Of rows that repeat both id and text the one stays whose columns hash to the smallest
+    number; only such rows are shuffled a second time. Columns may have any names.
     """
+    stay_id, stay_check, same = free_names(docs, "_stay_id", "_stay_check", "_same")
     stays = cut(
         _groups(docs, keep, id_col, text_col)
-        .groupBy(F.col("doc_id").alias("_stay_id"), F.col("_check").alias("_stay_check"))
-        .agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_same"))
+        .groupBy(F.col("doc_id").alias(stay_id), F.col("_check").alias(stay_check))
+        .agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias(same))
         .where("_kept").drop("_kept")
     )
     check = F.xxhash64(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))))
-    same_row = F.col(id_col).eqNullSafe(F.col("_stay_id")) & (check == F.col("_stay_check"))
-    single = docs.join(lookup_side(stays.where("_same = 1"), "_stay_id"), same_row, "left_semi")
-    if stays.where("_same > 1").isEmpty():
+    same_row = F.col(id_col).eqNullSafe(F.col(stay_id)) & (check == F.col(stay_check))
+    single = docs.join(lookup_side(stays.where(f"{same} = 1"), stay_id, stay_check), same_row, "left_semi")
+    if stays.where(f"{same} > 1").isEmpty():
         return single
-    repeated = docs.join(stays.where("_same > 1"), same_row, "left_semi")
-    return single.unionByName(
-        repeated.withColumn("_stay_check", check).dropDuplicates([id_col, "_stay_check"]).drop("_stay_check"))
+    repeated = docs.join(stays.where(f"{same} > 1"), same_row, "left_semi")
+    alike = one_of_alike(repeated.withColumn(stay_check, check), [id_col, stay_check])
+    return single.unionByName(alike.drop(stay_check))

@@ -33,13 +33,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lavka.llm.tables import WORD, running_start, word_count
+from lavka.llm.tables import WORD, free_names, one_of_alike, running_start, shuffle_tasks, word_count
 from lavka.operators.sizing import lookup_side
 from lavka.session import cut
 
 WEIGHTS = (3, 1, 2)
 MAX_EPOCHS = 2
 MAX_SOURCES = 1_000_000
+LARGEST_DRAW = 1_000_000_000  # blocks; numpy's draws end below
 
 
 def targets(sizes, weights=WEIGHTS, share=1.5, most=MAX_EPOCHS):
@@ -74,6 +75,30 @@ def source_table(rows, weights, share, most, max_sources):
             enumerate(zip(found, sizes, targets(sizes, weights, share, most), strict=True))]
 
 
+def draw(rng, here, n):
+    """How many of ``n`` blocks are of each source: a multivariate hypergeometric draw.
+
+    Numpy draws below 10^9 blocks. Above, sources are drawn one by one from the normal distribution of the
+    same mean and variance, which at that size differs by less than a block's share could show; the
+    counts are whole, within what is there, and add up to ``n`` in either case.
+    """
+    total = int(here.sum())
+    if total < LARGEST_DRAW:
+        return rng.multivariate_hypergeometric(here, n, method="marginals")
+    left = np.zeros(len(here), np.int64)
+    for i, own in enumerate(here.tolist()):
+        rest = total - own
+        if total < LARGEST_DRAW:
+            found = int(rng.hypergeometric(own, rest, n)) if n else 0
+        else:
+            share = own / total
+            spread = math.sqrt(n * share * (1 - share) * (total - n) / (total - 1))
+            found = round(n * share + spread * rng.standard_normal())
+        left[i] = min(own, n, max(0, n - rest, found))
+        total, n = rest, n - int(left[i])
+    return left
+
+
 def share_of(shard, shards, blocks, shard_blocks, seed):
     """(first draw, number of draws) per source of one shard: a walk down the splitting tree."""
     first, here = np.zeros(len(blocks), np.int64), np.array(blocks, np.int64)
@@ -81,8 +106,7 @@ def share_of(shard, shards, blocks, shard_blocks, seed):
     while high - low > 1:
         middle = (low + high) // 2
         # Shards are full but for the last, so the left child's size is known.
-        left = np.random.default_rng([seed, low, high]).multivariate_hypergeometric(
-            here, (middle - low) * shard_blocks, method="marginals")
+        left = draw(np.random.default_rng([seed, low, high]), here, (middle - low) * shard_blocks)
         if shard < middle:
             here, high = left, middle
         else:
@@ -101,10 +125,7 @@ def _permutation(source, n, seed):
 
 def dealt_blocks(spark, blocks, shard_blocks, seed):
     """Rows (shard, src, block): every block of every source's quota, once."""
-    total = sum(blocks)
-    if total >= 1_000_000_000:
-        raise ValueError("10^9 blocks or more: use larger blocks")
-    shards = -(-total // shard_blocks)
+    shards = -(-sum(blocks) // shard_blocks)
     keyed = [_permutation(i, n, seed) if n else (1, 0) for i, n in enumerate(blocks)]
 
     def deal(batches):
@@ -174,40 +195,54 @@ def shuffled(pieces, seed=7):
     return pieces.withColumn("position", F.row_number().over(order) - 1)
 
 
-def taken_words(docs, **options):
-    """Per document: doc_id, size, source_size, target and taken, the words the mix takes of it."""
-    documents, pieces = mix(docs, **options)
-    taken = pieces.groupBy("src", "start").agg(F.sum("words").alias("taken")).select(
+def taken_words(docs, seed=7, **options):
+    """Per document: doc_id, size, source_size, target and taken, the words the mix takes of it.
+
+    The mix is written, every shard in its shuffled order, and what it takes is read back from it.
+    """
+    documents, pieces = mix(docs, seed=seed, **options)
+    taken = cut(shuffled(pieces, seed)).groupBy("src", "start").agg(F.sum("words").alias("taken")).select(
         F.col("src").alias("_src"), F.col("start").alias("_start"), "taken")
     same = (F.col("src") == F.col("_src")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0)
     return documents.join(taken, same, "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_documents(docs, length_col=None, **options):
+def mixed_documents(docs, length_col=None, seed=7, **options):
     """``docs`` as the mix takes them, all columns as they are: one row per document and epoch.
 
-    Where a quota ends inside a document (at most one per source), that row's text is
-    the words taken, joined by one blank, and ``length_col`` (if given) its length.
+    Rows come in the order of the mix: by shard, and in a shard by the shuffled place of a row's first piece. Where a
+    quota ends inside a document (at most one per source), that row's text is
+    the words taken, joined by one blank, and ``length_col`` (if given) its length. Of rows that
+    repeat id, source and text, one carries the takes of all: the one whose columns hash to the
+    smallest number. Columns may have any names.
     """
-    documents, pieces = mix(docs, **options)
-    takes = pieces.groupBy("src", "start", "epoch").agg(F.sum("words").alias("_words")).join(
-        documents.where("size > 0").select("src", "start", "size", "doc_id", "_check"), ["src", "start"],
-    ).select(F.col("doc_id").alias("_id"), F.col("_check").alias("_id_check"), F.col("size").alias("_size"), "_words")
+    documents, pieces = mix(docs, seed=seed, **options)
+    place = F.min(F.struct("shard", "position")).alias("place")
+    takes = cut(shuffled(pieces, seed)).groupBy("src", "start", "epoch").agg(F.sum("words").alias("words"), place).join(
+        documents.where("size > 0").select("src", "start", "size", "doc_id", "source", "_check"), ["src", "start"])
+    own_id, own_source, own_check, size, taken, at, same = free_names(
+        docs, "_id", "_source", "_id_check", "_size", "_words", "_place", "_same")
+    takes = takes.select(
+        F.col("doc_id").alias(own_id), F.col("source").alias(own_source), F.col("_check").alias(own_check),
+        F.col("size").alias(size), F.col("words").alias(taken), F.col("place").alias(at))
     check = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    # Documents that repeat both id and text: one row carries the takes of all.
-    alike = documents.groupBy(F.col("doc_id").alias("_id"), F.col("_check").alias("_id_check")).agg(
-        F.count(F.lit(1)).alias("_same")).where("_same > 1").drop("_same")
-    key = F.col("doc_id").eqNullSafe(F.col("_id")) & (check == F.col("_id_check"))
+    alike = documents.groupBy(
+        F.col("doc_id").alias(own_id), F.col("source").alias(own_source), F.col("_check").alias(own_check)).agg(
+        F.count(F.lit(1)).alias(same)).where(f"{same} > 1").drop(same)
+    key = (F.col("doc_id").eqNullSafe(F.col(own_id)) & F.col("source").eqNullSafe(F.col(own_source))
+           & (check == F.col(own_check)))
     if not alike.isEmpty():
-        again = docs.join(alike, key, "left_semi").withColumn("_id_check", check)
+        again = docs.join(alike, key, "left_semi").withColumn(own_check, check)
         docs = docs.join(alike, key, "left_anti").unionByName(
-            again.dropDuplicates(["doc_id", "_id_check"]).drop("_id_check"))
-    rows = docs.join(lookup_side(takes, "_id"), key)
-    part = F.col("_words") < F.col("_size")
-    words = F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("_words").cast("int")))
+            one_of_alike(again, ["doc_id", "source", own_check]).drop(own_check))
+    rows = docs.join(lookup_side(takes, own_id, own_check), key)
+    part = F.col(taken) < F.col(size)
+    words = F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col(taken).cast("int")))
     rows = rows.withColumn("text", F.when(part, words).otherwise(F.col("text")))
     if length_col:
         kind = docs.schema[length_col].dataType
         rows = rows.withColumn(length_col, F.when(part, F.length("text").cast(kind)).otherwise(F.col(length_col)))
-    return rows.drop("_id", "_id_check", "_size", "_words")
+    order = [F.col(f"{at}.shard"), F.col(f"{at}.position"), F.col(own_id), F.col(own_check)]
+    rows = rows.repartitionByRange(shuffle_tasks(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return rows.drop(own_id, own_source, own_check, size, taken, at)

@@ -40,6 +40,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
+from lavka.llm.tables import free_names, one_of_alike
 from lavka.operators.sizing import broadcast_if_small, lookup_side
 from lavka.session import cut
 
@@ -357,20 +358,21 @@ def drop_near_copies(docs, words=3, bits=3, seed=42, block_rows=2048, id_col="do
 
     A null id comes after any other. Of rows with that id the one with the smallest
     fingerprint, then the smallest hash of the text, stays; of rows that repeat both id
-    and text any one, and only such rows are shuffled a second time.
+    and text the one whose columns hash to the smallest number, and only such rows are
+    shuffled a second time. Columns may have any names.
     """
+    stay_id, stay_check, repeats = free_names(docs, "_stay_id", "_stay_check", "_same")
     members = _members(docs, words, bits, seed, block_rows, id_col, text_col)
     alike = members.groupBy("_component", "doc_id", "fp", "check").agg(F.count(F.lit(1)).alias("same"))
     first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "fp", "check", "same")
     stays = cut(alike.groupBy("_component").agg(F.min(first).alias("_first")).select(
-        F.col("_first.doc_id").alias("_stay_id"), F.col("_first.check").alias("_stay_check"),
-        F.col("_first.same").alias("_same")))
+        F.col("_first.doc_id").alias(stay_id), F.col("_first.check").alias(stay_check),
+        F.col("_first.same").alias(repeats)))
     check = text_check(F.col(text_col))
     # Equal texts share a component, so id and text find one row, or rows alike in both.
-    same_row = F.col(id_col).eqNullSafe(F.col("_stay_id")) & (check == F.col("_stay_check"))
-    single = docs.join(lookup_side(stays.where("_same = 1"), "_stay_id", "_stay_check"), same_row, "left_semi")
-    if stays.where("_same > 1").isEmpty():
+    same_row = F.col(id_col).eqNullSafe(F.col(stay_id)) & (check == F.col(stay_check))
+    single = docs.join(lookup_side(stays.where(f"{repeats} = 1"), stay_id, stay_check), same_row, "left_semi")
+    if stays.where(f"{repeats} > 1").isEmpty():
         return single
-    repeated = docs.join(stays.where("_same > 1"), same_row, "left_semi")
-    return single.unionByName(
-        repeated.withColumn("_stay_check", check).dropDuplicates([id_col, "_stay_check"]).drop("_stay_check"))
+    repeated = docs.join(stays.where(f"{repeats} > 1"), same_row, "left_semi")
+    return single.unionByName(one_of_alike(repeated.withColumn(stay_check, check), [id_col, stay_check]).drop(stay_check))

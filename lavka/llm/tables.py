@@ -11,6 +11,27 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def free_names(rows, *names):
+    """``names``, each with as many underscores in front as make it no column of ``rows``."""
+    taken = {c.lower() for c in rows.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def one_of_alike(rows, keys):
+    """One row per ``keys`` (null is a value): the one whose whole row has the smallest hash, the same in every run."""
+    whole, first = free_names(rows, "_whole", "_first")
+    every = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    kept = rows.select(*keys, every.alias(whole)).groupBy(*[k for k in keys]).agg(
+        F.min_by(whole, F.xxhash64(whole)).alias(first))
+    return kept.select(*[F.col(f"{first}.`{c}`").alias(c) for c in rows.columns])
+
+
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
