@@ -39,6 +39,7 @@ from lavka.session import shared_dir
 
 BYTES, BITS = "byte", "bit"
 SLICE = 8_000_000  # bytes of text encoded together
+LONGEST = 64  # bytes of a word that is kept
 # Fixed value: the pattern of byte-level splitting.
 WORDS = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -60,7 +61,10 @@ def split_words(text):
 
 
 # Without a match there is no such blank; Arrow searches all texts for it at once.
-BEFORE_BLANK = "[" + "".join(chr(c) for c in range(0x3001) if re.match(f"[{_SPACE}]", chr(c))) + "] "
+_SPACES = "".join(chr(c) for c in range(0x3001) if re.match(f"[{_SPACE}]", chr(c)))
+BEFORE_BLANK = f"[{_SPACES}] "
+# A line feed beside other white space, or at an end: cutting there would change words, too.
+LINE_BLANK = f"\n[{_SPACES}]|[{_SPACES}]\n|\\A\n|\n\\z"
 
 
 # ---- planes -----------------------------------------------------------------
@@ -93,6 +97,48 @@ def from_planes(packed, n, planes=BYTES):
 
 # ---- encoding ---------------------------------------------------------------
 
+def _gathered(ids, starts, sizes):
+    """The stretches of ``ids`` that begin at ``starts``, one after the other."""
+    ends = np.cumsum(sizes)
+    return ids[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class _WordTable:
+    """Ids of many words in arrays: looked up by Arrow all at once, of bounded size.
+
+    When full, it keeps the words that were in use since it was last made smaller.
+    """
+
+    def __init__(self, most):
+        self.most = most
+        self.words, self.ids = pa.array([], pa.large_string()), np.empty(0, np.uint32)
+        self.sizes, self.used = np.empty(0, np.int64), np.empty(0, bool)
+
+    def find(self, words, compute):
+        """(places, starts, sizes, ids): where in the table each word is, and the table."""
+        at = pc.index_in(words, self.words)
+        new = words.filter(pc.is_null(at))
+        if len(new):
+            if len(self.words) + len(new) > self.most:
+                self._shrink()
+                new = words.filter(pc.is_null(pc.index_in(words, self.words)))
+            ids, sizes = compute(new)
+            self.words = pa.concat_arrays([self.words, new.cast(pa.large_string())])
+            self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+            self.used = np.concatenate([self.used, np.zeros(len(new), bool)])
+            at = pc.index_in(words, self.words)
+        at = at.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.used[at] = True
+        return at, np.cumsum(self.sizes) - self.sizes, self.sizes, self.ids
+
+    def _shrink(self):
+        kept = self.used if 2 * self.used.sum() <= self.most else np.zeros(len(self.used), bool)
+        starts = np.cumsum(self.sizes) - self.sizes
+        self.ids = _gathered(self.ids, starts[kept], self.sizes[kept])
+        self.words, self.sizes = self.words.filter(pa.array(kept)), self.sizes[kept]
+        self.used = np.zeros(len(self.sizes), bool)
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, each new word once, in bounded caches.
 
@@ -102,7 +148,7 @@ class Encoder:
     pattern, and the new words go to the library in one call, which need not split them again.
     """
 
-    def __init__(self, spec, words=100_000, stretches=400_000):
+    def __init__(self, spec, words=100_000, stretches=1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -121,8 +167,10 @@ class Encoder:
         line_feed = self._ids("\n")
         self.line_feed = line_feed[0] if len(line_feed) == 1 else None
         self.words = GenerationCache(self._word, words)
-        # What follows a blank, with that blank.
-        self.stretches = GenerationCache(self._stretch, stretches)
+        # What follows a blank, with that blank: of letters alone in arrays, the others one by one.
+        self.stretches = GenerationCache(self._stretch, words)
+        self.letters = _WordTable(stretches)
+        self.begins = _WordTable(stretches // 2)  # the same without the blank
 
     def _ids(self, word):
         return self.single.encode(word, add_special_tokens=False).ids
@@ -131,58 +179,95 @@ class Encoder:
         return array("I", self._ids(word)).tobytes()
 
     def _stretch(self, rest):
-        if rest.isalpha():
-            return self._word(" " + rest)
-        return b"".join(map(self._of_word, split_words(" " + rest)))
-
-    def _of_word(self, word):
-        """A word's ids; one of letters after a blank is a stretch of its own."""
-        return self.stretches[word[1:]] if word[0] == " " and word[1:].isalpha() else self.words[word]
-
-    def _learn(self, stretches):
-        """Caches stretches that are new, their words of letters by one call of the library."""
-        known, old, longest = self.stretches, self.stretches.old, self.stretches.longest
-        new = [x for x in stretches if x not in known and x not in old and len(x) <= longest]
-        letters, mixed = [], []
-        for x in new:
-            if x.isalpha():
-                letters.append(x)
+        return b"".join(map(self.words.__getitem__, split_words(" " + rest)))
+
+    def _of_letters(self, words, blank=" "):
+        """(ids, sizes) of words of letters after a blank (or none), of a string array, by few calls of the library."""
+        ids, sizes = [], []
+        for start in range(0, len(words), 8192):
+            part = words[start:start + 8192].to_pylist()
+            if self.line_feed is None:
+                found = [np.array(self._ids(blank + w), np.uint32) for w in part]
+                ids.extend(found)
+                sizes.append(np.array(list(map(len, found)), np.int64))
             else:
-                words = split_words(" " + x)
-                mixed.append((x, words))
-                rest = words[0][1:]
-                if rest.isalpha() and rest not in known and rest not in old:
-                    letters.append(rest)
-        if self.line_feed is not None:
-            letters = list(dict.fromkeys(letters))
-            for start in range(0, len(letters), 8192):
-                part = letters[start:start + 8192]
-                text = " " + "\n ".join(part)
-                ids = np.array(self.many.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-                ends = np.flatnonzero(ids == self.line_feed)
-                raw, ends = ids.tobytes(), [*(4 * ends).tolist(), 4 * len(ids)]
-                begins = [0, *[e + 4 for e in ends[:-1]]]
-                known.put_all({x: raw[b:e] for x, b, e in zip(part, begins, ends, strict=True)})
-        for start in range(0, len(mixed), 8192):
-            known.put_all({x: b"".join(map(self._of_word, words)) for x, words in mixed[start:start + 8192]})
+                text = blank + f"\n{blank}".join(part)
+                found = np.array(self.many.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+                ends = np.flatnonzero(found == self.line_feed)
+                ids.append(found[found != self.line_feed])
+                sizes.append(np.diff(np.concatenate([[-1], ends, [len(found)]])) - 1)
+        return (np.concatenate(ids), np.concatenate(sizes)) if ids else (np.empty(0, np.uint32), np.empty(0, np.int64))
+
+    def _pool(self, stretches):
+        """(ids, sizes) of the distinct stretches of a string array.
+
+        Most are letters, or letters and then marks: these are found in the table of words and in the
+        few kinds of marks. The others go by the pattern.
+        """
+        # A stretch that begins a line has its line feed in front, and no blank.
+        line = pc.starts_with(stretches, "\n").to_numpy(zero_copy_only=False)
+        bare = pc.utf8_rtrim(pc.utf8_ltrim(stretches, "\n"), MARKS)
+        plain = pc.and_(pc.utf8_is_alpha(bare), pc.less_equal(pc.binary_length(bare), LONGEST)).to_numpy(zero_copy_only=False)
+        # Three parts a stretch: a line feed, letters, then marks or whatever else.
+        part_start, part_size = np.zeros((len(stretches), 3), np.int64), np.zeros((len(stretches), 3), np.int64)
+        ids, before = [np.frombuffer(self.words["\n"], np.uint32)], len(self.words["\n"]) // 4
+        part_size[line & plain, 0] = before
+        for table, blank, mine in ((self.letters, " ", plain & ~line), (self.begins, "", plain & line)):
+            coded = bare.filter(pa.array(mine)).dictionary_encode()
+            at, starts, sizes, found = table.find(coded.dictionary, lambda words, blank=blank: self._of_letters(words, blank))
+            word = at[coded.indices.to_numpy(zero_copy_only=False)]
+            part_start[mine, 1], part_size[mine, 1] = before + starts[word], sizes[word]
+            ids.append(found)
+            before += len(found)
+        marks = (pc.binary_length(stretches).to_numpy() - pc.binary_length(bare).to_numpy() - line) * plain
+        # One mark, as nearly always: told by the last byte.
+        _, ends, raw = stretches.buffers()
+        ends = np.frombuffer(ends, np.int64)[stretches.offset + 1:stretches.offset + len(stretches) + 1]
+        one = np.flatnonzero(marks == 1)
+        last = np.frombuffer(raw, np.uint8)[ends[one] - 1] if len(one) else np.empty(0, np.uint8)
+        for mark in np.unique(last).tolist():
+            found = np.frombuffer(self.words[chr(mark)], np.uint32)
+            part_start[one[last == mark], 2], part_size[one[last == mark], 2] = before, len(found)
+            ids.append(found)
+            before += len(found)
+        marked = np.flatnonzero(~plain | (marks > 1))
+        known = {}
+        for i, whole, letters, cut in zip(
+                marked.tolist(), stretches.take(pa.array(marked)).to_pylist(), bare.take(pa.array(marked)).to_pylist(),
+                plain[marked].tolist(), strict=True):
+            key = (cut, whole.lstrip("\n")[len(letters):] if cut else whole)
+            place = known.get(key)
+            if place is None:
+                found = self.words[key[1]] if cut else self._line(whole) if whole[0:1] == "\n" else self.stretches[whole]
+                found = np.frombuffer(found, np.uint32)
+                place = known[key] = (before, len(found))
+                ids.append(found)
+                before += len(found)
+            part_start[i, 2], part_size[i, 2] = place
+        return _gathered(np.concatenate(ids), part_start.ravel(), part_size.ravel()), part_size.sum(axis=1)
+
+    def _line(self, text):
+        """Ids of a line feed and what follows it up to a blank."""
+        return b"".join(map(self.words.__getitem__, WORDS.findall(text)))
 
     def _plain(self, text):
         """Ids of a text with added tokens or joined blanks, by the pattern."""
         found = []
         for part in self.special.split(text) if self.special else (text,):
-            found.append(self.added[part] if part in self.added else b"".join(map(self._of_word, WORDS.findall(part))))
+            found.append(self.added[part] if part in self.added else b"".join(map(self.words.__getitem__, WORDS.findall(part))))
         return b"".join(found)
 
     def _is_plain(self, texts):
-        """Which texts of an array can't be cut at blanks: with an added token, or with joined blanks."""
+        """Which texts of an array can't be cut at blanks and line feeds: with an added token, or with joined blanks."""
         may = pc.match_substring_regex(texts, BEFORE_BLANK)
+        lines = pc.match_substring_regex(texts, LINE_BLANK).to_numpy(zero_copy_only=False)
         for token in self.added:
             may = pc.or_(may, pc.match_substring(texts, token))
         plain = np.zeros(len(texts), bool)
         for i in np.flatnonzero(may.to_numpy(zero_copy_only=False)).tolist():
             text = texts[i].as_py()
             plain[i] = any(a in text for a in self.added) or JOINED_BLANKS.search(text) is not None
-        return plain
+        return plain | lines
 
     def encode_array(self, texts):
         """(ids, counts): the ids of all texts of a string array one after the other, and how many each has.
@@ -191,7 +276,9 @@ class Encoder:
         """
         plain = self._is_plain(texts)
         whole = {i: self._plain(texts[i].as_py()) for i in np.flatnonzero(plain).tolist()}
-        pieces = pc.split_pattern(pc.if_else(pa.array(plain), "", texts).cast(pa.large_string()), " ")
+        texts = pc.if_else(pa.array(plain), "", texts).cast(pa.large_string())
+        # A line feed between other characters ends a word like a blank does.
+        pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         offsets = pieces.offsets.to_numpy()
         coded = pieces.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -200,23 +287,20 @@ class Encoder:
         rest = np.ones(len(codes), bool)
         rest[offsets[:-1]] = False
         used = np.unique(codes[rest])
-        stretches = coded.dictionary.take(pa.array(used)).to_pylist()
-        self._learn(stretches)
-        values = list(map(self.stretches.__getitem__, stretches))
+        pool, sizes = self._pool(coded.dictionary.take(pa.array(used)))
+        begins = [whole[i] if i in whole else b"".join(map(self.words.__getitem__, WORDS.findall(x)))
+                  for i, x in enumerate(coded.dictionary.take(pa.array(first)).to_pylist())]
         place = np.zeros(len(coded.dictionary), np.int64)
         place[used] = np.arange(len(used))
         codes = place[codes]
-        codes[offsets[:-1]] = len(values) + np.arange(len(texts))
-        begins = coded.dictionary.take(pa.array(first)).to_pylist()
-        values.extend(whole[i] if i in whole else b"".join(map(self._of_word, WORDS.findall(x))) for i, x in enumerate(begins))
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        starts = np.cumsum(sizes) - sizes
+        codes[offsets[:-1]] = len(used) + np.arange(len(texts))
+        pool = np.concatenate([pool, np.frombuffer(b"".join(begins), np.uint32)])
+        sizes = np.concatenate([sizes, np.array(list(map(len, begins)), np.int64) // 4])
         each = sizes[codes]
         before = np.concatenate([[0], np.cumsum(each)])
-        ids = np.frombuffer(b"".join(values), np.uint32)[np.repeat(starts[codes] - before[:-1], each) + np.arange(before[-1])]
+        ids = _gathered(pool, (np.cumsum(sizes) - sizes)[codes], each)
         return ids, before[offsets[1:]] - before[offsets[:-1]]
 
-
     def encode_batch(self, texts):
         """Ids of each text of a list as the bytes of unsigned 32-bit integers."""
         ids, counts = self.encode_array(pa.array(texts, pa.string()))
