@@ -826,7 +826,7 @@ ORACLE |= {name: ORACLE[same] for name, same in {
     "order_list_laid_out": "order_list", "order_list_laid_out_parts": "order_list_parts",
     "order_documents_laid_out": "order_documents", "orders_replaced_laid_out": "orders_replaced",
     "order_items_replaced_laid_out": "order_items_replaced", "orders_blocked_laid_out": "orders_blocked",
-    "catalog_changes_by_digest": "catalog_changes",
+    "catalog_changes_by_digest": "catalog_changes", "catalog_search_indexed": "catalog_search",
 }.items()}
 ORACLE["order_texts_refreshed"] = f"""
 with replaced as ({ORACLE["order_items_replaced"]}),

@@ -11,7 +11,8 @@ from lavka.functions.numbers import iso_date
 from lavka.functions.roles import is_admin, is_manager_or_admin, role_code, role_title
 from lavka.functions.text import explode_order_text, parse_order_text
 from lavka.operators import (
-    audit, catalog, changes, cleaning, digests, dims, imports, names, ordering, orders, products, resolve, users,
+    audit, catalog, changes, cleaning, digests, dims, imports, names, ordering, orders, products, resolve,
+    trigrams, users,
 )
 from lavka.plans.importing import run_import
 from lavka.plans.views import SALT, source, view, views
@@ -141,6 +142,12 @@ def _catalog(**options):
     return lambda spark, sf: catalog.list_catalog(*views(spark, sf, *CATALOG_TABLES), **options)
 
 
+def catalog_search_indexed(spark, sf):
+    """The search by an index of trigrams that is stored with the catalogue."""
+    rows = cut(catalog.catalog_rows(*views(spark, sf, *CATALOG_TABLES)))
+    return catalog.sort_catalog(trigrams.indexed_search(rows, trigrams.trigram_index(rows), SEARCH_TEXT))
+
+
 def product_lookup(spark, sf):
     keys = source(spark, sf, "orders").select(F.col("o_custkey").alias("product_id"))
     return catalog.products_by_id(*views(spark, sf, *CATALOG_TABLES), keys)
@@ -584,6 +591,7 @@ QUERIES = {
     "order_line_arrays": order_line_arrays,
     "catalog_list": _catalog(),
     "catalog_search": _catalog(text=SEARCH_TEXT),
+    "catalog_search_indexed": catalog_search_indexed,
     "catalog_by_supplier": _catalog(supplier=SUPPLIER),
     "catalog_stock_asc": _catalog(order="asc"),
     "catalog_stock_desc": _catalog(order="desc"),

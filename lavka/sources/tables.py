@@ -5,11 +5,18 @@ is recorded, and the record names the attempt. Nothing is ever overwritten: a ru
 is repeated writes another attempt, a failed or refused attempt stays invisible, and a
 recorded run stays as it is. The record of a run also holds the largest key it has
 written to each table, so that giving out the next keys reads no table at all.
+
+Two writers that start from the same state give out the same keys. So before its record is written, a run
+claims the first new key of each of its tables by creating a file of that name, which the file system
+lets one of them do (it must create files exclusively, as HDFS and local disks do). The other run is
+refused and can be repeated. A run that stops between claim and record keeps its
+claims: it is repeated under its own name, or given up by ``release``.
 """
 
 import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +25,7 @@ from lavka import schemas
 from lavka.sources.files import exists
 
 RUNS = "runs"
+CLAIMS = "claims"
 REJECTS = "rejects"
 RECORD = "run_id string, attempt string, last map<string,bigint>"
 
@@ -26,6 +34,10 @@ class RunPublished(Exception):
     """The run is recorded already; its rows are not written again."""
 
 
+class RunConflict(Exception):
+    """Another run has given out the same keys; this one must be repeated."""
+
+
 def new_attempt():
     return uuid.uuid4().hex
 
@@ -49,25 +61,65 @@ def is_published(spark, root, run_id):
     return exists(spark, f"{root}/{RUNS}/{run_id}/_SUCCESS")
 
 
+def _file(spark, path):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def claim(spark, root, name, first_key, run_id):
+    """Let one run give out the keys of a table from ``first_key`` on."""
+    fs, path = _file(spark, f"{root}/{CLAIMS}/{name}/{first_key}")
+    try:
+        out = fs.create(path, False)
+    except Py4JJavaError:
+        if not fs.exists(path):
+            raise
+        if claimed_by(spark, path.toString()) != run_id:
+            raise RunConflict(f"{run_id}: keys of {name} from {first_key} on are taken") from None
+        return
+    out.write(bytearray(run_id.encode()))
+    out.close()
+
+
+def claimed_by(spark, path):
+    fs, path = _file(spark, path)
+    stream = fs.open(path)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def release(spark, root, run_id):
+    """Give up what an unpublished run has claimed."""
+    if is_published(spark, root, run_id):
+        raise RunPublished(run_id)
+    fs, folder = _file(spark, f"{root}/{CLAIMS}/*/*")
+    for status in fs.globStatus(folder) or []:
+        if claimed_by(spark, status.getPath().toString()) == run_id:
+            fs.delete(status.getPath(), False)
+
+
 def publish(spark, root, run_id, attempt, names):
     """Make what the attempt has written to the named tables visible, in one small write.
 
-    The write fails if the run has a record.
+    The write fails if the run has a record, or if another run has claimed its keys.
     """
     if is_published(spark, root, run_id):
         raise RunPublished(run_id)
-    last = [
+    none = spark.createDataFrame([], "name string, first long, key long")
+    keys = [
         read_attempt(spark, root, name, attempt).agg(
-            F.lit(name).alias("name"), F.max(schemas.PRIMARY_KEYS[name]).cast("long").alias("key")
+            F.lit(name).alias("name"), F.min(schemas.PRIMARY_KEYS[name]).cast("long").alias("first"),
+            F.max(schemas.PRIMARY_KEYS[name]).cast("long").alias("key"),
         )
         for name in names
     ]
-    none = spark.createDataFrame([], "name string, key long")
-    record = reduce(DataFrame.unionByName, last, none).agg(
-        F.lit(run_id).alias("run_id"),
-        F.lit(attempt).alias("attempt"),
-        F.map_from_entries(F.collect_list(F.struct("name", "key"))).alias("last"),
-    )
+    found = reduce(DataFrame.unionByName, keys, none).collect()  # one row per table
+    for name, first, _ in sorted(found):
+        if first is not None:
+            claim(spark, root, name, first, run_id)
+    record = spark.createDataFrame([(run_id, attempt, {name: last for name, _, last in found})], RECORD)
     record.coalesce(1).write.mode("errorifexists").parquet(f"{root}/{RUNS}/{run_id}")
 
 

@@ -79,3 +79,23 @@ def test_change_feed(spark):
 def test_search_stays_in_the_jvm_and_prunes(shop, catalog_shop):
     plan = catalog.list_catalog(*catalog_shop, text="kari")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def test_indexed_search_equals_the_scan(spark, catalog_shop):
+    """Wildcards, escapes, Cyrillic, short patterns, empty columns; candidates are few and verified."""
+    from lavka.operators import trigrams
+
+    rows = catalog.catalog_rows(*catalog_shop)
+    index = trigrams.trigram_index(rows)
+    texts = [" boots", "BOO", "туфли", "Туф", "100%", "100% wo", "r_d b", "a_b", "back\\slash", "back\\\\slash", "zzz", "oo", " ",
+             "kari", "Обувь", "шт.", "b%t", "Red%boots", "l\\%fa", "No art", "o article"]
+    for text in texts:
+        for literal in (False, True):
+            found = trigrams.indexed_search(rows, index, text, literal)
+            assert sorted(map(str, found.collect())) == sorted(map(str, catalog.search(rows, text, literal).collect())), text
+    assert trigrams.pattern_runs(spark, "%Re_d%BOOTS\\%x%") == ["boo", "oot", "ots", "s%x", "ts%"]
+    assert trigrams.pattern_runs(spark, "%ab%c_d%") == []
+    assert trigrams.candidates(index, ["boo", "oot"]).count() >= 1
+    assert trigrams.candidates(index, ["art", "icl", "rti"]).count() == 1
+    plan = trigrams.candidates(index, ["boo"])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(run), EqualTo(run,boo)]" in plan or "In(run, [boo])" in plan or "EqualTo(run,boo)" in plan

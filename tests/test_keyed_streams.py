@@ -94,3 +94,37 @@ def test_deliveries_are_taken_once_with_bounded_state(hourly):
     # Hour 3 is behind the watermark, hour 9 less 2; keys of the first hours are gone.
     assert deliveries.late_rows(query) == 1 and "c-6" not in taken and "c-5" in taken
     assert deliveries.kept_keys(query) == 2
+
+
+def test_two_writers_from_the_same_state(spark, folder):
+    """Both number from the same key: one is published, the other refused, unseen, and free to run again."""
+    from lavka.sources.tables import RunConflict, RunPublished
+
+    def attempt(first, *names):
+        made = tables.new_attempt()
+        tables.append_rows(spark.createDataFrame(
+            [(first + i, name) for i, name in enumerate(names)], schemas.SUPPLIERS), folder, "suppliers", made)
+        return made
+
+    def stored():
+        return sorted(map(tuple, tables.read_table(spark, folder, "suppliers").collect()))
+
+    one, two = attempt(1, "a", "b"), attempt(1, "x")
+    tables.publish(spark, folder, "one", one, ["suppliers"])
+    with pytest.raises(RunConflict):
+        tables.publish(spark, folder, "two", two, ["suppliers"])
+    with pytest.raises(RunPublished):
+        tables.publish(spark, folder, "one", two, ["suppliers"])
+    assert stored() == [(1, "a"), (2, "b")]
+    tables.publish(spark, folder, "two", attempt(3, "x"), ["suppliers"])
+    # Stopped between claim and record: the run goes on under its own name, or gives its keys up.
+    tables.claim(spark, folder, "suppliers", 4, "three")
+    with pytest.raises(RunConflict):
+        tables.publish(spark, folder, "four", attempt(4, "z"), ["suppliers"])
+    tables.publish(spark, folder, "three", attempt(4, "y"), ["suppliers"])
+    tables.claim(spark, folder, "suppliers", 5, "five")
+    tables.release(spark, folder, "five")
+    tables.publish(spark, folder, "four", attempt(5, "z"), ["suppliers"])
+    assert stored() == [(1, "a"), (2, "b"), (3, "x"), (4, "y"), (5, "z")]
+    with pytest.raises(RunPublished):
+        tables.release(spark, folder, "four")
