@@ -828,13 +828,9 @@ ORACLE |= {name: ORACLE[same] for name, same in {
     "order_items_replaced_laid_out": "order_items_replaced", "orders_blocked_laid_out": "orders_blocked",
     "catalog_changes_by_digest": "catalog_changes", "catalog_search_indexed": "catalog_search",
 }.items()}
-ORACLE["order_texts_refreshed"] = f"""
-with replaced as ({ORACLE["order_items_replaced"]}),
-{views_of("products")},
-placed as (
-  select i.order_id, p.product_art as article, i.product_quantity as quantity,
-    row_number() over (partition by i.order_id order by i.order_item_id) - 1 as pos
-  from replaced i join r_products p on p.product_id = i.product_id)
+ORACLE["order_texts_refreshed"] = sql(views_of("order_items", "products"), """after_run as (
+  select * replace (case when order_id % 11 = 0 then 2 * product_quantity else product_quantity end as product_quantity)
+  from r_order_items where order_id % 7 <> 0)""", POSITIONS.replace("r_order_items", "after_run"), f"""
 select order_id, pos // {PART_ROWS} as part, string_agg(article || case when quantity > 1
     then ' ×' || cast(quantity as varchar) else '' end, ', ' order by pos) as article
-from placed group by 1, 2"""
+from positions group by 1, 2""")

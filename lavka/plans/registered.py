@@ -102,10 +102,13 @@ def orders_blocked_laid_out(spark, sf):
 
 
 def order_texts_refreshed(spark, sf):
-    """Item texts from before the changes, of which only those of changed orders are packed again."""
-    items, articles, edits = views(spark, sf, "numbered_items", "product_articles", "faulty_changes")
-    before = cut(orders.order_texts(items, articles))
-    return orders.refreshed_texts(before, edits, _replace_orders(spark, sf).items, articles)
+    """Item texts brought up to date after a run that empties every seventh order and doubles every eleventh."""
+    items, articles = views(spark, sf, "order_items", "product_articles")
+    order = F.col("order_id")
+    after = items.where(order % 7 != 0).withColumn("product_quantity", F.when(
+        order % 11 == 0, 2 * F.col("product_quantity")).otherwise(F.col("product_quantity")))
+    touched = items.where((order % 7 == 0) | (order % 11 == 0)).select("order_id")
+    return orders.refreshed_texts(cut(orders.order_texts(items, articles)), touched, after, articles)
 
 
 def order_list_parts(spark, sf):
