@@ -61,13 +61,15 @@ def audit(tables, known=None):
     known = known or {}
     order = list(schemas.TABLES)
     given = set(tables) | set(known)
-    # Roles 0 and 1 are a table's own keys, new and known, the others its foreign keys.
+    # Roles 0 and 1 are a table's own keys, new and known, the others the foreign keys that point to it, from 2 on.
     foreign = [(n, c, t) for n, c, t in schemas.FOREIGN_KEYS if n in tables and t in given]
+    roles = [2 + sum(t == other for _, _, other in foreign[:i]) for i, (_, _, t) in enumerate(foreign)]
+    last = max(roles, default=1)
     rules = [(name, rule, broken) for name in tables for rule, broken in _row_rules(name)]
     marks = None
     for new, frames in ((True, tables), (False, known)):
         for name, table in frames.items():
-            references = [(c, order.index(t), i + 2) for i, (n, c, t) in enumerate(foreign) if n == name]
+            references = [(c, order.index(t), role) for role, (n, c, t) in zip(roles, foreign) if n == name]
             own = [(i, broken) for i, (n, _, broken) in enumerate(rules) if n == name]
             found = table.withColumn("_place", F.monotonically_increasing_id()).select(
                 F.explode(_marks(name, order.index(name), references, own, new)).alias("_mark")).where(
@@ -77,10 +79,10 @@ def audit(tables, known=None):
     def rows_of(role):
         return F.count(F.when((F.col("role") == role) & F.col("rule").isNull(), 1)).alias(f"_{role}")
 
-    met = marks.groupBy("table", "key", "rule", "place").agg(*[rows_of(r) for r in range(len(foreign) + 2)])
+    met = marks.groupBy("table", "key", "rule", "place").agg(*[rows_of(r) for r in range(last + 1)])
     rows, key = F.col("_0") + F.col("_1"), F.col("key")
     # Nearly all keys are in order; reports are made for the others only.
-    pointed = reduce(add, [F.col(f"_{i + 2}") for i in range(len(foreign))], F.lit(0))
+    pointed = reduce(add, [F.col(f"_{r}") for r in range(2, last + 1)], F.lit(0))
     met = met.where(F.col("rule").isNotNull() | key.isNull() | (rows > 1) | ((rows == 0) & (pointed > 0)))
 
     def violation(name, rule, count):
@@ -92,8 +94,9 @@ def audit(tables, known=None):
         F.when(whole & (F.col("table") == order.index(name)) & (F.col("_0") > 0) & (key.isNull() | (rows > 1)),
                violation(name, f"{schemas.PRIMARY_KEYS[name]}_not_unique", rows)) for name in tables]
     reports += [
-        F.when(whole & (F.col(f"_{i + 2}") > 0) & (rows == 0), violation(name, f"{column}_missing", F.col(f"_{i + 2}")))
-        for i, (name, column, _) in enumerate(foreign)]
+        F.when(whole & (F.col("table") == order.index(t)) & (F.col(f"_{role}") > 0) & (rows == 0),
+               violation(name, f"{column}_missing", F.col(f"_{role}")))
+        for role, (name, column, t) in zip(roles, foreign)]
     return met.select(
         F.explode(F.array_compact(F.array(*reports))).alias("_report"), key.cast("string").alias("row_key")
     ).select("_report.table_name", "_report.rule", "row_key", "_report.violations")
