@@ -77,7 +77,8 @@ def _list_rows(rows, statuses, points):
 
 
 def _entries(items, products):
-    return order_item_lines(items, products).select("order_id", "order_item_id", F.struct(
+    """Each item once, as a struct that begins with its key: that is also what the items of an order are sorted by."""
+    return order_item_lines(items, products).select("order_id", F.struct(
         "order_item_id", "product_id", "article", F.col("product_quantity").alias("quantity")).alias("entry"))
 
 
@@ -94,7 +95,7 @@ def _array():
 
 def order_arrays(items, products, part_rows=PART_ROWS):
     """Per order: its items as an array in item order."""
-    return pack(_entries(items, products), "order_id", "order_item_id", _array(), part_rows, _items_of_orders(items))
+    return pack(_entries(items, products), "order_id", "entry", _array(), part_rows, _items_of_orders(items))
 
 
 def order_documents(orders, items, products, statuses, points, part_rows=PART_ROWS):
@@ -121,17 +122,22 @@ def _document_rows(rows, statuses, points):
     )
 
 
-def _with_packed(orders, items, products, rows, packed, part_rows):
+def _with_packed(orders, items, products, rows, order, packed, part_rows):
     """Laid-out orders with their packed items: neither is shuffled.
 
-    Articles are broadcast if they are few enough; else items are shuffled by product. The few orders
-    that are too large for a part come from the rows that are kept apart.
+    Articles are broadcast if they are few enough; else items are shuffled by product. Orders
+    that are too large for a part come from the rows that are kept apart: shuffled once if parts are
+    small, sorted in ranges where an order is too large for a task.
     """
     articles = broadcast_if_small(products.select("product_id", "product_art"), 2_000_000)
     usual = pack_laid_out(rows(items.usual, articles), "order_id", packed)
     if items.hot is None:
         return orders.join(usual, "order_id", "left")
-    large = pack_large(rows(items.hot, articles), "order_id", "order_item_id", packed, part_rows)
+    hot = rows(items.hot, articles)
+    if part_rows < PART_ROWS:
+        large = pack(hot, "order_id", order, packed, part_rows, _items_of_orders(items.hot))
+    else:
+        large = pack_large(hot, "order_id", order, packed, part_rows)
     keys = broadcast_if_small(items.hot.select("order_id").distinct())
     return orders.join(keys, "order_id", "left_anti").join(usual, "order_id", "left").unionByName(
         orders.join(keys, "order_id", "left_semi").join(large, "order_id", "left"))
@@ -139,12 +145,12 @@ def _with_packed(orders, items, products, rows, packed, part_rows):
 
 def laid_out_list(orders, items, products, statuses, points, part_rows=PART_ROWS):
     """``order_list`` of tables laid out by order (see sources.laid_out); ``items`` is a LaidOut."""
-    return _list_rows(_with_packed(orders, items, products, _listed, _text(), part_rows), *map(broadcast_if_small, (statuses, points)))
+    return _list_rows(_with_packed(orders, items, products, _listed, "order_item_id", _text(), part_rows), *map(broadcast_if_small, (statuses, points)))
 
 
 def laid_out_documents(orders, items, products, statuses, points, part_rows=PART_ROWS):
     """``order_documents`` of tables laid out by order."""
-    return _document_rows(_with_packed(orders, items, products, _entries, _array(), part_rows), *map(broadcast_if_small, (statuses, points)))
+    return _document_rows(_with_packed(orders, items, products, _entries, "entry", _array(), part_rows), *map(broadcast_if_small, (statuses, points)))
 
 
 def order_by_id(orders, items, products, statuses, points, order_id):

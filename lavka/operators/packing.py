@@ -2,9 +2,10 @@
 
 Row number n of a key, counted from 0 in the given order, belongs to part
 n div ``part_rows``: that is the one rule for every key, so parts have no gaps and do
-not depend on the partitioning. Keys with at most ``part_rows`` rows have part 0 only
-and are packed by one aggregate. A larger key is not gathered anywhere: its rows
-are sorted in ranges over all tasks, and their numbers come from one count per range.
+not depend on the partitioning. Keys with at most ``part_rows`` rows have part 0 only.
+Keys that a task can hold (``PART_ROWS`` rows, however small the parts are) are
+shuffled once and cut into their parts there. A larger key is not gathered anywhere: its
+rows are sorted in ranges over all tasks, and their numbers come from one count per range.
 Reading the parts in order gives the whole sequence.
 """
 
@@ -36,6 +37,13 @@ def _gathered(rows, key, packed):
     return rows.repartition(key).groupBy(key).agg(packed)
 
 
+def _gathered_parts(rows, key, order, packed, part_rows):
+    """Number the rows of each key after the one shuffle and aggregate its parts there; a task holds a key at a time."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+    numbered = rows.repartition(key).withColumn("part", F.floor(place / part_rows))
+    return numbered.groupBy(key, "part").agg(packed)
+
+
 def with_number(rows, key, order):
     """``rows`` with ``_n``: the row's number among those of its key, from 0."""
     stored = ranged(rows, key, order)
@@ -48,18 +56,24 @@ def with_number(rows, key, order):
         "_range", "_place", "_shift")
 
 
-def pack(rows, key, order, packed, part_rows=PART_ROWS, probe=None):
+def pack(rows, key, order, packed, part_rows=PART_ROWS, probe=None, task_rows=PART_ROWS):
     """One row per key and part, holding the aggregate column ``packed``.
 
     ``order`` is a column unique within a key. ``probe`` is a cheaper frame
-    with at least as many rows per key as ``rows``, for the size check.
+    with at least as many rows per key as ``rows``, for the size check. A task
+    gathers keys with at most ``task_rows`` rows, and those that are one part.
     """
-    large = large_keys(rows if probe is None else probe, key, part_rows)
-    whole = F.lit(0).cast("long").alias("part")
+    large = large_keys(rows if probe is None else probe, key, max(part_rows, task_rows))
+
+    def whole(some):
+        if part_rows < task_rows:
+            return _gathered_parts(some, key, order, packed, part_rows)
+        return _gathered(some, key, packed).select("*", F.lit(0).cast("long").alias("part"))
+
     if large is None:
-        return _gathered(rows, key, packed).select("*", whole)
+        return whole(rows)
     parts = pack_large(rows.join(large, key, "left_semi"), key, order, packed, part_rows)
-    ordinary = _gathered(rows.join(large, key, "left_anti"), key, packed).select("*", whole)
+    ordinary = whole(rows.join(large, key, "left_anti"))
     return ordinary.unionByName(parts.select(*ordinary.columns))
 
 
