@@ -135,7 +135,7 @@ def _with_packed(orders, items, products, rows, order, packed, part_rows):
         return orders.join(usual, "order_id", "left")
     hot = rows(items.hot, articles)
     if part_rows < PART_ROWS:
-        large = pack(hot, "order_id", order, packed, part_rows, _items_of_orders(items.hot))
+        large = pack(hot, "order_id", order, packed, part_rows, _items_of_orders(items.hot), cut_all=True)
     else:
         large = pack_large(hot, "order_id", order, packed, part_rows)
     keys = broadcast_if_small(items.hot.select("order_id").distinct())

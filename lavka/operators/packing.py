@@ -19,13 +19,17 @@ from lavka.session import cut
 PART_ROWS = 4096
 
 
+def _keys_beyond(rows, key, size):
+    return rows.groupBy(key).count().where(F.col("count") > size).select(key)
+
+
 def large_keys(rows, key, part_rows=PART_ROWS):
     """Keys with more rows than one part holds, or None when there are none.
 
     One counting job over the key column; it combines before the shuffle, so a
     hot key costs one counter per task.
     """
-    large = cut(rows.groupBy(key).count().where(F.col("count") > part_rows).select(key))
+    large = cut(_keys_beyond(rows, key, part_rows))
     found = large.limit(BROADCAST_ROWS + 1).count()
     if not found:
         return None
@@ -37,11 +41,18 @@ def _gathered(rows, key, packed):
     return rows.repartition(key).groupBy(key).agg(packed)
 
 
-def _gathered_parts(rows, key, order, packed, part_rows):
-    """Number the rows of each key after the one shuffle and aggregate its parts there; a task holds a key at a time."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
-    numbered = rows.repartition(key).withColumn("part", F.floor(place / part_rows))
-    return numbered.groupBy(key, "part").agg(packed)
+def _gathered_parts(rows, key, order, packed, part_rows, several=None):
+    """Number the rows of each key after their one shuffle and aggregate its parts there; a task holds a key at a time.
+
+    With ``several``, keys that are not in it are one part.
+    """
+    rows = rows.repartition(key)
+    part = F.floor((F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1) / part_rows)
+    if several is not None:
+        # The keys are partitioned like the rows by their aggregate, which the join reuses.
+        rows = rows.join(several.select(key, F.lit(True).alias("_several")), key, "left")
+        part = F.when(F.col("_several"), part).otherwise(0)
+    return rows.withColumn("part", part).groupBy(key, "part").agg(packed)
 
 
 def with_number(rows, key, order):
@@ -56,18 +67,20 @@ def with_number(rows, key, order):
         "_range", "_place", "_shift")
 
 
-def pack(rows, key, order, packed, part_rows=PART_ROWS, probe=None, task_rows=PART_ROWS):
+def pack(rows, key, order, packed, part_rows=PART_ROWS, probe=None, task_rows=PART_ROWS, cut_all=False):
     """One row per key and part, holding the aggregate column ``packed``.
 
     ``order`` is a column unique within a key. ``probe`` is a cheaper frame
-    with at least as many rows per key as ``rows``, for the size check. A task
-    gathers keys with at most ``task_rows`` rows, and those that are one part.
+    with at least as many rows per key as ``rows``, for the size check: a key that
+    fits a part there is one part, unless ``cut_all``. A task gathers keys with at most
+    ``task_rows`` rows, and those that are one part.
     """
     large = large_keys(rows if probe is None else probe, key, max(part_rows, task_rows))
 
     def whole(some):
         if part_rows < task_rows:
-            return _gathered_parts(some, key, order, packed, part_rows)
+            several = None if probe is None or cut_all else _keys_beyond(probe, key, part_rows)
+            return _gathered_parts(some, key, order, packed, part_rows, several)
         return _gathered(some, key, packed).select("*", F.lit(0).cast("long").alias("part"))
 
     if large is None:
